@@ -1,0 +1,4 @@
+"""As-of queries over the order log."""
+
+from __future__ import annotations
+

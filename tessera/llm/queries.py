@@ -11,5 +11,30 @@ def op5_simhash_near_dedup(spark, sf_dir):
     return simhash_groups(table(spark, sf_dir, "documents"), width=4, distance=4)
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash_near_dedup,)}
+def op1_embedding_near_dedup(spark, sf_dir):
+    from .collide import embedding_groups
+
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
+def op8_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from .bpe import decode_column, encode_documents
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    tokens = encode_documents(table(spark, sf_dir, "documents"), ranks, pattern)
+    return tokens.withColumn("decoded", decode_column("ids", ranks, pattern)).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op9_document_fingerprints(spark, sf_dir):
+    from .sketch import neighbour_fingerprints
+
+    return neighbour_fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op5_simhash_near_dedup, op8_byte_bpe, op9_document_fingerprints)}
 ORACLES: dict[str, str] = {}

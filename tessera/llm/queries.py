@@ -36,5 +36,36 @@ def op9_document_fingerprints(spark, sf_dir):
     return neighbour_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op5_simhash_near_dedup, op8_byte_bpe, op9_document_fingerprints)}
-ORACLES: dict[str, str] = {}
+def op3_url_filters(spark, sf_dir):
+    from .urlfilter import judge_pages
+
+    return judge_pages(table(spark, sf_dir, "pages"))
+
+
+def op4_warc(spark, sf_dir):
+    from .warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages")).drop("url")
+
+
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT page_id, payload_bytes, h, max(page_id) OVER (PARTITION BY h) AS keeper FROM p
+)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+    ((instr('0123456789abcdef', substr(h, 1 + CAST(i * 5 // 4 AS INT), 1)) - 1) * 16
+     + instr('0123456789abcdef', substr(h, 2 + CAST(i * 5 // 4 AS INT), 1)) - 1) // (1 << CAST(3 - i * 5 % 4 AS INT)) % 32 AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM d
+"""
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_embedding_near_dedup, op3_url_filters, op4_warc, op5_simhash_near_dedup, op8_byte_bpe, op9_document_fingerprints)
+}
+ORACLES = {"op4_warc": OP4_SQL}

@@ -16,6 +16,8 @@ from pyspark.sql.functions import pandas_udf
 
 #: Texts longer than this are cut at match boundaries into pieces of about this many characters.
 PIECE_CHARS = 1 << 14
+#: Rows decoded, encoded and sent back at a time.
+SLICE = 256
 #: What the regex engine's \s matches (the Unicode White_Space property), as a fixed value.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: A match never spans a non-space followed by a space: the place before that space is a safe boundary.
@@ -73,7 +75,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(rank_file, pattern)
-        for b in batches:
+        for b in (big.slice(at, SLICE) for big in batches for at in range(0, big.num_rows, SLICE)):
             ids = [encode(t, enc) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],

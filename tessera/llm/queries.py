@@ -64,8 +64,24 @@ FROM d
 """
 
 
+def op2_toxicity(spark, sf_dir):
+    from .toxicity import fit_chain, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit_chain(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_substring_dedup(spark, sf_dir):
+    from .linededup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_embedding_near_dedup, op3_url_filters, op4_warc, op5_simhash_near_dedup, op8_byte_bpe, op9_document_fingerprints)
+    for f in (
+        op1_embedding_near_dedup, op2_toxicity, op3_url_filters, op4_warc, op5_simhash_near_dedup, op7_substring_dedup, op8_byte_bpe,
+        op9_document_fingerprints,
+    )
 }
 ORACLES = {"op4_warc": OP4_SQL}

@@ -147,7 +147,7 @@ def neighbour_fingerprints(
         rows.select("id", "key", "text", F.explode(place).alias("p"))
         .select(F.col("p.part").alias("part"), F.col("p.guest").alias("guest"), "id", "key", "text")
         .where("part is not null")
-        .repartition(n, "part")
+        .repartitionById(n, F.col("part"))
         .sortWithinPartitions("part", "guest", F.desc("key"), F.xxhash64("text"))
     )
     schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -60,7 +60,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
+def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.2, rounds: int = 12) -> np.ndarray:
     """Ridge logistic regression by Newton's method; the last weight is the constant, which is hardly penalised."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
     penalty = np.full(x.shape[1], ridge)
@@ -88,7 +88,7 @@ def out_of_fold(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Middle of the cuts with the best F1 on out-of-fold predictions; 0.5 if a class is missing."""
+    """Cut with the best F1 on out-of-fold predictions, 0.4 at least, so that doubtful documents stay; 0.5 if a class is missing."""
     if not 0 < y.sum() < len(y):
         return 0.5
     order = np.argsort(-p, kind="stable")
@@ -97,7 +97,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     p = p[order]
     f1[:-1][p[:-1] == p[1:]] = 0  # no cut falls between equal scores
     k = int(np.argmax(f1))
-    return float((p[k] + p[k + 1]) / 2) if k + 1 < len(p) else 0.5
+    return max(0.4, float((p[k] + p[k + 1]) / 2)) if k + 1 < len(p) else 0.5
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories, sample: int) -> DataFrame:
@@ -143,7 +143,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample:
         score = sum((F.when(o > 0, o * F.log(o * n / (col * row))).otherwise(0.0) for o, col, row in cells), F.lit(0.0))
         for r in counts.select("word", score.alias("s")).orderBy(F.desc("s"), "word").limit(terms).collect():
             chosen.setdefault(r.word, len(chosen))
-    kept = F.filter("words", lambda w: F.array_contains(F.array(*[F.lit(t) for t in chosen]), w)) if chosen else F.array().cast("array<string>")
+    kept = F.array_intersect("words", F.array(*map(F.lit, chosen)).cast("array<string>"))
     data = sorted(rows.select("id", *ys, kept.alias("words"), "form").collect(), key=lambda r: (r.id, sorted(r.words)))
     x = np.zeros((len(data), len(chosen) + 4), np.float32)
     for k, r in enumerate(data):

@@ -77,11 +77,32 @@ def op7_substring_dedup(spark, sf_dir):
     return dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .mixing import mix
+
+    rows = mix(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.col("_probability").alias("probability"),
+        F.col("_sampled").alias("sampled"),
+    )
+
+
+def op10_secret_scans(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .secretscan import scan
+
+    hits = scan(table(spark, sf_dir, "documents"))
+    return hits.select(F.col("id").alias("doc_id"), "start", "end", F.sha2("value", 256).alias("value_sha256"), "score", "secret")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_embedding_near_dedup, op2_toxicity, op3_url_filters, op4_warc, op5_simhash_near_dedup, op7_substring_dedup, op8_byte_bpe,
-        op9_document_fingerprints,
+        op1_embedding_near_dedup, op2_toxicity, op3_url_filters, op4_warc, op5_simhash_near_dedup, op6_mixing, op7_substring_dedup, op8_byte_bpe,
+        op9_document_fingerprints, op10_secret_scans,
     )
 }
 ORACLES = {"op4_warc": OP4_SQL}

@@ -18,6 +18,8 @@ from .runs import over_runs
 
 #: Shingles whose bits are counted at a time; bounds memory for very long texts.
 CHUNK = 1 << 16
+#: Key runs up to this size are compared offset by offset, all runs of a frame at once; longer ones in tiles.
+SHORT, TILE = 48, 256
 
 
 def fingerprint(text: str | None, width: int, seed: int = 42) -> int:
@@ -45,13 +47,13 @@ def fingerprint(text: str | None, width: int, seed: int = 42) -> int:
     return int(sum(1 << b for b in np.flatnonzero(2 * ones > n).tolist()))
 
 
-def fingerprint_column(text, width: int):
+def fingerprint_column(text, width: int, seed: int = 42):
     """Column of signed 64-bit fingerprints, never null."""
 
     @pandas_udf("long")
     def fp(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
-            yield pd.Series(np.array([fingerprint(t, width) for t in s], dtype=np.uint64).view(np.int64))
+            yield pd.Series(np.array([fingerprint(t, width, seed) for t in s], dtype=np.uint64).view(np.int64))
 
     return fp(text)
 
@@ -71,18 +73,19 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def links(prints: DataFrame, distance: int, blocks: int, block_rows: int) -> DataFrame:
-    """prints(fp, node): distinct fingerprints -> (a, b) links that span every linked group.
+def links(prints: DataFrame, distance: int, blocks: int, block_rows: int, confirm: int = 128) -> DataFrame:
+    """prints(fp, fp2, node): distinct fingerprints -> (a, b) links that span every linked group.
 
     Each fingerprint is keyed by its bits under every mask. Rows of one key are compared in
-    blocks of bounded size; of the pairs within `distance`, a block emits a spanning forest.
+    blocks of bounded size: `distance` bits of fp at most may differ, and `confirm` of fp and fp2 together.
+    Of the pairs that link, a block emits a spanning forest.
     """
     masks = block_tables(blocks, distance)
     keyed = prints.select(
-        "fp", "node",
+        "fp", "fp2", "node",
         F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("_t", "_key"),
     )
-    dealt = split_blocks(keyed, ["_t", "_key"], "fp", block_rows)
+    dealt = split_blocks(keyed, ["_t", "_key"], "node", block_rows)
     by = ["_t", "_key", "_bi", "_bj"]
     dealt = dealt.repartition(shuffle_parts(prints.sparkSession), *by).sortWithinPartitions(*by)
 
@@ -90,23 +93,32 @@ def links(prints: DataFrame, distance: int, blocks: int, block_rows: int) -> Dat
         size = np.diff(starts)
         if size.max() < 2:
             return None
-        run = np.repeat(np.arange(len(size)), size)
-        fp = pdf["fp"].to_numpy().view(np.uint64)
+        fp, fp2 = (pdf[c].to_numpy().view(np.uint64) for c in ("fp", "fp2"))
         side, own = pdf["_side"].to_numpy(), (pdf["_bi"] == pdf["_bj"]).to_numpy()
         node, forest, out = pdf["node"].to_numpy(), Forest(len(pdf)), []
-        live = np.flatnonzero(np.repeat(size, size) > 1)
-        for d in range(1, int(size.max())):
+
+        def link(i: np.ndarray, j: np.ndarray) -> None:
+            near = np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(fp2[i] ^ fp2[j]) <= confirm
+            near &= own[i] | (side[i] != side[j])
+            i, j = i[near], j[near]
+            if len(i) and len(k := forest.add(i, j)):
+                out.append(np.stack([node[i[k]], node[j[k]]], axis=1))
+
+        run = np.repeat(np.arange(len(size)), size)
+        live = np.flatnonzero(np.repeat((size > 1) & (size <= SHORT), size))
+        for d in range(1, SHORT):
             live = live[live + d < len(run)]
             live = live[run[live] == run[live + d]]
             if not len(live):
                 break
-            other = live + d
-            near = np.bitwise_count(fp[live] ^ fp[other]) <= distance
-            near &= own[live] | (side[live] != side[other])
-            i, j = live[near], other[near]
-            if len(i):
-                k = forest.add(i, j)
-                out.append(np.stack([node[i[k]], node[j[k]]], axis=1))
+            near = np.bitwise_count(fp[live] ^ fp[live + d]) <= distance
+            link(live[near], live[near] + d)
+        for a, b in zip(starts[:-1][size > SHORT].tolist(), starts[1:][size > SHORT].tolist()):
+            for q in range(a, b, TILE):
+                near = np.bitwise_count(fp[q : min(q + TILE, b), None] ^ fp[None, q + 1 : b]) <= distance
+                i, j = np.nonzero(near)
+                i, j = i + q, j + q + 1
+                link(i[i < j], j[i < j])
         if not out:
             return None
         return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
@@ -116,26 +128,28 @@ def links(prints: DataFrame, distance: int, blocks: int, block_rows: int) -> Dat
 
 def simhash_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = 3,
-    blocks: int = 6, block_rows: int = 2048,
+    blocks: int = 6, block_rows: int = 2048, confirm: int | None = None,
 ) -> DataFrame:
     """Near-duplicate groups -> one row for each row of docs: id, fingerprint (16 hex digits), component_id.
 
-    Texts are linked when their fingerprints differ in at most `distance` bits; component_id is
+    Texts are linked when their fingerprints differ in at most `distance` bits and, with `confirm`, when these
+    and a second, independent fingerprint together differ in at most so many; component_id is
     the smallest id reachable by links, the row's own included. Exact copies share a fingerprint,
     so only distinct fingerprints are searched. Null or wordless text: fingerprint zero, linked
     like any other. Null id: the row is returned with a null component_id and links nothing.
     Repeated ids: each row keeps its own fingerprint and group, and the ids' groups are joined.
     Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
-    rows = written(
-        docs.select(F.col(id_col).cast("long").alias("id"), fingerprint_column(F.col(text_col), width).alias("fp")), "prints"
-    )
-    distinct = written(rows.where("id is not null").groupBy("fp").agg(F.min("id").alias("node")), "distinct")
-    groups = connected_components(links(distinct, distance, blocks, block_rows))
+    text = F.col(text_col)
+    second = F.lit(0).cast("long") if confirm is None else fingerprint_column(text, width, 43)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), fingerprint_column(text, width).alias("fp"), second.alias("fp2"))
+    rows = written(rows, "prints")
+    distinct = written(rows.where("id is not null").groupBy("fp", "fp2").agg(F.min("id").alias("node")), "distinct")
+    groups = connected_components(links(distinct, distance, blocks, block_rows, 128 if confirm is None else confirm))
     named = written(
-        distinct.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "groups"
+        distinct.join(groups, "node", "left").select("fp", "fp2", F.coalesce("component", "node").alias("component_id")), "groups"
     )
-    return rows.join(named, "fp", "left").select(
+    return rows.join(named, ["fp", "fp2"], "left").select(
         F.col("id").alias(id_col),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"),

@@ -84,7 +84,7 @@ def test_links_over_split_blocks_equal_brute_force(spark):
                 x ^= 1 << k
             fps.add(x)
     fps = sorted(fps)
-    df = spark.createDataFrame([((f - (1 << 64)) if f >> 63 else f, i) for i, f in enumerate(fps)], "fp long, node long")
+    df = spark.createDataFrame([((f - (1 << 64)) if f >> 63 else f, i) for i, f in enumerate(fps)], "fp long, node long").selectExpr("fp", "0L as fp2", "node")
     want = components(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
     for block_rows in (7, 4096):
         got = {r.node: r.component for r in connected_components(links(df, 4, 6, block_rows)).collect()}
@@ -117,3 +117,22 @@ def test_forest_spans():
         kept = np.concatenate([f.add(i[:150], j[:150]), 150 + f.add(i[150:], j[150:])]).astype(int)
         assert components(n, zip(i, j)) == components(n, zip(i[kept], j[kept]))
         assert len(kept) < n
+
+
+def test_confirmed_links_equal_brute_force_and_long_runs(spark):
+    rng = random.Random(8)
+    base = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(20)]
+    prints = set()
+    for k in range(700):
+        x, y = base[k % 20]
+        for b in rng.sample(range(128), rng.randint(0, 22)):
+            x, y = (x ^ (1 << b), y) if b < 64 else (x, y ^ (1 << b - 64))
+        prints.add((x, y))
+    prints = sorted(prints)
+    sign = lambda f: f - (1 << 64) if f >> 63 else f
+    df = spark.createDataFrame([(sign(x), sign(y), i) for i, (x, y) in enumerate(prints)], "fp long, fp2 long, node long")
+    near = lambda a, b: (a[0] ^ b[0]).bit_count() <= 12 and (a[0] ^ b[0]).bit_count() + (a[1] ^ b[1]).bit_count() <= 26
+    want = components(len(prints), [(i, j) for i in range(len(prints)) for j in range(i) if near(prints[i], prints[j])])
+    for block_rows in (60, 2048):
+        got = {r.node: r.component for r in connected_components(links(df, 12, 14, block_rows, 26)).collect()}
+        assert [got.get(i, i) for i in range(len(prints))] == want

@@ -1,5 +1,6 @@
 """Registered queries over the driver's tables."""
 
+from . import relational, temporal  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -4,20 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(oracle: str | None = None, name: str | None = None) -> Callable:
+def query(oracle: str | None = None) -> Callable:
     """Registers a (spark, sf_dir) -> DataFrame function under its own name, with its oracle if it has one."""
 
     def add(f: Callable) -> Callable:
-        key = name or f.__name__
-        if key in QUERIES:
-            raise ValueError(f"query {key} is registered twice")
-        QUERIES[key] = f
+        if f.__name__ in QUERIES:
+            raise ValueError(f"query {f.__name__} is registered twice")
+        QUERIES[f.__name__] = f
         if oracle:
-            ORACLES[key] = oracle
+            ORACLES[f.__name__] = oracle
         return f
 
     return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

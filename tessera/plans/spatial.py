@@ -22,7 +22,7 @@ R, C = 20, 24
 GRID_SQL = f"SELECT (l_suppkey % {R})::BIGINT AS r, (l_partkey % {C})::BIGINT AS c, sum(l_quantity)::BIGINT AS q FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY ALL"
 POINTS_SQL = "SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings"
 TRACK_SQL = "SELECT user_id, value::DOUBLE AS x, hour(ts)::DOUBLE AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_id FROM events"
-RINGS = (("a", (((-0.3, -0.3), (0.3, -0.25), (0.25, 0.3), (-0.2, 0.25)), ((-0.05, -0.05), (0.05, -0.05), (0.05, 0.05), (-0.05, 0.05)))), ("b", (((0.0, 0.0), (0.5, 0.1), (0.1, 0.5)),)))
+RINGS = (("a", (((-0.3, -0.3), (0.3, -0.25), (0.25, 0.3), (-0.2, 0.25)), ((-0.05, -0.05), (0.05, -0.05), (0.05, 0.05), (-0.05, 0.05)))), ("b", (((0.013, 0.007), (0.5, 0.1), (0.1, 0.5)),)))
 
 
 def _grid(spark, sf):
@@ -260,13 +260,13 @@ def projection_round_trip(spark, sf):
 
 
 @query(f"""
-WITH e AS ({EDGES_SQL}), cells AS (SELECT r, c, (c + 0.5) * 0.02 AS x, (r + 0.5) * 0.02 AS y FROM range(-30, 30) a(r), range(-30, 30) b(c)),
+WITH e AS ({EDGES_SQL}), cells AS (SELECT r, c, (c + 0.5) * 0.0213 AS x, (r + 0.5) * 0.0213 AS y FROM range(-30, 30) a(r), range(-30, 30) b(c)),
 h AS (SELECT r, c, pid, sum(((ay > y) <> (yb > y) AND x < (bx - ax) * (y - ay) / (CASE WHEN yb = ay THEN 1 ELSE yb - ay END) + ax)::INT) AS n FROM cells, e GROUP BY ALL)
 SELECT pid, r, c FROM h WHERE n % 2 = 1
 """)
 def rasterise(spark, sf):
     """Cells whose centre lies in a polygon."""
-    return sp.rasterise(_polygons(spark), "pid", "rings", 0.02)
+    return sp.rasterise(_polygons(spark), "pid", "rings", 0.0213)
 
 
 @query()

@@ -1,34 +1,13 @@
-"""Shared plumbing: lineage cuts in shared storage, table readers, hot-key block splitting."""
+"""Shared plumbing: table readers and hot-key block splitting; lineage cuts come from the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh one where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = getattr(spark, "_tessera_dir", None)
-        if path is None:
-            path = spark._tessera_dir = "file://" + tempfile.mkdtemp(prefix="tessera-")
-            spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, what: str = "step") -> DataFrame:
-    """Cuts lineage: writes df as Parquet in the shared folder and reads it back.
-
-    A lost executor then costs only a re-read. Column order and types are kept.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["shared_dir", "shuffle_parts", "split_blocks", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,56 +1,12 @@
-"""Connected components by alternating large-star and small-star steps.
-
-Each step is a minimum per node (partial aggregation) and a join, so a node with
-very many edges is spread by partial sums and by skew-join splitting; no step
-holds a component in one task and nothing but a convergence count reaches the driver.
-"""
+"""Spanning forests inside a block; components of all links come from the library."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import written
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """edges(a long, b long) -> (node long, component long): the smallest id reachable.
-
-    Only nodes with an edge to another node are returned; self-loops, repeats and
-    null ends are dropped. Empty edges give an empty result. Raises if max_rounds
-    (far above log of any size) do not suffice, rather than return a partial answer.
-    """
-    e = edges.where("a is not null and b is not null and a <> b").select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    ).distinct()
-    e = written(e, "edges")
-    for _ in range(max_rounds):
-        # Stars: every a has one b, and no b is itself an a.
-        heads = e.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-        multi = heads.where("n > 1").limit(1)
-        chained = e.join(heads.select(F.col("a").alias("b")), "b", "left_semi").select("b").limit(1)
-        if not multi.select("a").unionByName(chained.select(F.col("b").alias("a"))).take(1):
-            centres = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(centres)
-        e = written(_small_star(_large_star(e)), "edges")
-    raise RuntimeError("connected components did not converge")
-
-
-def _large_star(e: DataFrame) -> DataFrame:
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    low = written(low, "low")
-    return (
-        both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-    )
 
+from ..operators.graph import connected_components
 
-def _small_star(e: DataFrame) -> DataFrame:
-    down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+__all__ = ["Forest", "connected_components"]
 
 
 class Forest:

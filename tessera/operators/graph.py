@@ -111,3 +111,40 @@ def propagate(nodes: DataFrame, edges: DataFrame, id_col: str, label: str, max_r
 def per_group(df: DataFrame, key: str, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """A sequential kernel for each group whose steps depend on each other; groups are spread over tasks."""
     return df.groupBy(key).applyInPandas(kernel, schema)
+
+
+def flood(nodes: DataFrame, edges: DataFrame, id_col: str, seeds: DataFrame) -> DataFrame:
+    """Nodes that can be reached from any seed."""
+    parts = labelled(nodes, edges, id_col, "_part")
+    hit = parts.join(seeds.select(id_col), id_col, "left_semi").select("_part").distinct()
+    return parts.join(hit, "_part", "left_semi").drop("_part")
+
+
+def shortest_hops(nodes: DataFrame, edges: DataFrame, id_col: str, seeds: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(id, hops, via): least number of edges from a seed and the smallest neighbour on a shortest way; breadth first, one round a hop.
+
+    Following `via` from any node gives a shortest path.
+    """
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    front = written(seeds.select(F.col(id_col), F.lit(0).alias("hops"), F.lit(None).cast("long").alias("via")).distinct(), "front")
+    done = front
+    for hop in range(1, max_rounds):
+        step = both.join(front.select(F.col(id_col).alias("b")), "b").groupBy("a").agg(F.min("b").alias("via"))
+        fresh = step.select(F.col("a").alias(id_col), F.lit(hop).alias("hops"), "via").join(done.select(id_col), id_col, "left_anti").join(nodes.select(id_col), id_col, "left_semi")
+        front = written(fresh, "front")
+        if not front.limit(1).count():
+            return done
+        done = written(done.unionByName(front), "reached")
+    raise RuntimeError("the search did not come to rest")
+
+
+def absorb_small(grid: DataFrame, id_col: str, chosen: str, least: int, edges_of, rounds: int = 4) -> DataFrame:
+    """Patches of a yes/no grid with under `least` cells are flipped, all at once, for a few rounds or until none is left."""
+    for _ in range(rounds):
+        grid = written(grid, "grid")
+        parts = written(labelled(grid, edges_of(grid), id_col, "_part"), "parts")
+        small = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < least).select("_part", F.lit(True).alias("_small"))
+        if not small.limit(1).count():
+            return grid
+        grid = parts.join(small, "_part", "left").withColumn(chosen, F.col(chosen) != F.coalesce("_small", F.lit(False))).drop("_part", "_small")
+    return grid

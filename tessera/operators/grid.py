@@ -178,3 +178,75 @@ def idw(points: DataFrame, sources: Sequence[tuple[float, float, float]], x: Col
     zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("w"))
     total = F.aggregate(known, zero, lambda t, s: F.struct((t["n"] + s["v"] / d2(s)).alias("n"), (t["w"] + 1 / d2(s)).alias("w")))
     return points.withColumn(out, F.when(here.isNotNull(), here).otherwise(total["n"] / total["w"]))
+
+
+def disc_mean(grid: DataFrame, places: DataFrame, place_id: str, value: str, radius: float, out: str) -> DataFrame:
+    """(place, mean, n) over the cells within a radius of each place (r, c); a place is sent to the cells it reaches."""
+    reach = int(radius)
+    offsets = F.explode(F.array(*[F.struct((F.col("r") + i).alias("r"), (F.col("c") + j).alias("c")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if i * i + j * j <= radius * radius]))
+    sent = places.select(place_id, offsets.alias("_o")).select(place_id, F.col("_o.r").alias("r"), F.col("_o.c").alias("c"))
+    return sent.join(grid.select("r", "c", value), ["r", "c"]).groupBy(place_id).agg(F.avg(value).alias(out), F.count(value).alias("n"))
+
+
+def seam_rates(grid: DataFrame, cls: str, every: int) -> DataFrame:
+    """(seam, n, rate): how often the class changes from a cell to the next in its row, at every so-many-th column line and elsewhere."""
+    w = Window.partitionBy("r").orderBy("c")
+    step = grid.withColumn("_p", F.lag(cls).over(w)).withColumn("_pc", F.lag("c").over(w)).where(F.col("_pc") == F.col("c") - 1)
+    return step.groupBy((F.col("c") % every == 0).alias("seam")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("_p") != F.col(cls)).cast("double")).alias("rate"))
+
+
+def lone_cells(grid: DataFrame, cls: str) -> DataFrame:
+    """Cells none of whose four neighbours has their class."""
+    same = neighbours(grid, [cls], FOUR).select("r", "c", F.col(cls).alias("_n"))
+    alike = grid.join(same, ["r", "c"]).where(F.col(cls) == F.col("_n")).select("r", "c").distinct()
+    return grid.join(alike, ["r", "c"], "left_anti")
+
+
+def jump_report(codes: DataFrame, group: Sequence[str], code: str, span: int) -> DataFrame:
+    """(group, worst_step, worst_span): the largest share of a group's cells with one code, and with any `span` codes in a row.
+
+    Codes are counted first, so the window holds a group's histogram.
+    """
+    h = codes.groupBy(*group, code).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*group)
+    rolled = h.withColumn("_t", F.sum("_n").over(w)).withColumn("_s", F.sum("_n").over(w.orderBy(code).rangeBetween(-(span - 1), 0)))
+    return rolled.groupBy(*group).agg(F.max(F.col("_n") / F.col("_t")).alias("worst_step"), F.max(F.col("_s") / F.col("_t")).alias("worst_span"))
+
+
+def compare(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """One row: shared cells, mean and largest difference, share that differs at all."""
+    d = F.col("_a") - F.col("_b")
+    both = a.select(*keys, F.col(value).alias("_a")).join(b.select(*keys, F.col(value).alias("_b")), list(keys))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean"), F.max(F.abs(d)).alias("worst"), F.avg((d != 0).cast("double")).alias("changed"))
+
+
+def shore(grid: DataFrame, value: str, level: float) -> DataFrame:
+    """(r, c, x0, y0, x1, y1): shore segments at a level in each square of four neighbouring cells, by linear interpolation.
+
+    x and y count cells from the centre of cell (0, 0). Two segments in a saddle, joined by the mean of its corners. Squares that
+    miss a corner have none.
+    """
+    corner = grid.select(F.explode(F.array(*[F.struct((F.col("r") - i).alias("r"), (F.col("c") - j).alias("c"), F.lit(f"v{i}{j}").alias("k")) for i in (0, 1) for j in (0, 1)])).alias("s"), value)
+    sq = corner.groupBy(F.col("s.r").alias("r"), F.col("s.c").alias("c")).agg(*[F.max(F.when(F.col("s.k") == k, F.col(value))).alias(k) for k in ("v00", "v01", "v11", "v10")])
+    sq = sq.where("v00 is not null and v01 is not null and v10 is not null and v11 is not null")
+    v = [F.col(k) for k in ("v00", "v01", "v11", "v10")]
+    up = [x > level for x in v]
+    x, y = [F.col("c"), F.col("c") + 1, F.col("c") + 1, F.col("c")], [F.col("r"), F.col("r"), F.col("r") + 1, F.col("r") + 1]
+
+    def cross(i: int) -> Column:
+        """Where the side from corner i to the next is crossed; null if it isn't."""
+        j = (i + 1) % 4
+        t = (F.lit(float(level)) - v[i]) / F.nullif(v[j] - v[i], F.lit(0))
+        return F.when(up[i] != up[j], F.struct((x[i] + (x[j] - x[i]) * t).alias("x"), (y[i] + (y[j] - y[i]) * t).alias("y")))
+
+    side = [cross(i) for i in range(4)]
+    seg = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    saddle = (up[0] == up[2]) & (up[1] == up[3]) & (up[0] != up[1])
+    high = (v[0] + v[1] + v[2] + v[3]) / 4 > level
+    cut_odd = F.array(seg(side[0], side[1]), seg(side[2], side[3]))
+    cut_even = F.array(seg(side[3], side[0]), seg(side[1], side[2]))
+    ends = F.array_compact(F.array(*side))
+    plain = F.when(F.size(ends) == 2, F.array(seg(F.get(ends, F.lit(0)), F.get(ends, F.lit(1)))))
+    segments = F.when(saddle, F.when(high == up[0], cut_odd).otherwise(cut_even)).otherwise(plain)
+    out = sq.select("r", "c", F.explode(segments).alias("s"))
+    return out.select("r", "c", F.col("s.a.x").alias("x0"), F.col("s.a.y").alias("y0"), F.col("s.b.x").alias("x1"), F.col("s.b.y").alias("y1"))

@@ -96,3 +96,46 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_at: str, right_a
     w = Window.partitionBy(key).orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("_last", F.last("_s", ignorenulls=True).over(w)).where("_side = 1")
     return out.select(*left.columns, F.col(f"_last.{value}").alias(value))
+
+
+def change_plane(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, old, new) of the cells that differ between two snapshots; a cell that only one has counts as null in the other."""
+    a = before.select(*keys, F.col(value).alias("old"))
+    b = after.select(*keys, F.col(value).alias("new"))
+    return a.join(b, keys, "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
+
+
+def capped_ranges(ranges: DataFrame, group: str, start: str, end: str, gap: int, cap: int) -> DataFrame:
+    """Like merge_ranges, but a merged range never grows over `cap`: each step depends on the last, so a group is one kernel."""
+    import pandas as pd
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list[list] = []
+        for s, e in pdf.sort_values([start, end])[[start, end]].itertuples(index=False):
+            if out and s - out[-1][1] <= gap and max(e, out[-1][1]) - out[-1][0] <= cap:
+                out[-1][1] = max(out[-1][1], e)
+                out[-1][2] += 1
+            else:
+                out.append([s, e, 1])
+        done = pd.DataFrame(out, columns=[start, end, "n"])
+        done.insert(0, group, pdf[group].iloc[0])
+        return done
+
+    types = dict(ranges.dtypes)
+    return ranges.groupBy(group).applyInPandas(kernel, f"{group} {types[group]}, {start} {types[start]}, {end} {types[end]}, n long")
+
+
+def debounced(events: DataFrame, group: str, at: str, gap: int) -> DataFrame:
+    """Events that fire when the last one that fired is at least `gap` ago."""
+    import pandas as pd
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        last, keep = None, []
+        pdf = pdf.sort_values(at)
+        for t in pdf[at]:
+            fire = last is None or t - last >= gap
+            last = t if fire else last
+            keep.append(fire)
+        return pdf[keep]
+
+    return events.groupBy(group).applyInPandas(kernel, events.schema)

@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables."""
 
-from . import relational, spatial, temporal  # noqa: F401
+from . import more, relational, spatial, temporal  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -19,4 +19,4 @@ def spark():
 
 @pytest.fixture(scope="session")
 def sf():
-    return "/root/testdata/sf0.001"
+    return os.environ.get("TESSERA_SF", "/root/testdata/sf0.001")

@@ -50,13 +50,15 @@ def directions(dim: int, projections: int) -> np.ndarray:
 
 
 def _unit(packed: pd.Series, dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(packed), "<f8").reshape(len(packed), dim)
+    """Unit rows in double precision of packed vectors, whose width tells single from double precision."""
+    data = b"".join(packed)
+    x = np.frombuffer(data, "<f4" if len(data) == 4 * dim * len(packed) else "<f8").reshape(len(packed), dim).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def embedding_groups(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.93,
-    projections: int = 16, window_deviations: float = 3.3, recall: float = 0.9995, block_rows: int = 2048,
+    projections: int = 16, window_deviations: float = 3.3, recall: float = 0.9995, block_rows: int = 8192,
 ) -> DataFrame:
     """Near-duplicate vectors -> one row for each row: id, n_links, component_id, kept.
 
@@ -75,7 +77,7 @@ def embedding_groups(
     fit = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)
     # -0.0 + 0.0 is 0.0, so that equal vectors have equal bytes.
     rows = rows.withColumn("v", F.when(fit, F.transform("v", lambda x: x + F.lit(0.0))))
-    keyed = rows.withColumn("h", F.when(F.col("v").isNotNull(), F.sha2(F.to_json(F.struct("label", "v")), 256)))
+    keyed = rows.withColumn("h", F.when(F.col("v").isNotNull(), F.unhex(F.substring(F.sha2(F.to_json(F.struct("label", "v")), 256), 1, 32))))
     keyed = written(keyed, "vectors")
     distinct = written(
         keyed.where("v is not null").groupBy("h").agg(
@@ -83,7 +85,8 @@ def embedding_groups(
         ),
         "distinct",
     )
-    found = written(pairs(distinct, cosine, projections, window_deviations, recall, block_rows), "links")
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    found = written(pairs(distinct, single, cosine, projections, window_deviations, recall, block_rows), "links")
     groups = connected_components(found.where("b is not null").select("a", "b"))
     counts = found.where("b is null").groupBy(F.col("g").alias("h")).agg(F.sum("n").alias("others"))
     known = written(
@@ -100,8 +103,8 @@ def embedding_groups(
     )
 
 
-def pairs(distinct: DataFrame, cosine: float, projections: int, window_deviations: float, recall: float, block_rows: int) -> DataFrame:
-    """distinct(h, node, copies, label, v) -> links (a, b) that span every linked group, and counts (g, n) of linked rows.
+def pairs(distinct: DataFrame, single: bool, cosine: float, projections: int, window_deviations: float, recall: float, block_rows: int) -> DataFrame:
+    """distinct(h, node, copies, label, v; single: v has single precision) -> links (a, b) that span every linked group, and counts (g, n) of linked rows.
 
     Each lead projection is cut into cells as wide as a window; a vector goes to its own cell, and as a
     guest to the next. Cells are cut into blocks of bounded size. A pair is judged in the first
@@ -116,7 +119,7 @@ def pairs(distinct: DataFrame, cosine: float, projections: int, window_deviation
         for pdf in batches:
             pdf["dim"] = pdf["v"].map(len).astype("int32")
             for dim, part in pdf.groupby("dim"):
-                packed = part["v"].map(lambda v: np.ascontiguousarray(v, "<f8").tobytes())
+                packed = part["v"].map(lambda v: np.ascontiguousarray(v, "<f4" if single else "<f8").tobytes())
                 cells = np.floor(_unit(packed, dim) @ directions(dim, projections)[:, :leads] / window).astype(np.int32)
                 for lead in range(leads):
                     for guest in (False, True):
@@ -127,7 +130,7 @@ def pairs(distinct: DataFrame, cosine: float, projections: int, window_deviation
     label = distinct.schema["label"].dataType.simpleString()
     cast = distinct.schema["copies"].dataType.simpleString()
     placed = distinct.select("h", "node", "copies", "label", "v").mapInPandas(
-        project, f"h string, node long, copies {cast}, label {label}, dim int, v binary, lead int, cell int, guest boolean"
+        project, f"h binary, node long, copies {cast}, label {label}, dim int, v binary, lead int, cell int, guest boolean"
     )
     by = ["label", "dim", "lead", "cell"]
     dealt = split_blocks(placed, by, "h", block_rows)
@@ -193,4 +196,4 @@ def pairs(distinct: DataFrame, cosine: float, projections: int, window_deviation
             "n": np.concatenate([np.zeros(len(ab), np.int64), others[some]]),
         })
 
-    return dealt.mapInPandas(over_runs(by, kernel), "a long, b long, g string, n long")
+    return dealt.mapInPandas(over_runs(by, kernel), "a long, b long, g binary, n long")

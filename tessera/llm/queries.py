@@ -68,7 +68,7 @@ def op2_toxicity(spark, sf_dir):
     from .toxicity import fit_chain, score
 
     docs = table(spark, sf_dir, "documents")
-    return score(docs, fit_chain(docs, table(spark, sf_dir, "labels")))
+    return score(docs, fit_chain(docs, table(spark, sf_dir, "labels"))).select("doc_id", "toxic", "p_toxic", "p_low_quality")
 
 
 def op7_substring_dedup(spark, sf_dir):
@@ -98,6 +98,24 @@ def op10_secret_scans(spark, sf_dir):
     return hits.select(F.col("id").alias("doc_id"), "start", "end", F.sha2("value", 256).alias("value_sha256"), "score", "secret")
 
 
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), fit AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fit a JOIN fit b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(id, root) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT p.b, reach.root FROM reach JOIN p ON p.a = reach.id
+), c AS (
+  SELECT id, min(root) AS component_id FROM reach GROUP BY id
+)
+SELECT v.vec_id, (SELECT count(*) FROM p WHERE p.a = v.vec_id) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN c ON c.id = v.vec_id
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -105,4 +123,4 @@ QUERIES = {
         op9_document_fingerprints, op10_secret_scans,
     )
 }
-ORACLES = {"op4_warc": OP4_SQL}
+ORACLES = {"op1_embedding_near_dedup": OP1_SQL, "op4_warc": OP4_SQL}

@@ -1,9 +1,11 @@
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
 from tessera.llm.collide import calibrated_count, collision_probability, embedding_groups
+from tessera.llm.queries import OP1_SQL
 from tests.llm.test_simhash import components
 
 
@@ -45,6 +47,9 @@ def test_table_equals_brute_force(spark, sf):
     rows = embedding_groups(df).collect()
     assert {r.vec_id: (r.n_links, r.component_id) for r in rows} == want
     assert all(r.kept == (r.vec_id == r.component_id) for r in rows)
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+        assert sorted(c.sql(OP1_SQL).fetchall()) == sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in rows)
 
 
 def test_odd_vectors(spark):

@@ -227,8 +227,9 @@ def write_warcs(records: DataFrame, path: str, min_bytes: int = 0) -> None:
     the response; the others become revisits, which keep the HTTP head but not the payload. Keepers are found by partial
     aggregation over digests; only those of digests that occur twice are joined back. Spark's own
     text writer puts down the bytes, with the blank lines that end a record as line separator, so that commits
-    and retries are Spark's.
+    and retries are Spark's. The records are written once first, as both steps read them.
     """
+    records = written(records, "converted")
     same = records.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(
         F.max(F.struct("page_id", "record_id", "url", "date")).alias("keeper"), F.count(F.lit(1)).alias("n")
     ).where("n > 1").drop("n")

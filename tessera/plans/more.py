@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import graph as gr
 from ..operators import grid as gd
 from ..operators import temporal as tm
-from .registry import query, table
-from .spatial import C, CLASS_SQL, GRID_SQL, TRACK_SQL, _classes, _grid, _tracks
+from .registry import ORACLES, QUERIES, query, table
+from .spatial import C, CLASS_SQL, GRID_SQL, LINES, TRACK_SQL, _classes, _grid, _tracks
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, 'https?://[^\\s\"''<>]+'))::INT AS addresses, contains(lower(html), '</script') AS breaks FROM pages")
@@ -92,9 +92,9 @@ WITH g AS ({GRID_SQL}), s AS (SELECT a.r, a.c, (a.q > 150)::INT + (b.q > 150)::I
   FROM g a JOIN g b ON b.r = a.r AND b.c = a.c + 1 JOIN g d ON d.r = a.r + 1 AND d.c = a.c JOIN g e ON e.r = a.r + 1 AND e.c = a.c + 1)
 SELECT r, c, CASE WHEN saddle THEN 2 ELSE 1 END::BIGINT AS segments, TRUE AS within FROM s WHERE up BETWEEN 1 AND 3
 """)
-def shore_squares(spark, sf):
+def shore_squares(spark, sf, level=150.0):
     """Squares that the shore at a level runs through, and how often."""
-    s = gd.shore(_grid(spark, sf), "q", 150.0)
+    s = gd.shore(_grid(spark, sf), "q", level)
     near = lambda v, k: F.col(v).between(F.col(k), F.col(k) + 1)
     fine = near("x0", "c") & near("x1", "c") & near("y0", "r") & near("y1", "r")
     return s.groupBy("r", "c").agg(F.count(F.lit(1)).alias("segments"), F.bool_and(fine).alias("within"))
@@ -139,3 +139,27 @@ def simplified_tracks(spark, sf):
     from ..functions.kernels import simplified
 
     return _tracks(spark, sf).select("user_id", F.size("line").alias("points"), F.size(simplified(F.col("line"), 40.0)).alias("left"))
+
+
+def _over_all(name, sql=None, **options):
+    """Registers the grid query `name` a second time, as `<name>_all`, over every line of lineitem; its SQL likewise."""
+
+    def f(spark, sf, inner=QUERIES[name]):
+        over = LINES.set("TRUE")
+        try:
+            return inner(spark, sf, **options)
+        finally:
+            LINES.reset(over)
+
+    f.__name__, f.__doc__ = f"{name}_all", f"{name} over all lines."
+    sql = sql or ORACLES.get(name)
+    query(sql and sql.replace(GRID_SQL, GRID_SQL.replace(LINES.get(), "TRUE")))(f)
+
+
+#: Queries over the grid; distance_field_all stands by itself. Three times the lines have the shore at three times the level.
+for _name in (
+    "grid_residual", "square_min", "masked_blur", "roughness3", "bilinear_blend", "area_average", "coarsen_max", "majority_disc", "patches", "widest_path", "grid_hash",
+    "noise_field", "disc_mean", "seam_test", "speckle_test", "compare_grids", "shortest_hops", "absorbed_patches",
+):
+    _over_all(_name)
+_over_all("shore_squares", ORACLES["shore_squares"].replace("150", "450"), level=450.0)

@@ -6,6 +6,8 @@ quantities sold by supplier (rows) and part (columns).
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -25,8 +27,12 @@ TRACK_SQL = "SELECT user_id, value::DOUBLE AS x, hour(ts)::DOUBLE AS y, row_numb
 RINGS = (("a", (((-0.3, -0.3), (0.3, -0.25), (0.25, 0.3), (-0.2, 0.25)), ((-0.05, -0.05), (0.05, -0.05), (0.05, 0.05), (-0.05, 0.05)))), ("b", (((0.013, 0.007), (0.5, 0.1), (0.1, 0.5)),)))
 
 
+#: The lines that _grid() sums: those of the stated SQL, or all of them in the queries named `<name>_all`.
+LINES = ContextVar("LINES", default="l_orderkey % 3 = 0")
+
+
 def _grid(spark, sf):
-    l = table(spark, sf, "lineitem").where("l_orderkey % 3 = 0")
+    l = table(spark, sf, "lineitem").where(LINES.get())
     return l.groupBy((F.col("l_suppkey") % R).alias("r"), (F.col("l_partkey") % C).alias("c")).agg(F.sum("l_quantity").cast("long").alias("q"))
 
 
@@ -238,6 +244,17 @@ def distance_field(spark, sf):
     return g.select("r", "c", F.round(F.col("d") / 3, 6).alias("dist"))
 
 
+@query()
+def distance_field_all(spark, sf):
+    """distance_field over all lines and without its bound; rows only, as the recursive SQL needs the bound to end."""
+    over = LINES.set("TRUE")
+    try:
+        g = gd.distance_field(_grid(spark, sf), F.col("q") % 11 == 0, 3.0, 4.0, "d")
+    finally:
+        LINES.reset(over)
+    return g.select("r", "c", F.round(F.col("d") / 3, 6).alias("dist"))
+
+
 @query(f"SELECT r, c, h, round(h * 0 + q, 3) AS q FROM {hash_sql('c', 'r', 5, 'h', table_=f'({GRID_SQL})')}")
 def grid_hash(spark, sf):
     return _grid(spark, sf).select("r", "c", hash01(F.col("c"), F.col("r"), 5).alias("h"), F.round(F.col("q").cast("double"), 3).alias("q"))
@@ -280,10 +297,10 @@ def length_inside(spark, sf):
 @query()
 def constrained_groups(spark, sf):
     """Parts linked by shared suppliers in order, never mixing two brands or two sizes where these are set; rows only."""
-    p = table(spark, sf, "part").where("p_partkey <= 400").select(
+    p = table(spark, sf, "part").select(
         F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).alias("brand"), F.when(F.col("p_partkey") % 4 == 0, F.col("p_size")).alias("size")
     )
-    l = table(spark, sf, "lineitem").where("l_partkey <= 400").groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    l = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("l_suppkey").orderBy("l_partkey")
     links = l.withColumn("b", F.lead("l_partkey").over(w)).where("b is not null").select((F.col("l_suppkey") % 3).alias("priority"), F.col("l_partkey").alias("a"), "b").distinct()
     return gr.constrained_groups(p, links, "id", ("brand", "size"))

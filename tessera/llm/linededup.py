@@ -1,6 +1,6 @@
 """Substring dedup by unit hashing: repeated lines and sentences go, but for their earliest occurrence.
 
-Units are lines and, within them, sentences. A short sentence is hashed together with what stands
+Units are lines of any length, also in scripts without spaces, and, within them, sentences. A short sentence is hashed together with what stands
 before it, so that it counts as repeated only inside a repeated passage. Units are counted by a 64-bit hash first; only
 those that occur twice or more travel on with their 128-bit digest.
 """
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Words that a line needs to be a unit, and that a sentence needs to be hashed by itself.
-LINE_WORDS, SENTENCE_WORDS = 5, 8
+#: Words that a sentence needs to be hashed by itself. A line needs none: each that is not blank is a unit.
+SENTENCE_WORDS = 8
 _PIECE = re.compile(r"\S[^\n]*?(?:[.!?]+(?=\s|\Z)|(?=\n|\Z))")
 
 
@@ -31,7 +31,7 @@ def units(text: str) -> Iterator[tuple[int, int, bytes]]:
     at = 0
     for line in text.split("\n"):
         w = line.lower().split()
-        if len(w) >= LINE_WORDS:
+        if w:
             yield at, at + len(line), b"L" + " ".join(w).encode("utf-8", "surrogatepass")
         at += len(line) + 1
     before: list[str] = []

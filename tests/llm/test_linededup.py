@@ -61,3 +61,12 @@ def test_odd_rows(spark):
         (1, line.upper() + "\n", len(line)), (3, "", len(line)), (3, "", len(line)), (4, None, 0), (5, "", 0), (6, "\n\n . !\n", 0), (7, "a " * 200_000, 0), (0, "", len(line)),
     ]
     assert dedup_lines(df.limit(0)).count() == 0
+
+
+def test_short_and_unspaced_lines_go(spark):
+    rights, han, url = "All rights reserved.", "この文章には空白がまったくありません。" * 3, "https://a.example/" + "q" * 90
+    rows = [(i, f"own words {i} stand before it\n{rights}\nhere {i}\n{han}\n{url}\nend of {i}") for i in range(3)]
+    got = result(dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got[0][0] == rows[0][1]
+    for i in (1, 2):
+        assert got[i][0] == f"own words {i} stand before it\n\nhere {i}\n\n\nend of {i}" and {k for *_, k in got[i][1]} == {0}

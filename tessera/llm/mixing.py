@@ -1,22 +1,25 @@
 """Mixing to target weights: iterative proportional fitting of token weights, then calibrated sampling.
 
-Documents are summed to cells of source, language and topic. Each dimension has named categories, a number
-fixed by parameters, and one for all others, so the cells that reach the driver are bounded however large the
-corpus is. Raking brings the cells' token weights to all three marginals; each document is then kept with the
-probability of its cell, by a hash of its id, so that a re-run keeps the same ones.
+Documents are summed to cells of source, language and topic. Languages and topics have named categories, a number
+fixed by parameters, and one for all others; every source is a category, a row of a table with the tokens of its languages
+and topics. Raking brings the cells' token weights to all three marginals: a round is a pass over that table, of
+which the sums by language and topic reach the driver, bounded however large the corpus is. Each document is then
+kept with the probability of its cell, by a hash of its id, so that a re-run keeps the same ones.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Sources with the most tokens that are categories of their own; all further ones share one.
-SOURCES = 64
+from .common import written
+
+#: Sources without a name, and languages and topics that have no target of their own.
 OTHER = "other"
 #: Target shares by language and topic; what is not named shares the rest.
 LANGUAGES = {"en": 0.54, "de": 0.15, "fr": 0.15, "es": 0.15}
@@ -26,6 +29,8 @@ TEMPER = 0.8
 #: Share of all tokens that the mixture holds.
 BUDGET = 0.8
 SEED = 17
+#: Up to so many sources the rounds run on the driver, beyond in tasks; the weights are the same.
+LOCAL = 4096
 
 
 def tokens_of(text: Column) -> Column:
@@ -89,46 +94,134 @@ def probabilities(tokens: np.ndarray, weights: np.ndarray, budget: float) -> np.
     return np.minimum(1, ratio * high)
 
 
+def _sums(table: DataFrame | pd.DataFrame, n: int, part) -> np.ndarray:
+    """Sum over the table of part(tokens, goal), a vector of n numbers for each batch of sources; n numbers reach the driver."""
+
+    def of(b: pd.DataFrame) -> np.ndarray:
+        return part(np.stack(b["tokens"].to_numpy()), b["goal"].to_numpy()) if len(b) else np.zeros(n)
+
+    if isinstance(table, pd.DataFrame):
+        return of(table)
+    names = [f"v{k}" for k in range(n)]
+
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame([sum((of(b) for b in batches), np.zeros(n))], columns=names)
+
+    sums = table.mapInPandas(apply, ", ".join(f"{x} double" for x in names)).agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in names])
+    return np.array(sums.first())
+
+
+def _ratios(tokens: np.ndarray, goal: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Weight over tokens of each cell with the logarithms of the factors by language and topic, sources brought to their goals."""
+    z = np.where(tokens > 0, logs, -np.inf)
+    top = z.max(axis=1, keepdims=True)
+    e = np.exp(z - np.where(np.isfinite(top), top, 0.0))
+    have = (tokens * e).sum(axis=1)
+    return e * np.divide(goal, have, out=np.zeros_like(have), where=have > 0)[:, None]
+
+
+def rake_sources(table: DataFrame | pd.DataFrame, targets: list[np.ndarray], rounds: int = 200, tolerance: float = 1e-10):
+    """rake() for a table(goal, tokens): the goals of all sources and the tokens of each by language and topic.
+
+    Gives a function (tokens, goal) -> weight over tokens of the cells. Sources are the first dimension, topics the last.
+    """
+    shape = tuple(map(len, targets))
+    n = shape[0] * shape[1]
+    there = _sums(table, n, lambda t, g: t.sum(axis=0)).reshape(shape)
+    goals = []
+    for k in (0, 1):
+        some = there.sum(axis=1 - k) > 0
+        t = np.where(some, targets[k], 0.0)
+        t = np.where(some, 1.0, 0.0) if not t.sum() else t
+        goals.append(t / max(1e-300, t.sum()) * there.sum())
+    logs, last = np.zeros(n), np.ones(n)
+    for _ in range(rounds):
+        with np.errstate(divide="ignore"):
+            logs = logs + np.log(last)
+        w = _sums(table, n, lambda t, g: (t * _ratios(t, g, logs)).sum(axis=0)).reshape(shape)
+        # How far the sources were from their goals before they were brought there shows in the steps of the others.
+        worst, change = 0.0, np.ones(shape)
+        for k in (0, 1):
+            have = w.sum(axis=1 - k)
+            step = np.divide(goals[k], have, out=np.ones_like(have), where=have > 0)
+            worst = max(worst, float(np.abs(step[have > 0] - 1).max(initial=0.0)))
+            step = step.reshape([-1, 1] if k == 0 else [1, -1])
+            w, change = w * step, change * step
+        last = change.ravel()
+        if worst < tolerance:
+            break
+    return lambda t, g: _ratios(t, g, logs) * last
+
+
+def scale_of(table: DataFrame | pd.DataFrame, ratios, budget: float) -> float:
+    """The scale at which min(1, scale * weight over tokens) of all cells keeps budget tokens; see probabilities().
+
+    Kept tokens are a concave function of the scale, linear between cells that fill: Newton's steps from below reach it.
+    """
+    scale = 0.0
+    for _ in range(100):
+
+        def part(t: np.ndarray, g: np.ndarray) -> np.ndarray:
+            ratio = ratios(t, g)
+            full = ratio * scale >= 1
+            return np.array([t[full].sum(), (t * ratio)[~full].sum()])
+
+        full, rest = _sums(table, 2, part)
+        nxt = (budget - full) / rest if rest > 0 else scale
+        if nxt <= scale * (1 + 1e-13):
+            break
+        scale = nxt
+    return scale
+
+
 def mix(
     docs: DataFrame, languages: Mapping[str, float] = LANGUAGES, topics: Mapping[str, float] = TOPICS, sources: Mapping[str, float] | None = None,
-    n_sources: int = SOURCES, temper: float = TEMPER, budget: float = BUDGET, seed: int = SEED,
+    temper: float = TEMPER, budget: float = BUDGET, seed: int = SEED, local: int = LOCAL,
 ) -> DataFrame:
     """docs with _tokens, _topic, _probability and _sampled added; all rows.
 
-    sources are target shares by name; without them the n_sources largest by tokens are brought to shares in proportion to
-    tokens ** temper. Null and unnamed sources, languages and topics belong to `other`, whose target is what the named
-    ones leave of 1 (or their own tokens ** temper). A null text has 0 tokens. Sampling is by a hash of doc_id and text, so
-    that rows which repeat both are kept or left together. No rows give no rows.
+    sources are target shares by name; without them every source is brought to a share in proportion to tokens ** temper.
+    Null and unnamed sources, languages and topics belong to `other`, whose target is what the named ones leave of 1 (or,
+    where every source has one, its tokens ** temper). A null text has 0 tokens. Sampling is by a hash of doc_id and text,
+    so that rows which repeat both are kept or left together. No rows give no rows.
     """
     rows = docs.withColumn("_tokens", tokens_of(F.col("text"))).withColumn("_topic", topic_of(F.col("text")))
+    of = lambda c, names: F.when(F.col(c).isin(names), F.col(c)).otherwise(F.lit(OTHER)) if names else F.lit(OTHER)
+    source = F.coalesce("source", F.lit(OTHER)) if sources is None else of("source", list(sources))
+    rows = rows.withColumn("_s", source).withColumn("_l", of("lang", list(languages))).withColumn("_t", of("_topic", list(topics)))
+    axes = [[*dict.fromkeys([*names, OTHER])] for names in (languages, topics)]
+    targets = [np.array([t.get(x, max(0.0, 1 - sum(t.values()))) for x in a]) for t, a in zip((languages, topics), axes)]
+    cells = written(rows.groupBy("_s", "_l", "_t").agg(F.sum("_tokens").alias("n")).where("n > 0"), "cells")
+    at = list(itertools.product(*axes))
+    each = [F.coalesce(F.sum(F.when((F.col("_l") == x) & (F.col("_t") == y), F.col("n"))), F.lit(0)).cast("double") for x, y in at]
+    table = cells.groupBy("_s").agg(F.sum("n").alias("t"), F.array(*each).alias("tokens"))
     if sources is None:
-        totals = rows.groupBy("source").agg(F.sum("_tokens").alias("t"))
-        top = totals.where("source is not null").orderBy(F.desc("t"), "source").limit(n_sources).collect()
-        everything = totals.agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]
-        powers = {r.source: float(r.t) ** temper for r in top}
-        rest = max(0.0, float(everything - sum(r.t for r in top))) ** temper
-        shares = {k: v / max(1e-300, sum(powers.values()) + rest) for k, v in powers.items()}
+        share = F.pow(F.col("t").cast("double"), F.lit(float(temper)))
     else:
-        shares = dict(sources)
-    named = [list(shares), list(languages), list(topics)]
-    of = lambda c, names: F.when(F.col(c).isin(names), F.col(c)).otherwise(F.lit(OTHER)) if names else F.lit(OTHER)
-    rows = rows.withColumn("_s", of("source", named[0])).withColumn("_l", of("lang", named[1])).withColumn("_t", of("_topic", named[2]))
-    # At most (sources + 1) * (languages + 1) * (topics + 1) rows, by the parameters.
-    cells = rows.groupBy("_s", "_l", "_t").agg(F.sum("_tokens").alias("n")).collect()
-    axes = [[*dict.fromkeys([*names, OTHER])] for names in named]
-    index = [{x: i for i, x in enumerate(a)} for a in axes]
-    tokens = np.zeros([len(a) for a in axes])
-    for r in cells:
-        tokens[index[0][r["_s"]], index[1][r["_l"]], index[2][r["_t"]]] += r.n
-    targets = [np.array([t.get(x, max(0.0, 1 - sum(t.values()))) for x in a]) for t, a in zip((shares, languages, topics), axes)]
-    p = probabilities(tokens, rake(tokens, targets), budget * tokens.sum())
-    spark = docs.sparkSession
-    table = [
-        (*(axes[k][c] for k, c in enumerate(at)), float(p[at])) for at in itertools.product(*map(range, tokens.shape)) if tokens[at] > 0
-    ]
-    known = spark.createDataFrame(table, "_s string, _l string, _t string, _probability double")
-    # As bounded as the cells.
-    joined = rows.join(F.broadcast(known), ["_s", "_l", "_t"], "left").drop("_s", "_l", "_t")
+        shares = {OTHER: max(0.0, 1 - sum(sources.values()))} | dict(sources)
+        share = F.create_map(*[F.lit(x) for kv in shares.items() for x in (kv[0], float(kv[1]))])[F.col("_s")]
+    table = written(table.withColumn("share", share), "sources")
+    sums = table.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.coalesce(F.sum("share"), F.lit(0.0)).alias("share")).first()
+    total = float(sums.t)
+    even = F.lit(total) / F.lit(float(max(1, table.count()))) if not sums.share else F.col("share") / F.lit(sums.share) * F.lit(total)
+    table = written(table.select("_s", "tokens", even.alias("goal")), "goals")
+    few = table if table.limit(local + 1).count() > local else table.toPandas()
+    ratios = rake_sources(few, targets)
+    whole = budget >= 1
+    scale = 0.0 if whole else scale_of(few, ratios, budget * total)
+
+    def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                tokens = np.stack(b["tokens"].to_numpy())
+                ratio = ratios(tokens, b["goal"].to_numpy())
+                p = np.where(ratio > 0, 1.0, 0.0) if whole else np.minimum(1, ratio * scale)
+                i, j = np.nonzero(tokens > 0)
+                s = b["_s"].to_numpy()[i]
+                yield pd.DataFrame({"_s": s, "_l": [at[k][0] for k in j], "_t": [at[k][1] for k in j], "_probability": p[i, j]})
+
+    cell = written(table.mapInPandas(known, "_s string, _l string, _t string, _probability double"), "probabilities")
+    joined = rows.join(cell, ["_s", "_l", "_t"], "left").drop("_s", "_l", "_t")
     unit = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 11) / float(1 << 53)
     probability = F.coalesce("_probability", F.lit(1.0))  # cells without tokens hold empty documents only
     return joined.withColumn("_probability", probability).withColumn("_sampled", unit < F.col("_probability"))

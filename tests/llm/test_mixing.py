@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tessera.llm.mixing import OTHER, mix, probabilities, rake, sampled
+from tessera.llm.mixing import LANGUAGES, OTHER, TEMPER, TOPICS, mix, probabilities, rake, sampled
 
 
 def test_raking_meets_all_marginals():
@@ -54,3 +54,21 @@ def test_odd_rows(spark):
     assert mix(df.limit(0)).count() == 0
     assert mix(df, sources={"s": 1.0}, budget=1.0).where("_sampled and source = 's' and _tokens > 0").count() == 1
     assert OTHER == "other"
+
+
+@pytest.mark.parametrize("local", [4096, 10])
+def test_every_source_has_a_target_of_its_own(spark, local):
+    rng = np.random.default_rng(4)
+    langs, n = ["en", "de", "fr", "es"], 90
+    rows = [(k, "x" * int(rng.integers(4, 2000)), langs[int(rng.integers(4))], f"s{k % n}" if k % 97 else None) for k in range(9 * n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mix(df, budget=0.3, local=local).collect()
+    axes = [sorted({r.source or OTHER for r in got}), [*LANGUAGES, OTHER], [*TOPICS, OTHER]]
+    tokens = np.zeros([len(a) for a in axes])
+    at = lambda r: (axes[0].index(r.source or OTHER), axes[1].index(r.lang), axes[2].index(r._topic))
+    for r in got:
+        tokens[at(r)] += r._tokens
+    own = tokens.sum(axis=(1, 2)) ** TEMPER
+    targets = [own / own.sum()] + [np.array([t.get(x, max(0.0, 1 - sum(t.values()))) for x in a]) for t, a in zip((LANGUAGES, TOPICS), axes[1:])]
+    p = probabilities(tokens, rake(tokens, targets), 0.3 * tokens.sum())
+    assert len(axes[0]) == n + 1 and max(abs(p[at(r)] - r._probability) for r in got) < 1e-6

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.lineage import shared_dir, written
 
-__all__ = ["shared_dir", "shuffle_parts", "split_blocks", "table", "written"]
+__all__ = ["free_name", "join_hot", "shared_dir", "shuffle_parts", "split_blocks", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,34 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df doesn't have, whatever the case of its letters."""
+    taken, name = {c.lower() for c in df.columns}, f"_{base}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def join_hot(rows: DataFrame, found: DataFrame, keys: list[str], weight: str, parts: int = 256) -> DataFrame:
+    """Left join of rows with found, unique by keys, whose column `weight` counts the rows of each key.
+
+    Keys with more than 1 / parts of all rows are fewer than `parts`, so their part of found is broadcast whatever the size of the
+    table; their rows are dealt out by a hash of nothing but chance over the shuffle for the others. Keys must not be null.
+    """
+    total = found.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    values = [c for c in found.columns if c not in (*keys, weight)]
+    hot = found.where(F.col(weight) * parts > total).select(*keys, F.struct(*values).alias("_hot"))
+    cold = found.where(F.col(weight) * parts <= total).select(
+        *[F.col(k).alias(f"_c{i}") for i, k in enumerate(keys)], F.lit(0).alias("_spread"), F.struct(*values).alias("_cold")
+    )
+    dealt = rows.join(F.broadcast(hot), keys, "left")
+    # Rows that are answered already get a number that no row of found has, spread evenly.
+    dealt = dealt.withColumn("_at", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(9973))).cast("int"))
+    on = [F.col(k) == F.col(f"_c{i}") for i, k in enumerate(keys)] + [F.col("_at") == F.col("_spread")]
+    both = dealt.join(cold, on, "left")
+    return both.select(*rows.columns, *[F.coalesce(f"_hot.{v}", f"_cold.{v}").alias(v) for v in values])
+
+
 def split_blocks(df: DataFrame, keys: list[str], id_col: str, block_rows: int) -> DataFrame:
     """Deals the rows of each key into block pairs of bounded size.
 

@@ -1,4 +1,10 @@
-"""SimHash near-dedup: pigeonhole blocks, join on blocks, verified Hamming distance."""
+"""SimHash near-dedup: pigeonhole blocks, join on blocks, verified Hamming distance.
+
+`simhash_groups` links fingerprints a few bits apart, of which the blocks lose no pair. `likeness_groups` links texts
+of a given likeness of their shingle sets. At a likeness of 0.8 fingerprints differ in about ten of 64 bits, for which
+blocks would be too short to tell documents apart, so its search takes keys from bands of minimal
+shingle hashes beside the blocks; Hamming distance rules out what is unlike, and the likeness itself decides.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import shuffle_parts, split_blocks, written
+from .common import free_name, shuffle_parts, split_blocks, written
 from .graph import Forest, connected_components
 from .runs import over_runs
 
@@ -20,33 +27,45 @@ from .runs import over_runs
 CHUNK = 1 << 16
 #: Key runs up to this size are compared offset by offset, all runs of a frame at once; longer ones in tiles.
 SHORT, TILE = 48, 256
+#: Rows of shingle hashes that are permuted at a time.
+STRIP = 1 << 12
 
 
-def fingerprint(text: str | None, width: int, seed: int = 42) -> int:
-    """Unsigned 64-bit SimHash of the text's word shingles, each occurrence counted.
+def shingle_hashes(text: str | None, width: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """Unsigned 64-bit hashes of the text's word shingles in order, repeats included, in arrays of bounded size.
 
     Only A-Z are lower-cased; words are runs of bytes other than space and \\x09-\\x0D.
-    Fewer words than width: the whole sequence is the one shingle. No words or null: 0.
-    A bit is set when more than half of the shingle hashes have it set.
+    Fewer words than width: the whole sequence is the one shingle. No words or null: none.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    line = b" ".join(words)
+        return
+    line, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(line, seed)
+        yield np.array([digest(line, seed)], dtype="<u8")
+        return
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - width + 1].tolist()
     ends = ends[width - 1 :].tolist()
-    digest, n, ones = xxhash.xxh64_intdigest, len(starts), np.zeros(64, np.int64)
-    for at in range(0, n, CHUNK):
-        h = np.array([digest(line[s:e], seed) for s, e in zip(starts[at : at + CHUNK], ends[at : at + CHUNK])], dtype="<u8")
-        # Sums of at most 255 rows fit a byte: eight bits at a time by unpacking.
+    for at in range(0, len(starts), CHUNK):
+        yield np.array([digest(line[s:e], seed) for s, e in zip(starts[at : at + CHUNK], ends[at : at + CHUNK])], dtype="<u8")
+
+
+def majority_bits(parts: Iterator[np.ndarray]) -> int:
+    """The 64-bit number whose bits are set in more than half of the hashes; 0 for none."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for h in parts:
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int32)
+        n += len(h)
     return int(sum(1 << b for b in np.flatnonzero(2 * ones > n).tolist()))
 
 
+def fingerprint(text: str | None, width: int, seed: int = 42) -> int:
+    """Unsigned 64-bit SimHash of the text's word shingles, each occurrence counted; no words or null: 0."""
+    return majority_bits(shingle_hashes(text, width, seed))
+
+
 def fingerprint_column(text, width: int, seed: int = 42):
     """Column of signed 64-bit fingerprints, never null."""
 
@@ -73,18 +92,18 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def links(prints: DataFrame, distance: int, blocks: int, block_rows: int, confirm: int = 128) -> DataFrame:
-    """prints(fp, fp2, node): distinct fingerprints -> (a, b) links that span every linked group.
+def block_keys(fp: Column, distance: int, blocks: int) -> Column:
+    """Array of the fingerprint's bits under every mask."""
+    return F.array(*[fp.bitwiseAND(F.lit(_signed(m))) for m in block_tables(blocks, distance)])
+
 
-    Each fingerprint is keyed by its bits under every mask. Rows of one key are compared in
-    blocks of bounded size: `distance` bits of fp at most may differ, and `confirm` of fp and fp2 together.
-    Of the pairs that link, a block emits a spanning forest.
+def links(prints: DataFrame, keys: Column, limit: int, block_rows: int) -> DataFrame:
+    """prints(fp, fp2, node): distinct texts or fingerprints -> (a, b, bits) links that span every linked group.
+
+    Rows that share a key at the same place of `keys` are compared in blocks of bounded size: `limit` bits of
+    fp and fp2 together may differ. Of the pairs that link, a block emits a spanning forest of those with the fewest bits.
     """
-    masks = block_tables(blocks, distance)
-    keyed = prints.select(
-        "fp", "fp2", "node",
-        F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("_t", "_key"),
-    )
+    keyed = prints.select("fp", "fp2", "node", F.posexplode(keys).alias("_t", "_key"))
     dealt = split_blocks(keyed, ["_t", "_key"], "node", block_rows)
     by = ["_t", "_key", "_bi", "_bj"]
     dealt = dealt.repartition(shuffle_parts(prints.sparkSession), *by).sortWithinPartitions(*by)
@@ -97,60 +116,190 @@ def links(prints: DataFrame, distance: int, blocks: int, block_rows: int, confir
         side, own = pdf["_side"].to_numpy(), (pdf["_bi"] == pdf["_bj"]).to_numpy()
         node, forest, out = pdf["node"].to_numpy(), Forest(len(pdf)), []
 
-        def link(i: np.ndarray, j: np.ndarray) -> None:
-            near = np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(fp2[i] ^ fp2[j]) <= confirm
-            near &= own[i] | (side[i] != side[j])
-            i, j = i[near], j[near]
-            if len(i) and len(k := forest.add(i, j)):
-                out.append(np.stack([node[i[k]], node[j[k]]], axis=1))
+        def span(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+            if not pairs:
+                return
+            i, j, bits = map(np.concatenate, zip(*pairs))
+            for b in np.unique(bits):
+                at = np.flatnonzero(bits == b)
+                if len(k := at[forest.add(i[at], j[at])]):
+                    out.append(np.stack([node[i[k]], node[j[k]], bits[k].astype(np.int64)], axis=1))
 
-        run = np.repeat(np.arange(len(size)), size)
+        def near(i: np.ndarray, j: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            fit = (bits <= limit) & (own[i] | (side[i] != side[j]))
+            return i[fit], j[fit], bits[fit]
+
+        run, pairs = np.repeat(np.arange(len(size)), size), []
         live = np.flatnonzero(np.repeat((size > 1) & (size <= SHORT), size))
         for d in range(1, SHORT):
             live = live[live + d < len(run)]
             live = live[run[live] == run[live + d]]
             if not len(live):
                 break
-            near = np.bitwise_count(fp[live] ^ fp[live + d]) <= distance
-            link(live[near], live[near] + d)
+            bits = np.bitwise_count(fp[live] ^ fp[live + d]) + np.bitwise_count(fp2[live] ^ fp2[live + d])
+            pairs.append(near(live, live + d, bits))
+        span(pairs)
         for a, b in zip(starts[:-1][size > SHORT].tolist(), starts[1:][size > SHORT].tolist()):
+            pairs = []
             for q in range(a, b, TILE):
-                near = np.bitwise_count(fp[q : min(q + TILE, b), None] ^ fp[None, q + 1 : b]) <= distance
-                i, j = np.nonzero(near)
-                i, j = i + q, j + q + 1
-                link(i[i < j], j[i < j])
+                p = min(q + TILE, b)
+                bits = np.bitwise_count(fp[q:p, None] ^ fp[None, q + 1 : b]) + np.bitwise_count(fp2[q:p, None] ^ fp2[None, q + 1 : b])
+                i, j = np.nonzero(bits <= limit)
+                up = i <= j
+                i, j = i[up], j[up]
+                pairs.append(near((i + q).astype(np.int32), (j + q + 1).astype(np.int32), bits[i, j]))
+            span(pairs)
         if not out:
             return None
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b", "bits"])
 
-    return dealt.mapInPandas(over_runs(by, kernel), "a long, b long")
+    return dealt.mapInPandas(over_runs(by, kernel), "a long, b long, bits long")
 
 
 def simhash_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = 3,
-    blocks: int = 6, block_rows: int = 2048, confirm: int | None = None,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = 3, blocks: int = 6, block_rows: int = 2048,
 ) -> DataFrame:
     """Near-duplicate groups -> one row for each row of docs: id, fingerprint (16 hex digits), component_id.
 
-    Texts are linked when their fingerprints differ in at most `distance` bits and, with `confirm`, when these
-    and a second, independent fingerprint together differ in at most so many; component_id is
+    Texts are linked when their fingerprints differ in at most `distance` bits; component_id is
     the smallest id reachable by links, the row's own included. Exact copies share a fingerprint,
     so only distinct fingerprints are searched. Null or wordless text: fingerprint zero, linked
     like any other. Null id: the row is returned with a null component_id and links nothing.
     Repeated ids: each row keeps its own fingerprint and group, and the ids' groups are joined.
     Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
-    text = F.col(text_col)
-    second = F.lit(0).cast("long") if confirm is None else fingerprint_column(text, width, 43)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), fingerprint_column(text, width).alias("fp"), second.alias("fp2"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), fingerprint_column(F.col(text_col), width).alias("fp"))
     rows = written(rows, "prints")
-    distinct = written(rows.where("id is not null").groupBy("fp", "fp2").agg(F.min("id").alias("node")), "distinct")
-    groups = connected_components(links(distinct, distance, blocks, block_rows, 128 if confirm is None else confirm))
-    named = written(
-        distinct.join(groups, "node", "left").select("fp", "fp2", F.coalesce("component", "node").alias("component_id")), "groups"
-    )
-    return rows.join(named, ["fp", "fp2"], "left").select(
+    distinct = written(rows.where("id is not null").groupBy("fp").agg(F.min("id").alias("node")).withColumn("fp2", F.lit(0).cast("long")), "distinct")
+    groups = connected_components(links(distinct, block_keys(F.col("fp"), distance, blocks), distance, block_rows))
+    named = written(distinct.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "groups")
+    return rows.join(named, ["fp"], "left").select(
         F.col("id").alias(id_col),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"),
     )
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A second set of 64-bit hashes; a published finalizer with its fixed multipliers."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def distinct_hashes(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles; none for no words."""
+    parts = [np.unique(h) for h in shingle_hashes(text, width)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, "<u8")
+
+
+def signature(text: str | None, width: int, bands: int, rows: int) -> tuple[int, int, int, int, list[int]]:
+    """(d1, d2, fp, fp2, keys), signed: digest of the normalised words, two SimHashes of the shingle set and `bands` keys,
+    each of the minima of the shingle hashes under `rows` permutations."""
+    line = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
+    d1, d2 = np.frombuffer(xxhash.xxh3_128_digest(line), "<i8").tolist()
+    u = distinct_hashes(text, width)
+    if not len(u):
+        return d1, d2, 0, 0, []
+    strips = lambda: (u[at : at + CHUNK] for at in range(0, len(u), CHUNK))
+    fp, fp2 = majority_bits(strips()), majority_bits(map(_mixed, strips()))
+    rng = np.random.default_rng(bands * 1000 + rows)
+    a, b = rng.integers(1 << 63, size=(2, bands * rows, 1), dtype=np.uint64)
+    a, low = 2 * a + np.uint64(1), np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(u), STRIP):
+        low = np.minimum(low, (a * u[None, at : at + STRIP] + b).min(axis=1))
+    keys = [_signed(xxhash.xxh64_intdigest(m.tobytes(), 7)) for m in low.reshape(bands, rows)]
+    return d1, d2, _signed(fp), _signed(fp2), keys
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
+    """(id, key, d1, d2, fp, fp2, keys) of every row; key is a hash of the text as it is."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [signature(t, width, bands, rows) for t in b.column(2).to_pylist()]
+            cols = [pa.array([f[k] for f in found], pa.int64()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), *cols, pa.array([f[4] for f in found], pa.list_(pa.int64()))], names=["id", "key", "d1", "d2", "fp", "fp2", "keys"]
+            )
+
+    text = F.col(text_col).cast("string")
+    rows_ = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    return rows_.mapInArrow(apply, "id long, key long, d1 long, d2 long, fp long, fp2 long, keys array<long>")
+
+
+def like_enough(edges: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, likeness: float) -> DataFrame:
+    """The edges(a, b) whose texts' shingle sets have at least the likeness; nodes(node, id, key) tell which row of docs to read.
+
+    Only texts at the end of an edge are shingled, and only their hashes travel.
+    """
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    wanted = nodes.join(ends, "node", "left_semi").select("node", F.col("id").alias("_id"), F.col("key").alias("_k"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_k"), text.alias("text"))
+    rows = wanted.join(rows, ["_id", "_k"]).select("node", "text")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [distinct_hashes(t, width).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    # A row that repeats an id and its text has the same node and shingles.
+    sets = written(rows.mapInArrow(apply, "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
+    first, second = (sets.select(F.col("node").alias(x), F.col("shingles").alias("s" + x)) for x in "ab")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return edges.join(first, "a").join(second, "b").where(both >= F.lit(likeness) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
+def likeness_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, likeness: float = 0.8, bands: int = 10, band_rows: int = 4,
+    limit: int = 32, sure: int = 6, distance: int = 4, blocks: int = 6, block_rows: int = 1024,
+) -> DataFrame:
+    """Groups of texts whose shingle sets have at least the likeness -> one row per row of docs: id, key, component_id, leads.
+
+    Candidates share a block key of their fingerprint (none within `distance` bits is lost) or one of `bands` keys of
+    `band_rows` minimal hashes each: at a likeness of 0.8 a pair is found with a probability of 1 - (1 - 0.8 ** 4) ** 10 = 0.995. Of two
+    fingerprints of 64 bits each, `limit` bits may differ, which 0.999 of the pairs at 0.8 meet (19 are expected, with a
+    deviation of 4). Up to `sure` bits, which one in 2,000 pairs at 0.8 reaches, the pair is taken as alike; all others are held
+    against the likeness of their shingle sets itself. A block of candidates gives on its closest pairs only, a spanning
+    forest, so a group of n copies costs a few times n checks.
+
+    key is a hash of the text. Texts with the same words are one text. component_id is the smallest id of the group; leads marks its rows that have this
+    id and, if the id is repeated with different texts, the smallest key. Null or wordless texts are one text. Null ids have a null
+    component_id, lead and link nothing. Other columns are ignored. An empty table gives an empty result.
+    """
+    rows = written(signatures(docs, id_col, text_col, width, bands, band_rows), "signatures")
+    known = rows.where("id is not null")
+    least = F.min(F.struct("id", "key"))
+    distinct = known.groupBy("d1", "d2").agg(least.alias("least"), *[F.first(c).alias(c) for c in ("fp", "fp2", "keys")])
+    distinct = written(distinct.select(F.col("d1").alias("node"), "d1", "d2", "least.*", "fp", "fp2", "keys"), "distinct")
+    searched = distinct.where(F.size("keys") > 0)
+    found = links(searched, F.concat(block_keys(F.col("fp"), distance, blocks), F.col("keys")), limit, block_rows)
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    edges = written(found.groupBy(*pair).agg(F.min("bits").alias("bits")), "candidates")
+    doubtful = edges.where(F.col("bits") > sure).select("a", "b")
+    alike = edges.where(F.col("bits") <= sure).select("a", "b").unionByName(
+        like_enough(doubtful, distinct.select("node", "id", "key"), docs, id_col, text_col, width, likeness)
+    )
+    groups = connected_components(written(alike, "alike"))
+    named = distinct.join(groups, "node", "left").select("d1", "d2", "id", "key", F.coalesce("component", "node").alias("component"))
+    leads = named.groupBy("component").agg(F.min(F.struct("id", "key")).alias("lead"))
+    named = written(named.join(leads, "component").select("d1", "d2", F.col("lead.id").alias("component_id"), F.col("lead.key").alias("lead_key")), "groups")
+    out = known.select("id", "key", "d1", "d2").join(named, ["d1", "d2"]).select(
+        "id", "key", "component_id", ((F.col("id") == F.col("component_id")) & (F.col("key") == F.col("lead_key"))).alias("leads")
+    )
+    alone = rows.where("id is null").select("id", "key", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("leads"))
+    return out.unionByName(alone)
+
+
+def keep_leads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without the rows that another leads in likeness_groups(); all columns as they were.
+
+    A row goes by its id and text together, so that of an id with two texts only the copied one goes. Rows that repeat a leading id
+    and text all stay, as do rows without an id. Nulls, empty tables and wordless texts: as for likeness_groups().
+    """
+    groups = likeness_groups(docs, id_col, text_col, **options)
+    gone = written(groups.where("not leads").select(F.col("id").alias("_gone"), F.col("key").alias("_key")).distinct(), "gone")
+    name, key = free_name(docs, "gone"), free_name(docs, "key")
+    gone = gone.toDF(name, key)
+    return docs.join(gone, (F.col(id_col).cast("long") == F.col(name)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(key)), "left_anti")

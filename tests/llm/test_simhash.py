@@ -4,9 +4,10 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm.graph import Forest, connected_components
-from tessera.llm.simhash import block_tables, fingerprint, links, simhash_groups
+from tessera.llm.simhash import block_keys, block_tables, fingerprint, keep_leads, likeness_groups, links, simhash_groups
 
 
 def slow_fingerprint(text, width):
@@ -87,7 +88,7 @@ def test_links_over_split_blocks_equal_brute_force(spark):
     df = spark.createDataFrame([((f - (1 << 64)) if f >> 63 else f, i) for i, f in enumerate(fps)], "fp long, node long").selectExpr("fp", "0L as fp2", "node")
     want = components(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
     for block_rows in (7, 4096):
-        got = {r.node: r.component for r in connected_components(links(df, 4, 6, block_rows)).collect()}
+        got = {r.node: r.component for r in connected_components(links(df, block_keys(F.col("fp"), 4, 6), 4, block_rows)).collect()}
         assert [got.get(i, i) for i in range(len(fps))] == want
 
 
@@ -119,7 +120,7 @@ def test_forest_spans():
         assert len(kept) < n
 
 
-def test_confirmed_links_equal_brute_force_and_long_runs(spark):
+def test_links_of_two_fingerprints_equal_brute_force_over_long_runs(spark):
     rng = random.Random(8)
     base = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(20)]
     prints = set()
@@ -131,8 +132,61 @@ def test_confirmed_links_equal_brute_force_and_long_runs(spark):
     prints = sorted(prints)
     sign = lambda f: f - (1 << 64) if f >> 63 else f
     df = spark.createDataFrame([(sign(x), sign(y), i) for i, (x, y) in enumerate(prints)], "fp long, fp2 long, node long")
-    near = lambda a, b: (a[0] ^ b[0]).bit_count() <= 12 and (a[0] ^ b[0]).bit_count() + (a[1] ^ b[1]).bit_count() <= 26
+    near = lambda a, b: (a[0] ^ b[0]).bit_count() + (a[1] ^ b[1]).bit_count() <= 26
     want = components(len(prints), [(i, j) for i in range(len(prints)) for j in range(i) if near(prints[i], prints[j])])
     for block_rows in (60, 2048):
-        got = {r.node: r.component for r in connected_components(links(df, 12, 14, block_rows, 26)).collect()}
+        found = connected_components(links(df, F.array(F.lit(0)), 26, block_rows))
+        got = {r.node: r.component for r in found.collect()}
         assert [got.get(i, i) for i in range(len(prints))] == want
+
+
+def shingles(text):
+    words = text.encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or ({b" ".join(words)} if words else set())
+
+
+def near_copies(n=90, seed=4):
+    """Texts of several lengths with copies of one to many changed words, some of the pairs above 0.8 and some below."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8)))
+    out = []
+    for _ in range(n):
+        base = [word() for _ in range(rng.choice([6, 40, 150, 600]))]
+        out.append(" ".join(base))
+        for _ in range(rng.randint(0, 4)):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 25))):
+                copy[rng.randrange(len(copy))] = word()
+            out.append(" ".join(copy))
+    rng.shuffle(out)
+    return out
+
+
+def test_likeness_groups_equal_brute_force(spark):
+    texts = near_copies()
+    sets = [shingles(t) for t in texts]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    want = components(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for block_rows in (16, 1024):
+        rows = likeness_groups(df, block_rows=block_rows).collect()
+        assert {r.id: r.component_id for r in rows} == dict(enumerate(want))
+        assert {r.id for r in rows if r.leads} == set(want)
+    assert 20 < len(set(want)) < len(texts)
+
+
+def test_likeness_of_odd_rows(spark):
+    base = " ".join(f"word{i}" for i in range(60))
+    near, far = base.replace("word7 ", "other "), "quite another text that no one has copied from " + "z " * 9
+    rows = [
+        (1, base), (2, base.upper()), (3, near), (2, far), (None, base), (None, None), (4, None), (5, ""), (6, " \n"), (7, "one"), (8, "ONE"), (9, "y " * 300_000), (1, base),
+        (10, "x y " * 200_000),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as _gone", "2 as _KEY", "3 as component_id", "4 as id", "5 as key")
+    got = collections.Counter((r.doc_id, (r.text or "")[:40]) for r in keep_leads(df).collect())
+    # Of id 2 the copy goes and the other text stays; rows that repeat a leader stay, as do those without an id.
+    assert got == {
+        (1, base[:40]): 2, (2, far[:40]): 1, (None, base[:40]): 1, (None, ""): 1, (4, ""): 1, (7, "one"): 1, (9, ("y " * 20)): 1, (10, "x y " * 10): 1,
+    }
+    assert keep_leads(df).columns == df.columns
+    assert keep_leads(df.limit(0)).count() == 0

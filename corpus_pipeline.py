@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm.common import table, written
 
@@ -19,16 +18,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash group, and every row without an id.
+    """The document with the smallest id of each group of near copies, and every row without an id.
 
-    Shingles have five words. A likeness of 0.8 is 12 differing bits of 64, and 25 of 128 with the second
-    fingerprint that keeps unrelated texts apart. Of rows that repeat the smallest id, all stay.
+    Near copies have a likeness of 0.8 or more of their sets of five-word shingles.
     """
-    from tessera.llm.simhash import simhash_groups
+    from tessera.llm.simhash import keep_leads
 
-    groups = written(simhash_groups(docs, width=5, distance=BITS, blocks=BLOCKS, confirm=CONFIRM), "groups")
-    leave = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_leave")).distinct()
-    return docs.join(leave, F.col("doc_id") == F.col("_leave"), "left_anti")
+    return keep_leads(docs, width=5, likeness=0.8)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +50,6 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-#: Bits that may differ in the first fingerprint, the blocks it is searched by, and bits that may differ in both.
-BITS, BLOCKS, CONFIRM = 12, 14, 25
-
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("secrets", secrets), ("mixture", mixture), ("tokens", tokens)]
 
 

@@ -2,10 +2,10 @@
 
 All of it is DataFrame expressions, aggregations and joins. Pages decided by a rule are the labels. Each
 path becomes a shape (digits and ids turned into classes), and shapes are counted by host, which leaves a table
-of templates and not of pages. Level by level from the root, a segment is generalised to `*` where its
-parent has many children with few pages each, and branches of a parent whose pages spread over the next
-segment much as those of all siblings with the same commonest next segment, and whose labels do not
-contradict theirs, are merged into `+` and that segment. A template is rejected when the smoothed share of its labelled pages that are blocked reaches the cut.
+of templates and not of pages. From the root down, branches that are too rare and too varied to be names are generalised to
+`*`, and branches of a parent whose pages spread over the next segment much as those of all siblings with the same commonest
+next segment, and whose labels do not contradict theirs, are merged into `+` and that segment. A template is rejected
+when its purity, the smoothed share of its pages known to be blocked, reaches a cut chosen on labels held out of the tree.
 """
 
 from __future__ import annotations
@@ -13,13 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_hot, written
 
 #: (rule, verdict): host and path of each rule as one string; the path begins at the first slash.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Levels of the tree; what lies deeper is one more segment `**`.
-LEVELS = 3
+#: Rounds in which branches are generalised. Stretches without a branch take no round; what branches deeper still stays as it is.
+ROUNDS = 24
+#: One label in so many is held out to choose the cut, of which these are the limits in hundredths.
+HELD, LOWEST, HIGHEST = 4, 75, 99
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -40,8 +42,8 @@ def ruled(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def shape(path: Column, levels: int = LEVELS) -> Column:
-    """Array of path segments, at most levels + 1 of them, with numbers, dates and ids turned into classes."""
+def shape(path: Column) -> Column:
+    """Array of all path segments, with numbers, dates and ids turned into classes; empty segments count as none."""
     raw = F.filter(F.split(path, "/"), lambda s: s != "")
 
     def of(s: Column) -> Column:
@@ -50,85 +52,150 @@ def shape(path: Column, levels: int = LEVELS) -> Column:
             F.when(stem.rlike(r"\A[0-9]+\z"), "<n>")
             .when(stem.rlike(r"\A[0-9]{4}-[0-9]{2}(-[0-9]{2})?\z"), "<date>")
             .when(stem.rlike(r"\A[0-9a-fA-F-]{16,}\z"), "<id>")
-            .when(F.length(stem) > 40, "<long>")
             .otherwise(stem)
         )
         return F.concat(kind, end)
 
-    kept = F.transform(F.slice(raw, 1, levels), of)
-    return F.when(F.size(raw) > levels, F.concat(kept, F.array(F.lit("**")))).otherwise(kept)
+    return F.transform(raw, of)
 
 
-def templates(counts: DataFrame, children: int, pages_per_child: float, apart: float, z: float, levels: int = LEVELS) -> DataFrame:
+def _joined(template: Column, segments: Column) -> Column:
+    return F.when(F.size(segments) == 0, template).otherwise(F.concat(template, F.lit("/"), F.array_join(segments, "/")))
+
+
+def templates(
+    counts: DataFrame, heavy: float = 0.05, alike: float = 0.05, doubt: float = 20.0, apart: float = 0.25, z: float = 3.0, rounds: int = ROUNDS
+) -> DataFrame:
     """counts(host, shape, n, blocked, allowed) -> the same rows with `template`, the path in the generalised tree.
 
-    One round per level, each a few aggregations by host and parent; a host with very many pages
-    was summed to shapes before, so its weight is the number of its shapes.
+    A round first takes the segments that all shapes below a node share, then judges the branches. A branch with under
+    `heavy` of its node's pages is light. The light branches of a node become `*` when two of their pages fall into the same
+    branch with a probability of at most `alike`; `doubt` pairs that do so half the time are added, so that a few
+    pages prove nothing. Both are shares and do not depend on the size of the table. A node with one shape is finished at once; after
+    `rounds` rounds what is left is finished so too, each shape a template of its own.
     """
-    t = counts.withColumn("template", F.lit(""))
-    for level in range(1, levels + 1):
-        t = t.withColumn("seg", F.get(F.col("shape"), F.lit(level - 1))).withColumn("next", F.coalesce(F.get(F.col("shape"), F.lit(level)), F.lit("")))
+    node, branch, kin = ["host", "template"], ["host", "template", "seg"], ["host", "template", "mode"]
+    t = counts.withColumn("template", F.lit("")).withColumn("rest", F.col("shape"))
+    done = None
+    for _ in range(rounds):
+        ends = t.groupBy(*node).agg(F.min("rest").alias("low"), F.max("rest").alias("high"), F.sum("n").alias("tn"))
+        same = F.zip_with("low", "high", lambda a, b: a.eqNullSafe(b))
+        differ = F.array_position(same, False)
+        shared = F.when(differ == 0, F.size("low")).otherwise(differ - 1).cast("int")
+        ends = ends.select(*node, "tn", F.slice("low", 1, shared).alias("stem"), shared.alias("shared"))
+        t = t.join(ends, node).withColumn("template", _joined(F.col("template"), F.col("stem"))).withColumn(
+            "rest", F.expr("slice(rest, shared + 1, greatest(size(rest) - shared, 0))")
+        ).drop("stem", "shared")
+        t = written(t.withColumn("seg", F.get("rest", F.lit(0))).withColumn("next", F.coalesce(F.get("rest", F.lit(1)), F.lit(""))), "stems")
+        whole = t.where("seg is null").select(*counts.columns, "template")
+        done = whole if done is None else done.unionByName(whole)
         inner = t.where("seg is not null")
-        parent, branch, kin = ["host", "template"], ["host", "template", "seg"], ["host", "template", "mode"]
-        steps = inner.groupBy(*branch, "next").agg(F.sum("n").alias("sn"), F.sum("blocked").alias("sb"), F.sum("allowed").alias("sa"))
+        if not inner.limit(1).count():
+            return done
+        steps = inner.groupBy(*branch, "next").agg(F.sum("n").alias("sn"), F.sum("blocked").alias("sb"), F.sum("allowed").alias("sa"), F.max("tn").alias("tn"))
         branches = steps.groupBy(*branch).agg(
-            F.sum("sn").alias("bn"), F.sum("sb").alias("bb"), F.sum("sa").alias("ba"), F.max(F.struct("sn", "next"))["next"].alias("mode")
+            F.sum("sn").alias("bn"), F.sum("sb").alias("bb"), F.sum("sa").alias("ba"), F.max(F.struct("sn", "next"))["next"].alias("mode"),
+            (F.sum("sn") < heavy * F.max("tn")).alias("light"),
         )
-        total = branches.groupBy(*parent).agg(F.count(F.lit(1)).alias("kids"), F.sum("bn").alias("tn"))
+        n, light = F.col("bn").cast("double"), F.col("light")
+        pairs = lambda x: x * (x - 1) / 2
+        varied = branches.groupBy(*node).agg(F.sum(F.when(light, n)).alias("ln"), F.sum(F.when(light, pairs(n))).alias("meet"))
+        varied = varied.select(*node, ((F.col("meet") + doubt / 2) / (pairs(F.col("ln")) + doubt) <= alike).alias("varied"))
         # Siblings of one commonest next segment are pooled; far is the total variation distance of a branch from its pool.
         pools = branches.groupBy(*kin).agg(
             F.count(F.lit(1)).alias("like"), F.sum("bn").alias("pn"), F.sum("bb").alias("pb"), F.sum("ba").alias("pa")
         )
-        known = steps.join(branches, branch)
+        known = steps.drop("tn").join(branches, branch)
         pooled = known.groupBy(*kin, "next").agg(F.sum("sn").alias("qn"))
-        joined = known.join(pooled, [*kin, "next"]).join(pools, kin).join(total, parent)
+        both = known.join(pooled, [*kin, "next"]).join(pools, kin)
         share, pool = F.col("sn") / F.col("bn"), F.col("qn") / F.col("pn")
-        judged = joined.groupBy(*branch, "mode", "bn", "bb", "ba", "kids", "tn", "like", "pn", "pb", "pa").agg(
-            (0.5 * (F.sum(F.abs(share - pool)) + 1 - F.sum(pool))).alias("far")
-        )
+        judged = both.groupBy(*branch, "mode", "light", "bb", "ba", "like", "pb", "pa").agg((0.5 * (F.sum(F.abs(share - pool)) + 1 - F.sum(pool))).alias("far"))
         labels, all_labels = F.col("bb") + F.col("ba"), F.col("pb") + F.col("pa")
-        p = F.col("pb") / all_labels
-        gap = F.abs(F.col("bb") / labels - p)
+        p = F.try_divide(F.col("pb"), all_labels)
+        gap = F.abs(F.try_divide(F.col("bb"), labels) - p)
         agrees = (labels == 0) | (gap <= z * F.sqrt(p * (1 - p) / labels) + 0.5 / labels)
-        judged = judged.select(
+        judged = judged.join(varied, node).select(
             *branch,
-            F.when((F.col("kids") > children) & (F.col("tn") < F.col("kids") * pages_per_child), "*")
+            F.when(light & F.coalesce("varied", F.lit(False)), "*")
             .when((F.col("like") > 1) & (F.col("far") <= apart) & agrees, F.concat(F.lit("+"), F.col("mode")))
             .otherwise(F.col("seg")).alias("node"),
         )
-        t = t.join(judged, branch, "left").withColumn(
-            "template", F.when(F.col("node").isNotNull(), F.concat_ws("/", "template", "node")).otherwise(F.col("template"))
-        ).drop("seg", "next", "node")
+        t = inner.join(judged, branch).select(
+            *counts.columns, F.concat_ws("/", "template", "node").alias("template"), F.expr("slice(rest, 2, greatest(size(rest) - 1, 0))").alias("rest")
+        )
         t = written(t, "templates")
-    deeper = F.size("shape") > levels
-    return t.withColumn("template", F.when(deeper, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
+    return done.unionByName(t.select(*counts.columns, _joined(F.col("template"), F.col("rest")).alias("template")))
 
 
-def judge_pages(
-    pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", children: int = 50, pages_per_child: float = 4.0,
-    apart: float = 0.25, z: float = 3.0, prior: float = 0.5, weight: float = 4.0, cut: float = 0.95,
-) -> DataFrame:
-    """Every page -> page_id, host, path, rule, verdict, template, purity.
+def purities(tree: DataFrame, prior: float, weight: float, unknown: float) -> DataFrame:
+    """(host, template, purity): blocked pages over labelled ones, with `weight` pages and `unknown` of each page without a label counted
+    as the prior, so that a few labels do not speak for many pages."""
+    sums = tree.groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"), F.sum("n").alias("n"))
+    doubt = weight + unknown * (F.col("n") - F.col("b") - F.col("a"))
+    return sums.select("host", "template", ((F.col("b") + doubt * prior) / (F.col("b") + F.col("a") + doubt)).alias("purity"))
+
 
-    verdict is the rule's where one fits, else `block` where the template's purity reaches `cut` and `allow`
-    where it doesn't. purity = (blocked + weight * prior) / (labelled + weight), so a template without labelled pages has the
-    prior. Null urls and those without :// have an empty host and path, no rule, and the root template.
-    Ids may be null or repeated: each row is judged by itself. Other columns are ignored. No pages give no rows.
+def choose_cut(judged: DataFrame, beta: float = 0.5) -> dict:
+    """judged(purity, blocked, allowed), labels held out of the purity -> the cut with the best F, and its precision and recall.
+
+    F weighs precision over recall. Cuts are whole hundredths from LOWEST to HIGHEST; of equal ones the highest holds, and the
+    highest of all where no held-out page is blocked. At most HIGHEST - LOWEST + 1 rows reach the driver.
     """
+    step = F.least(F.floor(F.col("purity") * 100 + 1e-9), F.lit(HIGHEST)).cast("int")
+    sums = judged.groupBy(F.when(step >= LOWEST, step).otherwise(LOWEST - 1).alias("step")).agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a")).collect()
+    blocked, best = sum(r.b for r in sums), {"cut": HIGHEST / 100, "f": 0.0, "precision": None, "recall": None}
+    for c in range(HIGHEST, LOWEST - 1, -1):
+        hits, wrong = (sum(r[k] for r in sums if r.step >= c) for k in "ba")
+        if hits:
+            precision, recall = hits / (hits + wrong), hits / blocked
+            f = (1 + beta**2) * precision * recall / (beta**2 * precision + recall)
+            if f > best["f"]:
+                best = {"cut": c / 100, "f": f, "precision": precision, "recall": recall}
+    return best
+
+
+def template_tree(pages: DataFrame, rules, id_col: str, url_col: str, cut: float | None, prior: float, weight: float, unknown: float, **options):
+    """(rows, found, choice): the pages with host, path, r and shape; (host, shape, n, template, purity); and the cut with its figures."""
     url = F.col(url_col).cast("string")
     host, path = host_and_path(url)
-    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("r", ruled(F.col("host"), F.col("path"), rules)).withColumn("shape", shape(F.col("path")))
-    is_ = lambda v: F.sum(F.when(F.col("r.verdict") == v, 1).otherwise(0))
+    held = F.pmod(F.xxhash64("url", F.lit(29)), F.lit(HELD)) == 0
+    of = lambda v, when=F.lit(True): F.sum(F.when((F.col("r.verdict") == v) & when, 1).otherwise(0))
     counts = written(
-        rows.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), is_("block").alias("blocked"), is_("allow").alias("allowed")), "shapes"
-    )
-    tree = templates(counts, children, pages_per_child, apart, z)
-    nodes = tree.groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a")).withColumn(
-        "purity", (F.col("b") + weight * prior) / (F.col("b") + F.col("a") + weight)
+        rows.groupBy("host", "shape").agg(
+            F.count(F.lit(1)).alias("n"), of("block").alias("blocked"), of("allow").alias("allowed"), of("block", held).alias("hb"), of("allow", held).alias("ha")
+        ), "shapes",
     )
-    found = written(tree.join(nodes, ["host", "template"]).select("host", "shape", "template", "purity"), "purity")
-    method = F.when(F.col("purity") >= cut, "block").otherwise("allow")
-    return rows.join(found, ["host", "shape"], "left").select(
-        "page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), method).alias("verdict"), "template", "purity"
+    choice = {"cut": cut}
+    if cut is None:
+        # Held-out pages count in no way: neither as labels nor as pages without one.
+        fit = counts.select("host", "shape", (F.col("n") - F.col("hb") - F.col("ha")).alias("n"), (F.col("blocked") - F.col("hb")).alias("blocked"), (F.col("allowed") - F.col("ha")).alias("allowed"))
+        tree = templates(fit.where("n > 0"), **options)
+        tree = tree.join(purities(tree, prior, weight, unknown), ["host", "template"]).select("host", "shape", "purity")
+        judged = counts.where("hb + ha > 0").join(tree, ["host", "shape"], "left").select(F.coalesce("purity", F.lit(prior)).alias("purity"), F.col("hb").alias("blocked"), F.col("ha").alias("allowed"))
+        choice = choose_cut(judged)
+    tree = templates(counts.drop("hb", "ha"), **options)
+    found = tree.join(purities(tree, prior, weight, unknown), ["host", "template"]).select("host", "shape", "n", "template", "purity")
+    return rows, written(found, "purity"), choice
+
+
+def judge_pages(
+    pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", cut: float | None = None, prior: float = 0.5, weight: float = 4.0,
+    unknown: float = 0.25, **options,
+) -> DataFrame:
+    """Every page -> page_id, host, path, rule, verdict, template, purity, cut.
+
+    verdict is the rule's where one fits, else `block` where the template's purity reaches the cut and `allow`
+    where it doesn't; cut None chooses it by choose_cut(). A template without labelled pages has the prior as its
+    purity. Null urls and those without :// have an empty host and path, no rule, and the root template. Paths are judged whole,
+    however long and deep. Rules of equal length that fit the same page do not occur, as both begin the same host and path. Of segments that are equally common
+    the last in order is the commonest. Ids may be null or repeated: each row is judged by itself. Other columns are ignored. No pages give no rows.
+    """
+    rows, found, choice = template_tree(pages, rules, id_col, url_col, cut, prior, weight, unknown, **options)
+    judged = join_hot(rows, found, ["host", "shape"], "n")
+    method = F.when(F.col("purity") >= choice["cut"], "block").otherwise("allow")
+    return judged.select(
+        "page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), method).alias("verdict"), "template", "purity",
+        F.lit(choice["cut"]).alias("cut"),
     )

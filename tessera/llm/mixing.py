@@ -1,10 +1,11 @@
 """Mixing to target weights: iterative proportional fitting of token weights, then calibrated sampling.
 
-Documents are summed to cells of source, language and topic. Languages and topics have named categories, a number
-fixed by parameters, and one for all others; every source is a category, a row of a table with the tokens of its languages
-and topics. Raking brings the cells' token weights to all three marginals: a round is a pass over that table, of
-which the sums by language and topic reach the driver, bounded however large the corpus is. Each document is then
-kept with the probability of its cell, by a hash of its id, so that a re-run keeps the same ones.
+Documents are counted in tokens of a byte-level BPE and put to topics by what tokens they use. They are summed to cells of source,
+language and topic. Languages have named categories and one for all others, topics a fixed number; every source is a
+category, a row of a table with the tokens of its languages and topics. Raking brings the cells' token weights to all three
+marginals: a round is a pass over that table, of which the sums by language and topic reach the driver, bounded
+however large the corpus is. Each document is then kept with the probability of its cell, by a hash of its id and text, so
+that a re-run keeps the same ones.
 """
 
 from __future__ import annotations
@@ -14,41 +15,122 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import SLICE, encode, encoder
 from .common import written
 
-#: Sources without a name, and languages and topics that have no target of their own.
+#: Sources without a name and languages that have no target of their own.
 OTHER = "other"
-#: Target shares by language and topic; what is not named shares the rest.
+#: Target shares by language; what is not named shares the rest.
 LANGUAGES = {"en": 0.54, "de": 0.15, "fr": 0.15, "es": 0.15}
-TOPICS = {"prose": 0.7, "long": 0.2, "short": 0.05, "table": 0.02, "shout": 0.015, "marked": 0.015}
-#: Sources are brought to shares in proportion to this power of their tokens.
+#: Topics, and the numbers that a document's token counts are projected to for them.
+TOPICS, SKETCH = 8, 16
+#: Sources and topics are brought to shares in proportion to this power of their tokens.
 TEMPER = 0.8
 #: Share of all tokens that the mixture holds.
 BUDGET = 0.8
 SEED = 17
 #: Up to so many sources the rounds run on the driver, beyond in tasks; the weights are the same.
 LOCAL = 4096
+#: Token ids share so many rows of the projection.
+_ROWS = 4096
 
 
-def tokens_of(text: Column) -> Column:
-    """Estimated tokens: a quarter of the UTF-8 bytes, rounded up; 0 for null."""
-    return F.ceil(F.coalesce(F.octet_length(text), F.lit(0)) / 4).cast("long")
+def token_sketch(ids: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    """Unit vector of the projected square roots of the token counts; all 0 for no tokens."""
+    counts = np.sqrt(np.bincount(ids % _ROWS, minlength=_ROWS))
+    v = counts @ projection
+    n = np.linalg.norm(v)
+    return v / n if n else v
 
 
-def topic_of(text: Column) -> Column:
-    """Topic by the form of the whole text: table, shout, marked, short, long or prose; null counts as short."""
-    text = F.coalesce(text, F.lit(""))
-    n = F.greatest(F.length(text), F.lit(1))
-    left = lambda chars: F.length(F.translate(text, chars, ""))
-    marks, capitals, bars = "#$%&*!", "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÊÇÑÓÍ", "|"
-    share = lambda chars: 1 - left(chars) / n
-    return (
-        F.when(share(bars) > 0.02, "table").when(share(capitals) > 0.5, "shout").when(share(marks) > 0.1, "marked")
-        .when(F.length(text) < 400, "short").when(F.length(text) > 8000, "long").otherwise("prose")
-    )
+def measured(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+    """(doc, tokens, sketch) of every row, doc a struct of its columns as they are; a null text has no tokens."""
+    projection, text = np.random.default_rng(SEED).standard_normal((_ROWS, SKETCH)), docs.columns.index("text")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(rank_file, pattern)
+        for b in (big.slice(at, SLICE) for big in batches for at in range(0, big.num_rows, SLICE)):
+            ids = [encode(t, enc) for t in b.column(0).field(text).to_pylist()]
+            sketches = np.stack([token_sketch(x, projection) for x in ids])
+            flat = pa.ListArray.from_arrays(np.arange(0, sketches.size + 1, SKETCH, dtype=np.int32), sketches.ravel())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), flat], names=["doc", "tokens", "sketch"])
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    return rows.mapInArrow(apply, rows.select("doc", F.lit(0).cast("long").alias("tokens"), F.array(F.lit(0.0)).alias("sketch")).schema)
+
+
+def _sums_by(rows: DataFrame, n: int, number) -> np.ndarray:
+    """Sums and counts of vectors by number: number(frame) -> (0 .. n - 1, vectors) of a batch; n x (SKETCH + 1) numbers reach the driver."""
+    names = [f"v{i}" for i in range(SKETCH + 1)]
+
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((n, SKETCH + 1))
+        for pdf in batches:
+            if len(pdf):
+                k, x = number(pdf)
+                for j in range(SKETCH):
+                    total[:, j] += np.bincount(k, x[:, j], n)
+                total[:, SKETCH] += np.bincount(k, minlength=n)
+        yield pd.DataFrame(total, columns=names).assign(k=range(n))
+
+    parts = rows.where("tokens > 0").select("sketch", "l").mapInPandas(apply, ", ".join(f"{x} double" for x in names) + ", k long")
+    out = np.zeros((n, SKETCH + 1))
+    for r in parts.groupBy("k").agg(*[F.sum(x).alias(x) for x in names]).collect():
+        out[r.k] = [r[x] for x in names]
+    return out
+
+
+class Topics:
+    """Spherical k-means over the sketches of all rows(sketch, l, tokens), taken apart from the mean of their language.
+
+    Without that, topics would be the languages over again. The rounds begin with the means by the signs of the first numbers; a
+    centre without rows stays where it is. Of equally near centres the first is taken.
+    """
+
+    def __init__(self, rows: DataFrame, languages: list[str], topics: int, rounds: int = 8):
+        at = self.at = {x: k for k, x in enumerate(languages)}
+        found = _sums_by(rows, len(languages), lambda pdf: (pdf["l"].map(at).to_numpy(), np.stack(pdf["sketch"].to_numpy())))
+        means = self.means = found[:, :SKETCH] / np.maximum(1, found[:, SKETCH:])
+        apart = lambda pdf: Topics.apart(pdf["sketch"], pdf["l"], at, means)
+        bits = max(1, (topics - 1).bit_length())
+        powers, centres = 1 << np.arange(bits), None
+        for _ in range(rounds + 1):
+            if centres is None:
+                pick = lambda pdf: ((((x := apart(pdf))[:, :bits] > 0) @ powers) % topics, x)
+            else:
+                pick = lambda pdf, c=centres: (Topics.nearest(x := apart(pdf), c), x)
+            found = _sums_by(rows, topics, pick)
+            size = np.linalg.norm(found[:, :SKETCH], axis=1, keepdims=True)
+            fresh = np.divide(found[:, :SKETCH], size, out=np.zeros((topics, SKETCH)), where=size > 0)
+            fresh = fresh if centres is None else np.where(size > 0, fresh, centres)
+            if centres is not None and np.abs(fresh - centres).max() < 1e-4:
+                break
+            centres = fresh
+        self.centres = centres
+
+    @staticmethod
+    def apart(sketches: pd.Series, languages: pd.Series, at: dict[str, int], means: np.ndarray) -> np.ndarray:
+        x = np.stack(sketches.to_numpy()) - means[languages.map(at).to_numpy()]
+        n = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.divide(x, n, out=np.zeros_like(x), where=n > 1e-12)
+
+    @staticmethod
+    def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        return np.argmax(np.round(x @ centres.T, 9), axis=1)
+
+    def of(self, sketch, language):
+        """Column of topic names t0, t1, ..."""
+        at, means, centres = self.at, self.means, self.centres
+
+        @F.pandas_udf("string")
+        def topic(s: pd.Series, l: pd.Series) -> pd.Series:
+            return pd.Series([f"t{k}" for k in Topics.nearest(Topics.apart(s, l, at, means), centres)] if len(s) else [], dtype=object)
+
+        return topic(sketch, language)
 
 
 def rake(tokens: np.ndarray, targets: list[np.ndarray], rounds: int = 200, tolerance: float = 1e-10) -> np.ndarray:
@@ -112,7 +194,7 @@ def _sums(table: DataFrame | pd.DataFrame, n: int, part) -> np.ndarray:
 
 
 def _ratios(tokens: np.ndarray, goal: np.ndarray, logs: np.ndarray) -> np.ndarray:
-    """Weight over tokens of each cell with the logarithms of the factors by language and topic, sources brought to their goals."""
+    """Weight over tokens of each cell with the logarithms of the factors by topic and language, sources brought to their goals."""
     z = np.where(tokens > 0, logs, -np.inf)
     top = z.max(axis=1, keepdims=True)
     e = np.exp(z - np.where(np.isfinite(top), top, 0.0))
@@ -121,9 +203,10 @@ def _ratios(tokens: np.ndarray, goal: np.ndarray, logs: np.ndarray) -> np.ndarra
 
 
 def rake_sources(table: DataFrame | pd.DataFrame, targets: list[np.ndarray], rounds: int = 200, tolerance: float = 1e-10):
-    """rake() for a table(goal, tokens): the goals of all sources and the tokens of each by language and topic.
+    """rake() for a table(goal, tokens): the goals of all sources and the tokens of each by topic and language.
 
-    Gives a function (tokens, goal) -> weight over tokens of the cells. Sources are the first dimension, topics the last.
+    Gives a function (tokens, goal) -> weight over tokens of the cells. Sources are the first dimension, languages the last. Rounds end
+    when all marginals are met or, where they can't be, when rounds come no nearer.
     """
     shape = tuple(map(len, targets))
     n = shape[0] * shape[1]
@@ -134,7 +217,7 @@ def rake_sources(table: DataFrame | pd.DataFrame, targets: list[np.ndarray], rou
         t = np.where(some, targets[k], 0.0)
         t = np.where(some, 1.0, 0.0) if not t.sum() else t
         goals.append(t / max(1e-300, t.sum()) * there.sum())
-    logs, last = np.zeros(n), np.ones(n)
+    logs, last, before = np.zeros(n), np.ones(n), np.inf
     for _ in range(rounds):
         with np.errstate(divide="ignore"):
             logs = logs + np.log(last)
@@ -148,8 +231,9 @@ def rake_sources(table: DataFrame | pd.DataFrame, targets: list[np.ndarray], rou
             step = step.reshape([-1, 1] if k == 0 else [1, -1])
             w, change = w * step, change * step
         last = change.ravel()
-        if worst < tolerance:
+        if worst < tolerance or abs(worst - before) < tolerance:
             break
+        before = worst
     return lambda t, g: _ratios(t, g, logs) * last
 
 
@@ -175,36 +259,42 @@ def scale_of(table: DataFrame | pd.DataFrame, ratios, budget: float) -> float:
 
 
 def mix(
-    docs: DataFrame, languages: Mapping[str, float] = LANGUAGES, topics: Mapping[str, float] = TOPICS, sources: Mapping[str, float] | None = None,
-    temper: float = TEMPER, budget: float = BUDGET, seed: int = SEED, local: int = LOCAL,
+    docs: DataFrame, rank_file: str, pattern: str, languages: Mapping[str, float] = LANGUAGES, topics: int = TOPICS,
+    sources: Mapping[str, float] | None = None, temper: float = TEMPER, budget: float = BUDGET, seed: int = SEED, local: int = LOCAL,
 ) -> DataFrame:
-    """docs with _tokens, _topic, _probability and _sampled added; all rows.
-
-    sources are target shares by name; without them every source is brought to a share in proportion to tokens ** temper.
-    Null and unnamed sources, languages and topics belong to `other`, whose target is what the named ones leave of 1 (or,
-    where every source has one, its tokens ** temper). A null text has 0 tokens. Sampling is by a hash of doc_id and text,
-    so that rows which repeat both are kept or left together. No rows give no rows.
+    """(doc, tokens, topic, probability, sampled) of every row of docs, doc a struct of its columns.
+
+    tokens are those of the rank file; topics come from clusters of the documents' tokens, and each is brought to a share in proportion to its
+    tokens ** temper. sources are target shares by name; without them every source is brought to a share in proportion to tokens ** temper.
+    Null sources and null and unnamed languages belong to `other`, whose target is what the named ones leave of 1 (or,
+    where every source has one, its tokens ** temper); a source that is really called `other` is one with them. A null text has no tokens,
+    the topic of an empty one, and is kept. Sampling is by a hash of doc_id and text, so that rows which repeat both are kept or left together.
+    Other columns may have any name. No rows give no rows.
     """
-    rows = docs.withColumn("_tokens", tokens_of(F.col("text"))).withColumn("_topic", topic_of(F.col("text")))
     of = lambda c, names: F.when(F.col(c).isin(names), F.col(c)).otherwise(F.lit(OTHER)) if names else F.lit(OTHER)
-    source = F.coalesce("source", F.lit(OTHER)) if sources is None else of("source", list(sources))
-    rows = rows.withColumn("_s", source).withColumn("_l", of("lang", list(languages))).withColumn("_t", of("_topic", list(topics)))
-    axes = [[*dict.fromkeys([*names, OTHER])] for names in (languages, topics)]
-    targets = [np.array([t.get(x, max(0.0, 1 - sum(t.values()))) for x in a]) for t, a in zip((languages, topics), axes)]
-    cells = written(rows.groupBy("_s", "_l", "_t").agg(F.sum("_tokens").alias("n")).where("n > 0"), "cells")
+    source = F.coalesce("doc.source", F.lit(OTHER)) if sources is None else of("doc.source", list(sources))
+    names = [f"t{k}" for k in range(topics)]
+    axes = [names, [*dict.fromkeys([*languages, OTHER])]]
+    rows = written(measured(docs, rank_file, pattern), "measured").withColumn("l", of("doc.lang", list(languages)))
+    found = Topics(rows, axes[1], topics)
+    rows = rows.select("doc", "tokens", found.of(F.col("sketch"), F.col("l")).alias("topic"), source.alias("s"), "l")
+    cells = written(rows.groupBy("s", "l", "topic").agg(F.sum("tokens").alias("n")).where("n > 0"), "cells")
+    have = {r.topic: float(r.n) ** temper for r in cells.groupBy("topic").agg(F.sum("n").alias("n")).collect()}
+    # Languages come last: where topics and languages can't both be met, the named targets of the languages are.
+    targets = [np.array([have.get(x, 0.0) for x in names]), np.array([languages.get(x, max(0.0, 1 - sum(languages.values()))) for x in axes[1]])]
     at = list(itertools.product(*axes))
-    each = [F.coalesce(F.sum(F.when((F.col("_l") == x) & (F.col("_t") == y), F.col("n"))), F.lit(0)).cast("double") for x, y in at]
-    table = cells.groupBy("_s").agg(F.sum("n").alias("t"), F.array(*each).alias("tokens"))
+    each = [F.coalesce(F.sum(F.when((F.col("topic") == x) & (F.col("l") == y), F.col("n"))), F.lit(0)).cast("double") for x, y in at]
+    table = cells.groupBy("s").agg(F.sum("n").alias("t"), F.array(*each).alias("tokens"))
     if sources is None:
         share = F.pow(F.col("t").cast("double"), F.lit(float(temper)))
     else:
         shares = {OTHER: max(0.0, 1 - sum(sources.values()))} | dict(sources)
-        share = F.create_map(*[F.lit(x) for kv in shares.items() for x in (kv[0], float(kv[1]))])[F.col("_s")]
+        share = F.create_map(*[F.lit(x) for kv in shares.items() for x in (kv[0], float(kv[1]))])[F.col("s")]
     table = written(table.withColumn("share", share), "sources")
     sums = table.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.coalesce(F.sum("share"), F.lit(0.0)).alias("share")).first()
     total = float(sums.t)
     even = F.lit(total) / F.lit(float(max(1, table.count()))) if not sums.share else F.col("share") / F.lit(sums.share) * F.lit(total)
-    table = written(table.select("_s", "tokens", even.alias("goal")), "goals")
+    table = written(table.select("s", "tokens", even.alias("goal")), "goals")
     few = table if table.limit(local + 1).count() > local else table.toPandas()
     ratios = rake_sources(few, targets)
     whole = budget >= 1
@@ -217,16 +307,15 @@ def mix(
                 ratio = ratios(tokens, b["goal"].to_numpy())
                 p = np.where(ratio > 0, 1.0, 0.0) if whole else np.minimum(1, ratio * scale)
                 i, j = np.nonzero(tokens > 0)
-                s = b["_s"].to_numpy()[i]
-                yield pd.DataFrame({"_s": s, "_l": [at[k][0] for k in j], "_t": [at[k][1] for k in j], "_probability": p[i, j]})
+                yield pd.DataFrame({"s": b["s"].to_numpy()[i], "topic": [at[k][0] for k in j], "l": [at[k][1] for k in j], "p": p[i, j]})
 
-    cell = written(table.mapInPandas(known, "_s string, _l string, _t string, _probability double"), "probabilities")
-    joined = rows.join(cell, ["_s", "_l", "_t"], "left").drop("_s", "_l", "_t")
-    unit = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 11) / float(1 << 53)
-    probability = F.coalesce("_probability", F.lit(1.0))  # cells without tokens hold empty documents only
-    return joined.withColumn("_probability", probability).withColumn("_sampled", unit < F.col("_probability"))
+    cell = written(table.mapInPandas(known, "s string, topic string, l string, p double"), "probabilities")
+    joined = rows.join(cell, ["s", "l", "topic"], "left")
+    unit = F.shiftrightunsigned(F.xxhash64("doc.doc_id", "doc.text", F.lit(seed)), 11) / float(1 << 53)
+    probability = F.coalesce("p", F.lit(1.0))  # cells without tokens hold empty documents only
+    return joined.select("doc", "tokens", "topic", probability.alias("probability"), (unit < probability).alias("sampled"))
 
 
-def sampled(docs: DataFrame, **options) -> DataFrame:
+def sampled(docs: DataFrame, rank_file: str, pattern: str, **options) -> DataFrame:
     """The documents that mix() keeps, with the columns of docs."""
-    return mix(docs, **options).where("_sampled").select(*docs.columns)
+    return mix(docs, rank_file, pattern, **options).where("sampled").select("doc.*")

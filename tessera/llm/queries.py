@@ -78,15 +78,12 @@ def op7_substring_dedup(spark, sf_dir):
 
 
 def op6_mixing(spark, sf_dir):
-    from pyspark.sql import functions as F
+    import public_tokenizers
 
     from .mixing import mix
 
-    rows = mix(table(spark, sf_dir, "documents"))
-    return rows.select(
-        "doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.col("_probability").alias("probability"),
-        F.col("_sampled").alias("sampled"),
-    )
+    rows = mix(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return rows.select("doc.doc_id", "doc.source", "doc.lang", "topic", "tokens", "probability", "sampled")
 
 
 def op10_secret_scans(spark, sf_dir):

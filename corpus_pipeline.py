@@ -20,11 +20,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies, and every row without an id.
 
-    Near copies have a likeness of 0.8 or more of their sets of five-word shingles.
+    Near copies have a cosine similarity of 0.8 or more of their sets of five-word shingles.
     """
     from tessera.llm.simhash import keep_leads
 
-    return keep_leads(docs, width=5, likeness=0.8)
+    return keep_leads(docs, width=5, similarity=0.8)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +36,11 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents sampled to the target weights of source, language and topic."""
+    import public_tokenizers
+
     from tessera.llm.mixing import sampled
 
-    return sampled(docs)
+    return sampled(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,9 +31,11 @@ ARC_FIELDS = {
 #: Name space of synthesised record ids.
 IDS = uuid.uuid5(uuid.NAMESPACE_URL, "tessera:arc-to-warc")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-SEPARATOR = "\r\n\r\n"
+SEPARATOR = b"\r\n\r\n"
 #: An ARC archive made from rows is closed beyond so many bytes.
 ARCHIVE_BYTES = 4 << 20
+#: A WARC file is closed beyond so many compressed bytes.
+FILE_BYTES = 32 << 20
 
 
 class ArcRecord(NamedTuple):
@@ -220,14 +222,14 @@ def _batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
 
 
-def write_warcs(records: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Writes converted records as gzipped WARC files under path.
+def write_warcs(records: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
+    """Writes converted records as WARC files under path, a gzip member for each record, a file closed beyond file_bytes.
 
     Of records with equal payloads of at least min_bytes, the one with the largest page id (then record id) is
     the response; the others become revisits, which keep the HTTP head but not the payload. Keepers are found by partial
     aggregation over digests; only those of digests that occur twice are joined back. Spark's own
-    text writer puts down the bytes, with the blank lines that end a record as line separator, so that commits
-    and retries are Spark's. The records are written once first, as both steps read them.
+    text writer puts down the bytes, one row a file, so that commits and retries are Spark's; the line separator it adds is an empty gzip
+    member, which ends a file. The records are written once first, as both steps read them.
     """
     records = written(records, "converted")
     same = records.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(
@@ -240,32 +242,32 @@ def write_warcs(records: DataFrame, path: str, min_bytes: int = 0) -> None:
     )
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = True
+        out, size = [], 0
+        add = lambda record: out.append(gzip.compress(record + SEPARATOR, 6, mtime=0))
         for b in batches:
-            out, size = [], 0
             for r in b.to_pylist():
-                if first:
+                if not out:
                     info = b"software: tessera\r\nformat: WARC File Format 1.1\r\n"
-                    out.append(warc_record("warcinfo", str(uuid.uuid5(IDS, "info " + r["record_id"])), r["date"], info, "application/warc-fields", {}))
-                    first = False
+                    add(warc_record("warcinfo", str(uuid.uuid5(IDS, "info " + r["record_id"])), r["date"], info, "application/warc-fields", {}))
                 mime = "application/http; msgtype=response" if r["head"] else "application/octet-stream"
                 more = {"WARC-Target-URI": r["url"], "WARC-IP-Address": r["ip"], "WARC-Payload-Digest": "sha1:" + r["payload_digest"]}
                 if r["keeper"] is None:
-                    out.append(warc_record("response", r["record_id"], r["date"], r["head"] + r["payload"], mime, more))
+                    add(warc_record("response", r["record_id"], r["date"], r["head"] + r["payload"], mime, more))
                 else:
                     k = r["keeper"]
                     more |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": f"<urn:uuid:{k['record_id']}>", "WARC-Refers-To-Target-URI": k["url"], "WARC-Refers-To-Date": k["date"]}
-                    out.append(warc_record("revisit", r["record_id"], r["date"], r["head"], mime, more))
+                    add(warc_record("revisit", r["record_id"], r["date"], r["head"], mime, more))
                 size += len(out[-1])
-                if size > ARCHIVE_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
-                    out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                if size > file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], names=["file"])
+                    out.clear()
+                    size = 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], names=["file"])
 
-    rows.mapInArrow(apply, "record binary").select(F.col("record").cast("string")).write.option("lineSep", SEPARATOR).option(
-        "compression", "gzip"
-    ).text(path)
+    files = rows.mapInArrow(apply, "file binary").select(F.col("file").cast("string"))
+    options = {"lineSep": gzip.compress(b"", mtime=0).decode("latin-1"), "encoding": "ISO-8859-1", "maxRecordsPerFile": 1, "compression": "none"}
+    files.write.options(**options).text(path)
 
 
 def read_warcs(spark, path: str) -> DataFrame:
@@ -296,7 +298,7 @@ def read_warcs(spark, path: str) -> DataFrame:
                     types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(
         apply, "record_id string, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to_record string"
     )
@@ -315,6 +317,7 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0, version: int = 1, path:
     write_warcs(convert(arcs_of_pages(pages, version=version)), path, min_bytes)
     found = written(read_warcs(spark, path), "records")
     targets = found.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to"))
-    return found.join(targets, "refers_to_record", "left").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"
-    )
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
+    # Responses refer to nothing and stay out of the join, in which their nulls would be one key.
+    revisits = found.where("refers_to_record is not null").join(targets, "refers_to_record", "left").select(*columns)
+    return found.where("refers_to_record is null").withColumn("refers_to", F.lit(None).cast("long")).select(*columns).unionByName(revisits)

@@ -73,7 +73,7 @@ def test_copies_nulls_and_files(spark, tmp_path, version):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as head", "2 as keeper").repartition(3)
     assert result(archive_pages(df, version=version, path=f"file://{tmp_path}/w")) == brute(rows)
     seen = 0
-    for p in (tmp_path / "w").glob("*.gz"):
+    for p in (tmp_path / "w").glob("part-*"):
         data = gzip.decompress(p.read_bytes())
         for fields, block in read_warc(io.BytesIO(data)):
             assert re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", fields["warc-record-id"])
@@ -90,3 +90,25 @@ def test_empty_table_null_and_repeated_ids(spark):
     assert archive_pages(df.limit(0)).count() == 0
     got = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in archive_pages(df).collect() if True)
     assert got == [(0, "response", None), (0, "revisit", 1), (1, "response", None), (1, "revisit", 1)]
+
+
+def test_files_close_by_size_with_a_member_for_each_record(spark, tmp_path):
+    import zlib
+
+    from tessera.llm.warc import arcs_of_pages, convert, read_warcs, write_warcs
+
+    rows = [(i, f"http://a/{i}", f"{i} " + "".join(chr(33 + (i * j) % 90) for j in range(3000))) for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    write_warcs(convert(arcs_of_pages(df)), f"file://{tmp_path}/w", file_bytes=4000)
+    files = sorted((tmp_path / "w").glob("part-*"))
+    assert len(files) > 3
+    for p in files:
+        data, kinds = p.read_bytes(), []
+        while data:
+            d = zlib.decompressobj(31)
+            member = d.decompress(data) + d.flush()
+            data = d.unused_data
+            kinds += [f["warc-type"] for f, _ in read_warc(io.BytesIO(member))] or [None]
+        # One record in each member; an empty member ends the file.
+        assert kinds[0] == "warcinfo" and kinds[-1] is None and set(kinds[1:-1]) == {"response"}
+    assert read_warcs(spark, f"file://{tmp_path}/w").count() == len(rows)

@@ -133,22 +133,34 @@ def neighbour_fingerprints(
     spark = docs.sparkSession
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    ).withColumn("key", F.coalesce("id", F.lit(_LEAST)))
+    ).withColumn("key", F.coalesce("id", F.lit(_LEAST))).withColumn("hash", F.xxhash64("text"))
     n = ranges or shuffle_parts(spark)
-    cuts = sorted(set(rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [1.0], 10_000)).first()[0] or []))
-    # Range 0 has the largest ids. At most n numbers, whatever the table's size.
-    rank = F.lit(len(cuts)) - F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("key"))) if cuts else F.lit(0)
-    rows = rows.withColumn("part", rank.cast("int"))
-    heads = [(r.part, r.head) for r in rows.groupBy("part").agg(F.max("key").alias("head")).orderBy("part").collect()]
-    at = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}
-    guest = F.element_at(F.create_map(*[F.lit(x) for kv in at.items() for x in kv]), F.col("key")) if at else F.lit(None)
-    place = F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("guest")), F.struct(guest.cast("int").alias("part"), F.lit(True).alias("guest")))
+    known = rows.where("id is not null")
+    cuts = np.array(sorted(set(known.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [1.0], 10_000)).first()[0] or [])), np.int64)
+    top = len(cuts)
+
+    @F.pandas_udf("int")
+    def rank(keys: pd.Series) -> pd.Series:
+        return pd.Series(top - np.searchsorted(cuts, keys.to_numpy(np.int64), "left"), dtype="int32")
+
+    # Range 0 has the largest ids. Rows without an id come after all, dealt to n ranges of their texts' hashes.
+    step = (1 << 64) // n + 1
+    alone = F.lit(top + 1) + F.expr(f"(cast(hash as decimal(20, 0)) + {1 << 63}bd) div {step}bd")
+    rows = rows.withColumn("part", F.when(F.col("id").isNull(), alone.cast("int")).otherwise(rank("key")))
+    # The first row of a range goes to the range before as a guest: 2 n rows at most, whatever the table's size.
+    first = F.min(F.struct((-F.col("key").cast("decimal(20,0)")).alias("down"), "hash"))
+    heads = [(r.part, r.first) for r in rows.groupBy("part").agg(first.alias("first")).orderBy("part").collect()]
+    at = [(-int(f.down), f.hash, heads[i - 1][0]) for i, (_, f) in enumerate(heads)]
+    # Only the range with the ids needs them: a repeated first id and text is sent as often as it occurs, and used once.
+    guests = spark.createDataFrame(at, "key long, hash long, before int") if at else spark.createDataFrame([], "key long, hash long, before int")
+    rows = rows.join(F.broadcast(guests), ["key", "hash"], "left")
+    place = F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("guest")), F.struct(F.col("before").alias("part"), F.lit(True).alias("guest")))
     dealt = (
-        rows.select("id", "key", "text", F.explode(place).alias("p"))
-        .select(F.col("p.part").alias("part"), F.col("p.guest").alias("guest"), "id", "key", "text")
+        rows.select("id", "key", "hash", "text", F.explode(place).alias("p"))
+        .select(F.col("p.part").alias("part"), F.col("p.guest").alias("guest"), "id", "key", "hash", "text")
         .where("part is not null")
         .repartitionById(n, F.col("part"))
-        .sortWithinPartitions("part", "guest", F.desc("key"), F.xxhash64("text"))
+        .sortWithinPartitions("part", "guest", F.desc("key"), "hash")
     )
     schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]

@@ -53,12 +53,14 @@ def _unit(packed: pd.Series, dim: int) -> np.ndarray:
     """Unit rows in double precision of packed vectors, whose width tells single from double precision."""
     data = b"".join(packed)
     x = np.frombuffer(data, "<f4" if len(data) == 4 * dim * len(packed) else "<f8").reshape(len(packed), dim).astype(np.float64)
+    # First by a power of two, which rounds nothing, so that no square over- or underflows.
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def embedding_groups(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.93,
-    projections: int = 16, window_deviations: float = 3.3, recall: float = 0.9995, block_rows: int = 8192,
+    projections: int = 16, window_deviations: float = 3.3, recall: float = 0.9995, block_rows: int = 1024,
 ) -> DataFrame:
     """Near-duplicate vectors -> one row for each row: id, n_links, component_id, kept.
 

@@ -73,7 +73,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     Earlier is the smaller (id, key, start), null ids last. A digest that very many documents share is counted by
     partial sums and joined with skew splitting.
     """
-    found = unit_rows(docs)
+    found = written(unit_rows(docs), "units")
     often = written(found.groupBy("d1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d1"), "often")
     again = written(found.join(often, "d1"), "again")
     rank = F.struct(F.col("id").isNull().alias("last"), "id", "key", "start")

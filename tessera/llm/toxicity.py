@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, written
 
 #: Labelled documents that a fit uses at most, those of the smallest hashes of their ids.
 SAMPLE = 8000
@@ -103,9 +103,10 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories, sample: int) -> DataFrame:
     """(id, y0, y1, ..., words, form) of at most `sample` labelled documents.
 
-    Of repeated labels the largest value of each category holds; labels that are null count as not applying.
+    Of repeated labels the largest value of each category holds. A category whose labels are all null is null, and the document no example
+    for it. Of rows that repeat an id the text with the smallest hash is taken.
     """
-    cats = [F.max(F.when(F.col(c) == v, 1).otherwise(0)).alias(f"y{i}") for i, (_, c, v) in enumerate(categories)]
+    cats = [F.max(F.when(F.col(c) == v, 1).when(F.col(c).isNotNull(), 0)).alias(f"y{i}") for i, (_, c, v) in enumerate(categories)]
     ids = (
         labels.where("doc_id is not null").groupBy("doc_id").agg(*cats)
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -124,6 +125,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories, sample: int)
     ys = [f"y{i}" for i in range(len(cats))]
     # The ids are at most `sample`, so the broadcast has a fixed bound.
     joined = texts.join(F.broadcast(ids), "id").select("id", *ys, "text")
+    joined = joined.groupBy("id", *ys).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
     schema = "id long, " + ", ".join(f"{y} int" for y in ys) + ", words array<string>, form array<double>"
     return written(joined.mapInArrow(apply, schema), "sampled")
 
@@ -132,14 +134,18 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample:
     """Fits the chain on a bounded sample. Without labelled rows every probability is 0.5 and nothing is flagged."""
     rows = labelled_sample(docs, labels, categories, sample)
     ys = [f"y{i}" for i in range(len(categories))]
-    n, *pos = rows.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(y), F.lit(0)) for y in ys]).first()
-    if not n:
+    total, *sums = rows.agg(F.count(F.lit(1)), *[F.count(y) for y in ys], *[F.coalesce(F.sum(y), F.lit(0)) for y in ys]).first()
+    known, pos = sums[: len(ys)], sums[len(ys) :]
+    if not total:
         return Chain({}, tuple(Link(c[0], np.zeros(5 + i), 1.0) for i, c in enumerate(categories)))
-    counts = rows.select(*ys, F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in ys]).where(F.col("n") >= least)
+    counts = rows.select(*ys, F.explode("words").alias("word")).groupBy("word").agg(
+        F.count(F.lit(1)).alias("all"), *[F.coalesce(F.sum(y), F.lit(0)).alias(y) for y in ys], *[F.count(y).alias(f"n{i}") for i, y in enumerate(ys)]
+    ).where(F.col("all") >= least)
     chosen: dict[str, int] = {}
     for i, y in enumerate(ys):
         # Likelihood ratio of word and category against independence.
-        cells = ((F.col(y), pos[i], F.col("n")), (F.col("n") - F.col(y), n - pos[i], F.col("n")), (pos[i] - F.col(y), pos[i], n - F.col("n")), (n - pos[i] - F.col("n") + F.col(y), n - pos[i], n - F.col("n")))
+        n, with_word = known[i], F.col(f"n{i}")
+        cells = ((F.col(y), pos[i], with_word), (with_word - F.col(y), n - pos[i], with_word), (pos[i] - F.col(y), pos[i], n - with_word), (n - pos[i] - with_word + F.col(y), n - pos[i], n - with_word))
         score = sum((F.when(o > 0, o * F.log(o * n / (col * row))).otherwise(0.0) for o, col, row in cells), F.lit(0.0))
         for r in counts.select("word", score.alias("s")).orderBy(F.desc("s"), "word").limit(terms).collect():
             chosen.setdefault(r.word, len(chosen))
@@ -152,9 +158,13 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample:
     fold = np.array([r.id % 2_147_483_629 % FOLDS for r in data])
     links, features = [], x
     for i, (name, *_) in enumerate(categories):
-        y = np.array([r[f"y{i}"] for r in data], float)
-        p = out_of_fold(features, y, fold)
-        links.append(Link(name, fit_linear(features, y), best_threshold(p, y)))
+        y = np.array([np.nan if r[f"y{i}"] is None else r[f"y{i}"] for r in data], float)
+        have = ~np.isnan(y)
+        w = fit_linear(features[have], y[have])
+        # Documents without a label of this category take no part in its fit, so the whole model's prediction is out of sample for them.
+        p = sigmoid(features @ w[:-1] + w[-1])
+        p[have] = out_of_fold(features[have], y[have], fold[have])
+        links.append(Link(name, w, best_threshold(p[have], y[have])))
         features = np.hstack([features, p[:, None].astype(np.float32)])
     return Chain(chosen, tuple(links))
 
@@ -193,9 +203,12 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, chain: Chain, category: str = "toxic", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text the chain does not put in the category; all columns as they were."""
+    """The rows of docs whose text the chain does not put in the category; all columns as they were, whatever their names.
+
+    Null and empty texts are judged as texts without words. Null ids and repeated rows are judged like any others. No rows give no rows.
+    """
     k = [link.name for link in chain.links].index(category)
-    fine = f"_keep_{category}"
+    fine = free_name(docs, f"keep_{category}")
 
     @F.pandas_udf("boolean")
     def keep(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,23 +47,44 @@ def roughness(grid: DataFrame, value: str, out: str) -> DataFrame:
     return v.withColumn(out, F.sqrt(F.greatest(F.lit(0.0), F.col("_q") / F.col("_1") - mean * mean))).drop("_1", "_h", "_q")
 
 
-def residual(grid: DataFrame, value: str, out: str) -> DataFrame:
-    """Value less its prediction left + below - diagonal, a missing neighbour counting as 0."""
-    at = lambda w: F.coalesce(F.when(w[1], w[0]), F.lit(0))
-    row, col = Window.partitionBy("r").orderBy("c"), Window.partitionBy("c").orderBy("r")
-    left = at((F.lag(value).over(row), F.lag("c").over(row) == F.col("c") - 1))
-    v = grid.withColumn("_left", left)
-    below = at((F.lag(value).over(col), F.lag("r").over(col) == F.col("r") - 1))
-    diagonal = grid.select((F.col("r") + 1).alias("r"), (F.col("c") + 1).alias("c"), F.col(value).alias("_diag"))
-    v = v.withColumn("_below", below).join(diagonal, ["r", "c"], "left")
-    return v.withColumn(out, F.col(value) - (F.col("_left") + F.col("_below") - F.coalesce("_diag", F.lit(0)))).drop("_left", "_below", "_diag")
+def guess(left: Column, below: Column, corner: Column) -> Column:
+    """Median edge detector: the smaller of left and below at an edge downwards, the larger at one upwards, else left + below - corner.
 
-
-def restored(grid: DataFrame, out: str, value: str) -> DataFrame:
-    """Inverse of residual(): a double running sum of the residuals over a grid without holes."""
-    row = Window.partitionBy("r").orderBy("c").rowsBetween(Window.unboundedPreceding, 0)
-    col = Window.partitionBy("c").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
-    return grid.withColumn("_a", F.sum(out).over(row)).withColumn(value, F.sum("_a").over(col)).drop("_a")
+    Where left or below is missing the other is the guess, where both are 0, and where the corner alone is missing left.
+    """
+    low, high = F.least(left, below), F.greatest(left, below)
+    plain = F.when(corner >= high, low).when(corner <= low, high).otherwise(left + below - corner)
+    return F.coalesce(F.when(left.isNotNull() & below.isNotNull(), F.coalesce(plain, left)), left, below, F.lit(0))
+
+
+def residual(grid: DataFrame, value: str, out: str, tile: int = 256) -> DataFrame:
+    """Value less its guess from the cells to the left, below and in the corner between, within tiles, so that each tile can be restored by itself."""
+    at = lambda dr, dc, name: grid.select((F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c"), F.col(value).alias(name))
+    v = grid.join(at(0, 1, "_left"), ["r", "c"], "left").join(at(1, 0, "_below"), ["r", "c"], "left").join(at(1, 1, "_corner"), ["r", "c"], "left")
+    in_row, in_column = F.pmod("c", F.lit(tile)) > 0, F.pmod("r", F.lit(tile)) > 0
+    g = guess(F.when(in_row, F.col("_left")), F.when(in_column, F.col("_below")), F.when(in_row & in_column, F.col("_corner")))
+    return v.withColumn(out, F.col(value) - g).drop("_left", "_below", "_corner")
+
+
+def restored(grid: DataFrame, out: str, value: str, tile: int = 256) -> DataFrame:
+    """(r, c, value): inverse of residual(). A tile of at most tile x tile cells is one kernel, as each cell needs those before it."""
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["r", "c"])
+        known: dict[tuple[int, int], int] = {}
+        for r, c, d in zip(pdf["r"].tolist(), pdf["c"].tolist(), pdf["d"].tolist()):
+            left, below = (known.get(k) if same else None for k, same in (((r, c - 1), c % tile), ((r - 1, c), r % tile)))
+            if left is None or below is None:
+                g = next((x for x in (left, below) if x is not None), 0)
+            else:
+                corner = known.get((r - 1, c - 1))
+                g = left if corner is None else sorted((left, below, left + below - corner))[1]
+            known[r, c] = d + g
+        return pd.DataFrame({"r": [k[0] for k in known], "c": [k[1] for k in known], "v": list(known.values())})
+
+    rows = grid.select(F.col("r").cast("long"), F.col("c").cast("long"), F.col(out).cast("long").alias("d"))
+    dealt = rows.groupBy(F.floor(F.col("r") / tile), F.floor(F.col("c") / tile))
+    return dealt.applyInPandas(kernel, "r long, c long, v long").withColumnRenamed("v", value)
 
 
 def coarsen_max(grid: DataFrame, value: str, factor: int, ignore: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from ..operators import graph as gr
 from ..operators import grid as gd
 from ..operators import temporal as tm
 from .registry import ORACLES, QUERIES, query, table
-from .spatial import C, CLASS_SQL, GRID_SQL, LINES, TRACK_SQL, _classes, _grid, _tracks
+from .spatial import C, CELLS, CLASS_SQL, GRID_SQL, HOLED, TRACK_SQL, _classes, _grid, _tracks
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, 'https?://[^\\s\"''<>]+'))::INT AS addresses, contains(lower(html), '</script') AS breaks FROM pages")
@@ -66,12 +66,12 @@ def jump_report(spark, sf):
 
 
 @query(f"""
-WITH a AS ({GRID_SQL}), b AS (SELECT r, c, q + CASE WHEN (r + c) % 4 = 0 THEN r ELSE 0 END AS q FROM a WHERE c < 20)
+WITH a AS ({GRID_SQL}), b AS (SELECT r, c, q + CASE WHEN (r + c) % 4 = 0 THEN r ELSE 0 END AS q FROM a WHERE q % 5 <> 1)
 SELECT count(*) AS n, round(avg(a.q - b.q), 9) AS mean, max(abs(a.q - b.q))::BIGINT AS worst, round(avg((a.q <> b.q)::INT), 9) AS changed FROM a JOIN b USING (r, c)
 """)
 def compare_grids(spark, sf):
     a = _grid(spark, sf)
-    b = a.where("c < 20").withColumn("q", F.col("q") + F.when((F.col("r") + F.col("c")) % 4 == 0, F.col("r")).otherwise(0))
+    b = a.where("q % 5 <> 1").withColumn("q", F.col("q") + F.when((F.col("r") + F.col("c")) % 4 == 0, F.col("r")).otherwise(0))
     d = gd.compare(a, b, ["r", "c"], "q")
     return d.select("n", F.round("mean", 9).alias("mean"), F.col("worst").cast("long").alias("worst"), F.round("changed", 9).alias("changed"))
 
@@ -88,16 +88,18 @@ def change_plane(spark, sf):
 
 
 @query(f"""
-WITH g AS ({GRID_SQL}), s AS (SELECT a.r, a.c, (a.q > 150)::INT + (b.q > 150)::INT + (d.q > 150)::INT + (e.q > 150)::INT AS up, (a.q > 150) = (e.q > 150) AND (b.q > 150) = (d.q > 150) AND (a.q > 150) <> (b.q > 150) AS saddle
-  FROM g a JOIN g b ON b.r = a.r AND b.c = a.c + 1 JOIN g d ON d.r = a.r + 1 AND d.c = a.c JOIN g e ON e.r = a.r + 1 AND e.c = a.c + 1)
-SELECT r, c, CASE WHEN saddle THEN 2 ELSE 1 END::BIGINT AS segments, TRUE AS within FROM s WHERE up BETWEEN 1 AND 3
+WITH g AS (SELECT *, floor(avg(q) OVER ()) + 0.5 AS v FROM ({GRID_SQL})),
+k AS (SELECT a.r, a.c, a.v, [a.q, b.q, e.q, d.q] AS q, [a.q > a.v, b.q > a.v, e.q > a.v, d.q > a.v] AS up FROM g a JOIN g b ON b.r = a.r AND b.c = a.c + 1 JOIN g d ON d.r = a.r + 1 AND d.c = a.c JOIN g e ON e.r = a.r + 1 AND e.c = a.c + 1),
+s AS (SELECT k.r, k.c, i, (v - q[i]) / (q[i % 4 + 1] - q[i]) AS t, up[1] = up[3] AND up[2] = up[4] AS saddle FROM k, range(1, 5) o(i) WHERE up[i] <> up[i % 4 + 1]),
+x AS (SELECT r, c, saddle, CASE i WHEN 1 THEN c + t WHEN 2 THEN c + 1 WHEN 3 THEN c + 1 - t ELSE c END AS x, CASE i WHEN 1 THEN r WHEN 2 THEN r + t WHEN 3 THEN r + 1 ELSE r + 1 - t END AS y FROM s)
+SELECT r, c, count(*) // 2 AS segments, round(sum(x), 6) AS sum_x, round(sum(y), 6) AS sum_y FROM x GROUP BY ALL
 """)
-def shore_squares(spark, sf, level=150.0):
-    """Squares that the shore at a level runs through, and how often."""
-    s = gd.shore(_grid(spark, sf), "q", level)
-    near = lambda v, k: F.col(v).between(F.col(k), F.col(k) + 1)
-    fine = near("x0", "c") & near("x1", "c") & near("y0", "r") & near("y1", "r")
-    return s.groupBy("r", "c").agg(F.count(F.lit(1)).alias("segments"), F.bool_and(fine).alias("within"))
+def shore_squares(spark, sf):
+    """Squares that the shore at the mean level runs through, with its segments and the sums of their ends."""
+    g = _grid(spark, sf)
+    s = gd.shore(g, "q", float(g.agg(F.floor(F.avg("q"))).first()[0]) + 0.5)
+    ends = lambda k: F.round(F.sum(F.col(f"{k}0") + F.col(f"{k}1")), 6).alias(f"sum_{k}")
+    return s.groupBy("r", "c").agg(F.count(F.lit(1)).alias("segments"), ends("x"), ends("y"))
 
 
 @query(f"""
@@ -141,25 +143,23 @@ def simplified_tracks(spark, sf):
     return _tracks(spark, sf).select("user_id", F.size("line").alias("points"), F.size(simplified(F.col("line"), 40.0)).alias("left"))
 
 
-def _over_all(name, sql=None, **options):
-    """Registers the grid query `name` a second time, as `<name>_all`, over every line of lineitem; its SQL likewise."""
+def _over_all(name):
+    """Registers the grid query `name` a second time, as `<name>_all`, over the grid without holes; its SQL likewise."""
 
     def f(spark, sf, inner=QUERIES[name]):
-        over = LINES.set("TRUE")
+        over = CELLS.set("TRUE")
         try:
-            return inner(spark, sf, **options)
+            return inner(spark, sf)
         finally:
-            LINES.reset(over)
+            CELLS.reset(over)
 
-    f.__name__, f.__doc__ = f"{name}_all", f"{name} over all lines."
-    sql = sql or ORACLES.get(name)
-    query(sql and sql.replace(GRID_SQL, GRID_SQL.replace(LINES.get(), "TRUE")))(f)
+    f.__name__, f.__doc__ = f"{name}_all", f"{name} over the grid without holes."
+    sql = ORACLES.get(name)
+    query(sql and sql.replace(GRID_SQL, GRID_SQL.replace(HOLED, "TRUE")))(f)
 
 
-#: Queries over the grid; distance_field_all stands by itself. Three times the lines have the shore at three times the level.
 for _name in (
-    "grid_residual", "square_min", "masked_blur", "roughness3", "bilinear_blend", "area_average", "coarsen_max", "majority_disc", "patches", "widest_path", "grid_hash",
-    "noise_field", "disc_mean", "seam_test", "speckle_test", "compare_grids", "shortest_hops", "absorbed_patches",
+    "grid_residual", "square_min", "masked_blur", "roughness3", "bilinear_blend", "area_average", "coarsen_max", "majority_disc", "patches", "widest_path", "distance_field",
+    "grid_hash", "noise_field", "disc_mean", "seam_test", "speckle_test", "compare_grids", "shore_squares", "shortest_hops", "absorbed_patches",
 ):
     _over_all(_name)
-_over_all("shore_squares", ORACLES["shore_squares"].replace("150", "450"), level=450.0)

@@ -270,11 +270,11 @@ def lang_cascade(spark, sf):
     return _names(spark).select("id", "lang", "rule")
 
 
-LATIN = (("1", "Neva"), ("2", "Plyushchivka"), ("3", "Kozhanovskoye ozero"), ("4", "Myadzyel"), ("5", "Dnipro"), ("6", "Dnepr"), ("7", "Sluch"), ("8", "Wla"), ("9", "Sozh"), ("10", "DNEPR"), ("11", "Yizha"),
+LATIN = (("1", "Neva"), ("2", "Pliushchivka"), ("3", "Kozhanovskoye ozero"), ("4", "Myadzyel"), ("5", "Dnipro"), ("6", "Dnepr"), ("7", "Sluch"), ("8", "Wla"), ("9", "Sozh"), ("10", "DNEPR"), ("11", "Yizha"),
          ("12", "Obyezd"), ("13", "Zghraia-Yahoda"), ("14", "Shchuchye"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(map(str, LATIN)).replace("Plyushchivka", "Pliushchivka") + ") t(id, latin)")
+@query("SELECT * FROM (VALUES " + ", ".join(map(str, LATIN)) + ") t(id, latin)")
 def romanize(spark, sf):
     return _names(spark).select("id", nm.romanize("text", "lang").alias("latin"))
 

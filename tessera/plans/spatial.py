@@ -21,19 +21,21 @@ from .registry import query, table
 from .temporal import hash_sql
 
 R, C = 20, 24
-GRID_SQL = f"SELECT (l_suppkey % {R})::BIGINT AS r, (l_partkey % {C})::BIGINT AS c, sum(l_quantity)::BIGINT AS q FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY ALL"
+#: Cells that have a quantity: in the plain queries those that a condition on it leaves, so that the grid has holes; in the queries named `<name>_all` all.
+HOLED = "q % 9 <> 0"
+GRID_SQL = f"SELECT r, c, q FROM (SELECT (l_suppkey % {R})::BIGINT AS r, (l_partkey % {C})::BIGINT AS c, sum(l_quantity)::BIGINT AS q FROM lineitem GROUP BY ALL) WHERE {HOLED}"
 POINTS_SQL = "SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings"
 TRACK_SQL = "SELECT user_id, value::DOUBLE AS x, hour(ts)::DOUBLE AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_id FROM events"
 RINGS = (("a", (((-0.3, -0.3), (0.3, -0.25), (0.25, 0.3), (-0.2, 0.25)), ((-0.05, -0.05), (0.05, -0.05), (0.05, 0.05), (-0.05, 0.05)))), ("b", (((0.013, 0.007), (0.5, 0.1), (0.1, 0.5)),)))
 
 
-#: The lines that _grid() sums: those of the stated SQL, or all of them in the queries named `<name>_all`.
-LINES = ContextVar("LINES", default="l_orderkey % 3 = 0")
+CELLS = ContextVar("CELLS", default=HOLED)
 
 
 def _grid(spark, sf):
-    l = table(spark, sf, "lineitem").where(LINES.get())
-    return l.groupBy((F.col("l_suppkey") % R).alias("r"), (F.col("l_partkey") % C).alias("c")).agg(F.sum("l_quantity").cast("long").alias("q"))
+    """Quantities of all lines by cell."""
+    l = table(spark, sf, "lineitem")
+    return l.groupBy((F.col("l_suppkey") % R).alias("r"), (F.col("l_partkey") % C).alias("c")).agg(F.sum("l_quantity").cast("long").alias("q")).where(CELLS.get())
 
 
 def _points(spark, sf):
@@ -131,8 +133,9 @@ def knn_vote(spark, sf):
 
 
 @query(f"""
-WITH g AS ({GRID_SQL}) SELECT g.r, g.c, g.q - (coalesce(a.q, 0) + coalesce(b.q, 0) - coalesce(d.q, 0)) AS res FROM g
-LEFT JOIN g a ON a.r = g.r AND a.c = g.c - 1 LEFT JOIN g b ON b.r = g.r - 1 AND b.c = g.c LEFT JOIN g d ON d.r = g.r - 1 AND d.c = g.c - 1
+WITH g AS ({GRID_SQL}), n AS (SELECT g.r, g.c, g.q, a.q AS l, b.q AS u, d.q AS k FROM g
+LEFT JOIN g a ON a.r = g.r AND a.c = g.c - 1 LEFT JOIN g b ON b.r = g.r - 1 AND b.c = g.c LEFT JOIN g d ON d.r = g.r - 1 AND d.c = g.c - 1)
+SELECT r, c, q - CASE WHEN l IS NULL OR u IS NULL THEN coalesce(l, u, 0) WHEN k IS NULL THEN l ELSE list_sort([l, u, l + u - k])[2] END AS res FROM n
 """)
 def grid_residual(spark, sf):
     return gd.residual(_grid(spark, sf), "q", "res").select("r", "c", "res")
@@ -235,23 +238,12 @@ def widest_path(spark, sf):
 
 @query(f"""
 WITH RECURSIVE g AS (SELECT r, c, q FROM ({GRID_SQL})), t(r, c, d) AS (SELECT r, c, 0 FROM g WHERE q % 11 = 0
-  UNION SELECT g.r, g.c, t.d + CASE WHEN g.r = t.r OR g.c = t.c THEN 3 ELSE 4 END FROM t JOIN g ON greatest(abs(g.r - t.r), abs(g.c - t.c)) = 1 WHERE t.d < 24)
-SELECT r, c, round(min(d) / 3.0, 6) AS dist FROM t GROUP BY 1, 2 HAVING min(d) <= 20
+  UNION SELECT g.r, g.c, t.d + CASE WHEN g.r = t.r OR g.c = t.c THEN 3 ELSE 4 END FROM t JOIN g ON greatest(abs(g.r - t.r), abs(g.c - t.c)) = 1 WHERE t.d < {4 * (R + C)})
+SELECT r, c, round(min(d) / 3.0, 6) AS dist FROM t GROUP BY 1, 2
 """)
 def distance_field(spark, sf):
     """Chamfer 3-4 distance to the nearest source cell, in cells."""
-    g = gd.distance_field(_grid(spark, sf), F.col("q") % 11 == 0, 3.0, 4.0, "d").where("d <= 20")
-    return g.select("r", "c", F.round(F.col("d") / 3, 6).alias("dist"))
-
-
-@query()
-def distance_field_all(spark, sf):
-    """distance_field over all lines and without its bound; rows only, as the recursive SQL needs the bound to end."""
-    over = LINES.set("TRUE")
-    try:
-        g = gd.distance_field(_grid(spark, sf), F.col("q") % 11 == 0, 3.0, 4.0, "d")
-    finally:
-        LINES.reset(over)
+    g = gd.distance_field(_grid(spark, sf), F.col("q") % 11 == 0, 3.0, 4.0, "d").where("d is not null")
     return g.select("r", "c", F.round(F.col("d") / 3, 6).alias("dist"))
 
 
@@ -266,14 +258,52 @@ def noise_field(spark, sf):
     return _grid(spark, sf).select("r", "c", F.round(value_noise(F.col("c"), F.col("r"), 5.0, 9), 9).alias("noise"))
 
 
-@query(f"SELECT vec_id, TRUE AS laea_back, TRUE AS tm_back FROM ({POINTS_SQL})")
+#: GRS80; fixed values. The oracle's forward formulas are Snyder's (authalic latitude) and Karney's (series of the sixth order).
+_A, _F = 6378137.0, 1 / 298.257222101
+_E2 = _F * (2 - _F)
+_N = _F / (2 - _F)
+_ALPHA = (
+    (1, 1 / 2, -2 / 3, 5 / 16, 41 / 180, -127 / 288, 7891 / 37800), (2, 13 / 48, -3 / 5, 557 / 1440, 281 / 630, -1983433 / 1935360), (3, 61 / 240, -103 / 140, 15061 / 26880, 167603 / 181440),
+    (4, 49561 / 161280, -179 / 168, 6601661 / 7257600), (5, 34729 / 80640, -3418889 / 1995840), (6, 212378941 / 319334400),
+)
+
+
+def _q_sql(sin: str) -> str:
+    e = _E2**0.5
+    return f"((1 - ({_E2!r})::DOUBLE) * ({sin} / (1 - ({_E2!r})::DOUBLE * {sin} * {sin}) - ln((1 - ({e!r})::DOUBLE * {sin}) / (1 + ({e!r})::DOUBLE * {sin})) / (2 * ({e!r})::DOUBLE)))"
+
+
+def _tm_sums() -> tuple[str, str]:
+    terms = [(2 * j, sum(c * _N ** (j + i) for i, c in enumerate(cs))) for j, *cs in _ALPHA]
+    return (
+        " + ".join(f"({a!r})::DOUBLE * sin({k} * xi) * cosh({k} * eta)" for k, a in terms), " + ".join(f"({a!r})::DOUBLE * cos({k} * xi) * sinh({k} * eta)" for k, a in terms),
+    )
+
+
+_RADIUS = _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64 + _N**6 / 256)
+
+
+@query(f"""
+WITH p AS (SELECT vec_id, radians(20 + x * 20) AS lon, radians(55 + y * 20) AS lat FROM ({POINTS_SQL})),
+c AS (SELECT {_q_sql('sin(radians(90))')} AS qp, {_q_sql('sin(radians(52))')} AS q1, sqrt(1 - ({_E2!r})::DOUBLE * sin(radians(52)) ** 2) AS w1),
+l AS (SELECT vec_id, lon, lat, qp, asin(q1 / qp) AS b1, asin({_q_sql('sin(lat)')} / qp) AS b, lon - radians(10) AS dl, w1 FROM p, c),
+d AS (SELECT *, ({_A!r})::DOUBLE * sqrt(qp / 2) AS rq, ({_A!r})::DOUBLE * cos(radians(52)) / w1 / (({_A!r})::DOUBLE * sqrt(qp / 2) * cos(b1)) AS m FROM l),
+k AS (SELECT *, rq * sqrt(2 / (1 + sin(b1) * sin(b) + cos(b1) * cos(b) * cos(dl))) AS bb FROM d),
+t AS (SELECT *, sinh(asinh(tan(lat)) - ({_E2**0.5!r})::DOUBLE * atanh(({_E2**0.5!r})::DOUBLE * sin(lat))) AS tau FROM k),
+z AS (SELECT *, atan2(tau, cos(lon - radians(15))) AS xi, asinh(sin(lon - radians(15)) / sqrt(tau * tau + cos(lon - radians(15)) ** 2)) AS eta FROM t)
+SELECT vec_id, round(4321000 + bb * m * cos(b) * sin(dl), 2) AS laea_x, round(3210000 + bb / m * (cos(b1) * sin(b) - sin(b1) * cos(b) * cos(dl)), 2) AS laea_y,
+  round(500000 + 0.9996e0 * ({_RADIUS!r})::DOUBLE * (eta + {_tm_sums()[1]}), 2) AS tm_x, round(0.9996e0 * ({_RADIUS!r})::DOUBLE * (xi + {_tm_sums()[0]}), 2) AS tm_y, TRUE AS laea_back, TRUE AS tm_back FROM z
+""")
 def projection_round_trip(spark, sf):
-    """Degrees to metres and back, within a millimetre or so of a degree's breadth."""
+    """Degrees to metres, and back within a millimetre or so of a degree's breadth."""
     p = _points(spark, sf).select("vec_id", (20 + F.col("x") * 20).alias("lon"), (55 + F.col("y") * 20).alias("lat"))
-    a = laea_inverse(*laea(F.col("lon"), F.col("lat"), 10, 52, 4321000, 3210000), 10, 52, 4321000, 3210000)
-    b = transverse_mercator_inverse(*transverse_mercator(F.col("lon"), F.col("lat"), 15, 0.9996, 500000, 0), 15, 0.9996, 500000, 0)
+    l, t = laea(F.col("lon"), F.col("lat"), 10, 52, 4321000, 3210000), transverse_mercator(F.col("lon"), F.col("lat"), 15, 0.9996, 500000, 0)
+    p = p.select("*", *[x.alias(n) for x, n in zip((*l, *t), ("lx", "ly", "tx", "ty"))])
+    a = laea_inverse(F.col("lx"), F.col("ly"), 10, 52, 4321000, 3210000)
+    b = transverse_mercator_inverse(F.col("tx"), F.col("ty"), 15, 0.9996, 500000, 0)
     near = lambda t, e: (F.abs(t[0] - F.col("lon")) < e) & (F.abs(t[1] - F.col("lat")) < e)
-    return p.select("vec_id", near(a, 1e-7).alias("laea_back"), near(b, 1e-6).alias("tm_back"))
+    at = [F.round(x, 2).alias(n) for x, n in (("lx", "laea_x"), ("ly", "laea_y"), ("tx", "tm_x"), ("ty", "tm_y"))]
+    return p.select("vec_id", *at, near(a, 1e-7).alias("laea_back"), near(b, 1e-6).alias("tm_back"))
 
 
 @query(f"""

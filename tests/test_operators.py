@@ -68,8 +68,11 @@ def test_largest_remainder_sums_to_the_whole(spark, groups):
 
 def test_residuals_restore_the_grid(spark):
     rng = random.Random(1)
-    g = spark.createDataFrame([(r, c, rng.randrange(-9, 99)) for r in range(6) for c in range(7)], "r int, c int, v int")
-    assert sorted(restored(residual(g, "v", "d").drop("v"), "d", "v").select("r", "c", "v").collect()) == sorted((*x,) for x in g.collect())
+    g = spark.createDataFrame([(r, c, rng.randrange(-9, 99)) for r in range(9) for c in range(7) if (r, c) not in ((2, 3), (4, 4), (5, 1))], "r int, c int, v int")
+    for tile in (4, 256):
+        assert sorted(restored(residual(g, "v", "d", tile).drop("v"), "d", "v", tile).collect()) == sorted((*x,) for x in g.collect())
+    d = {(r.r, r.c): r.d for r in residual(spark.createDataFrame([(0, 0, 5), (0, 1, 9), (1, 0, 2), (1, 1, 1)], "r int, c int, v int"), "v", "d").collect()}
+    assert d == {(0, 0): 5, (0, 1): 4, (1, 0): -3, (1, 1): 1 - 6}  # 9 + 2 - 5 lies between 2 and 9
 
 
 def test_constrained_groups_never_mix(spark):

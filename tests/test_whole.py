@@ -8,19 +8,16 @@ import __spark_entry__
 from tessera.plans import ORACLES, QUERIES
 from tessera.plans.spatial import C, R
 
-GRIDS = sorted(n for n in QUERIES if n.endswith("_all") and "l_orderkey % 3" in ORACLES.get(n[:-4], ""))
-
-
-def test_grid_queries_have_a_form_over_all_lines():
-    cut = {n for n, sql in ORACLES.items() if "l_orderkey % 3" in sql}
-    assert len(cut) > 15 and {f"{n}_all" for n in cut} <= set(QUERIES)
-    assert all("l_orderkey % 3" not in ORACLES.get(n, "") for n in GRIDS)
+def test_no_grid_query_leaves_lines_out():
+    assert not [n for n, sql in ORACLES.items() if "l_orderkey %" in sql]
+    assert len([n for n in QUERIES if n.endswith("_all")]) > 15
 
 
 def test_all_lines_are_summed(spark, sf):
     want = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("cast(sum(l_quantity) as long) s").first().s
     assert QUERIES["grid_hash_all"](spark, sf).selectExpr("cast(sum(q) as long) s").first().s == want
-    assert QUERIES["grid_hash"](spark, sf).selectExpr("cast(sum(q) as long) s").first().s < want
+    # The plain query has holes where a condition on the quantity fails.
+    assert 0.8 * want < QUERIES["grid_hash"](spark, sf).selectExpr("cast(sum(q) as long) s").first().s < want
 
 
 def test_distance_field_has_no_bound(spark, tmp_path):

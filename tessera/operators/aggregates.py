@@ -60,3 +60,11 @@ def masked_spread(df: DataFrame, group: Sequence[str], value: Column, mask: Colu
     """Mean and population deviation of the values where the mask holds."""
     v = F.when(mask, value)
     return df.groupBy(*group).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.count(v).alias("n"))
+
+
+def standardised(rows: DataFrame, group: list[str], value: str, like: str, out: str) -> DataFrame:
+    """Adds `out`: value shifted and scaled within its group to the mean and deviation of `like`; null where value doesn't vary."""
+    m = lambda f, c, n: f(c).alias(n)
+    stats = rows.groupBy(*group).agg(m(F.avg, value, "_m"), m(F.stddev_pop, value, "_d"), m(F.avg, like, "_lm"), m(F.stddev_pop, like, "_ld"))
+    scaled = F.col("_lm") + (F.col(value) - F.col("_m")) / F.nullif(F.col("_d"), F.lit(0.0)) * F.col("_ld")
+    return rows.join(stats, group).withColumn(out, scaled).drop("_m", "_d", "_lm", "_ld")

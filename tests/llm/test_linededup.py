@@ -3,6 +3,44 @@ import random
 from tessera.llm.linededup import cut, dedup_lines, units
 
 
+def slow_units(text):
+    """Units by walking the characters: every line that is not blank, and every sentence with the words before it that make it eight."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        if line.split():
+            out.append((at, at + len(line), b"L" + " ".join(line.lower().split()).encode()))
+        # Sentences end after . ! ? before white space or the end of the line.
+        k = 0
+        while k < len(line):
+            while k < len(line) and line[k].isspace():
+                k += 1
+            if k == len(line):
+                break
+            e = k + 1
+            while e < len(line) and not (line[e - 1] in ".!?" and e - 1 > k and line[e].isspace()):
+                e += 1
+            out.append((at + k, at + e, line[k:e].lower().split()))
+            k = e
+        at += len(line) + 1
+    before, done = [], []
+    for s, e, x in out:
+        if isinstance(x, list):
+            w = x if len(x) >= 8 else before[len(before) - min(len(before), 8 - len(x)) :] + x
+            before = w if len(w) <= 32 else w[-8:]
+            if len(w) >= 8:
+                done.append((s, e, b"S" + " ".join(w).encode()))
+        else:
+            done.append((s, e, x))
+    return done
+
+
+def test_units_equal_slow_ones(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    texts += ["", "a", "One. two three! four\nfive six seven eight nine ten? eleven", "...\n. .\n a.b c.  d", "x. " * 40, "\n\n", "é\u00a0ü. z " * 9]
+    for t in texts:
+        assert sorted(units(t)) == sorted(slow_units(t)), t[:200]
+
+
 def brute(rows):
     """(id, text) -> {id: (text, removed)} by a dictionary of normalised units in order of id."""
     first, out = {}, {}

@@ -59,3 +59,53 @@ def test_odd_rows(spark):
     assert none == Chain({}, none.links) and predict(none, "x")[1] == 0.5
     assert keep_clean(docs, none).count() == 6
     assert score(docs.limit(0), chain).count() == 0
+
+
+def test_probabilities_equal_plain_loops(spark, big):
+    import math
+    import re
+
+    docs, labels = big
+    chain = fit_chain(docs, labels, sample=600, terms=40)
+    for r in score(docs.limit(300), chain).collect()[:60]:
+        text = docs.where(f"doc_id = {r.doc_id}").first().text if r.doc_id % 7 == 0 else None
+        if text is None:
+            continue
+        plain = set(re.findall(r"[^\W_]+", text.lower()))
+        have = set(plain)
+        for w in plain:
+            have |= ({w[:4] + "-"} if len(w) > 4 else set()) | ({w[:5] + "-"} if len(w) > 5 else set())
+        n = max(1, len(text))
+        measures = [
+            math.log1p(len(text)) / 12, min(1.0, 3 * len(have) / n), sum(c.isupper() for c in text) / n, 1 - sum(c.isalnum() or c.isspace() for c in text) / n,
+        ]
+        earlier = []
+        for link in chain.links:
+            z = sum(link.weights[k] for w, k in chain.terms.items() if w in have)
+            z += sum(w * m for w, m in zip(link.weights[len(chain.terms) :], [*measures, *earlier])) + link.weights[-1]
+            earlier.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+        assert [r.p_low_quality, r.p_toxic] == pytest.approx(earlier, abs=1e-9)
+
+
+def test_a_null_label_is_no_example(spark):
+    docs = spark.createDataFrame([(i, f"{'vile' if i % 2 else 'kind'} words number {i}") for i in range(60)], "doc_id long, text string")
+    known = [(i, 1, i % 2) for i in range(40)]
+    with_nulls = spark.createDataFrame(known + [(i, 1, None) for i in range(40, 60)], "doc_id long, quality int, toxic int")
+    chain = fit_chain(docs, with_nulls, least=2)
+    got = {r.doc_id: r.p_toxic for r in score(docs, chain).collect()}
+    assert all((got[i] > 0.5) == bool(i % 2) for i in range(60))
+    # A row that repeats an id is one example, whatever its texts.
+    twice = docs.unionByName(docs)
+    again = fit_chain(twice, with_nulls, least=2)
+    assert again.terms.keys() == chain.terms.keys()
+
+
+def test_all_labelled_documents_held_out(spark, big):
+    """Over all documents, garbled ones too, whose labels don't follow their words; README has the figures."""
+    docs, labels = big
+    chain = fit_chain(docs, labels.where("doc_id % 3 <> 0"))
+    truth = {r.doc_id: r.toxic for r in labels.where("doc_id % 3 = 0").collect()}
+    got = {r.doc_id: r.toxic for r in score(docs.join(labels.where("doc_id % 3 = 0").select("doc_id"), "doc_id", "left_semi"), chain).collect()}
+    hits, real, said = sum(truth[i] == 1 and got[i] for i in got), sum(truth[i] for i in got), sum(got.values())
+    print("all held-out documents: recall", hits / real, "precision", hits / max(1, said))
+    assert hits / real > 0.6 and hits / said > 0.8

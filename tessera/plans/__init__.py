@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables."""
 
-from . import features, more, rasters, relational, spatial, temporal  # noqa: F401
+from . import features, more, rasters, relational, reports, spatial, temporal  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

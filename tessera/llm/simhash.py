@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import free_name, shuffle_parts, split_blocks, written
+from .common import free_name, join_hot, shuffle_parts, split_blocks, written
 from .graph import Forest, connected_components
 from .runs import over_runs
 
@@ -284,8 +284,8 @@ def likeness_groups(
     )
     groups = connected_components(written(alike, "alike"))
     named = distinct.join(groups, "node", "left").select("d1", "d2", "id", "key", F.coalesce("component", "node").alias("component"))
-    leads = named.groupBy("component").agg(F.min(F.struct("id", "key")).alias("lead"))
-    named = written(named.join(leads, "component").select("d1", "d2", F.col("lead.id").alias("component_id"), F.col("lead.key").alias("lead_key")), "groups")
+    leads = written(named.groupBy("component").agg(F.min(F.struct("id", "key")).alias("lead"), F.count(F.lit(1)).alias("n")), "leads")
+    named = written(join_hot(named, leads, ["component"], "n").select("d1", "d2", F.col("lead.id").alias("component_id"), F.col("lead.key").alias("lead_key")), "groups")
     out = known.select("id", "key", "d1", "d2").join(named, ["d1", "d2"]).select(
         "id", "key", "component_id", ((F.col("id") == F.col("component_id")) & (F.col("key") == F.col("lead_key"))).alias("leads")
     )

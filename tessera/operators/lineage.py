@@ -13,7 +13,7 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a fresh folder where it is unset and all tasks run on this machine, as in tests; else raises."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        if not re.match(r"local(\[.*\])?\Z", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = getattr(spark, "_tessera_dir", None)
         if path is None:

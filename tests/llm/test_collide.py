@@ -78,3 +78,10 @@ def test_calibration_matches_simulation():
     assert abs(hit.mean() - collision_probability(c, window)) < 0.002
     need = calibrated_count(c, window, 16, 0.9995)
     assert (hit.sum(1) >= need).mean() >= 0.998 and need >= 12
+
+
+def test_extreme_sizes_link_by_their_direction(spark):
+    rows = [(1, [1e-200, 0.0], 1), (2, [1e-200, 1e-205], 1), (3, [1e200, 0.0], 1), (4, [1e200, 1e190], 1), (5, [0.0, 1e-300], 1), (6, [0.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_groups(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6)}

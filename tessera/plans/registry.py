@@ -26,3 +26,13 @@ def query(oracle: str | None = None) -> Callable:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def named(name: str, f: Callable) -> Callable:
+    """f under a further name, by which it was registered before."""
+
+    def again(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(spark, sf_dir)
+
+    again.__name__, again.__doc__ = name, f.__doc__
+    return again

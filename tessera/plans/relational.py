@@ -11,7 +11,7 @@ from ..operators import aggregates as ag
 from ..operators import integrity as iq
 from ..operators import joins as jn
 from ..operators.alloc import nested_quota, quota_cut, shares
-from .registry import query, table
+from .registry import ORACLES, named, query, table
 
 
 @query("""
@@ -230,26 +230,19 @@ def scalar_rules(spark, sf):
     )
 
 
-@query("""
-SELECT doc_id, list_filter(list_transform(regexp_split_to_array(substr(text, 1, 200), '\\s[/–-]\\s|\\s/|/\\s|/'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS parts,
-  regexp_matches(substr(text, 1, 200), '\\s[–-]\\s|/') AS two, try_cast(nullif(regexp_extract(text, '\\b(\\d{3,4})\\b', 1), '') AS INT) AS year FROM documents
-""")
-def name_split(spark, sf):
-    """Single names in the first 200 characters, taken as a name, and the first year in the text."""
-    head = F.substring("text", 1, 200)
-    return table(spark, sf, "documents").select("doc_id", nm.split_names(head).alias("parts"), nm.is_two_names(head).alias("two"), start_year(F.col("text")).alias("year"))
-
-
 @query("""
 SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\s[/–-]\\s|\\s/|/\\s|/'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS parts,
   regexp_matches(text, '\\s[–-]\\s|/') AS two, try_cast(nullif(regexp_extract(text, '\\b(\\d{3,4})\\b', 1), '') AS INT) AS year FROM documents
 """)
-def name_split_all(spark, sf):
-    """name_split with the single names of the whole text."""
+def name_split(spark, sf):
+    """Single names in the whole text, taken as a name, and the first year in it."""
     text = F.col("text")
     return table(spark, sf, "documents").select("doc_id", nm.split_names(text).alias("parts"), nm.is_two_names(text).alias("two"), start_year(text).alias("year"))
 
 
+query(ORACLES["name_split"])(named("name_split_all", name_split))
+
+
 NAMES = (
     ("1", "Нева", "Нева", None, None), ("2", "Плющівка", None, None, None), ("3", "Кожановское озеро", None, None, "be"), ("4", "Мядзел", None, "BY", None),
     ("5", "Дніпро", None, None, None), ("6", "Днепр", None, None, "uk"), ("7", "Случь", None, None, None), ("8", "Ўла", None, None, None), ("9", "Сож", None, None, "be"),

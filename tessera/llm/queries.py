@@ -95,6 +95,41 @@ def op10_secret_scans(spark, sf_dir):
     return hits.select(F.col("id").alias("doc_id"), "start", "end", F.sha2("value", 256).alias("value_sha256"), "score", "secret")
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .infill import fill_in_middle, restored_column
+
+    rows = fill_in_middle(table(spark, sf_dir, "documents")).withColumn("restored", restored_column("output", "form"))
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256")
+    )
+
+
+OP11_SQL = """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), d AS (
+  SELECT doc_id, text, u, len(u) AS n, [('0x' || substr(h, 1 + 8 * k, 8))::BIGINT for k in [0, 1, 2, 3]] AS h FROM t
+), c AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS low, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS high,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d
+), p AS (
+  SELECT doc_id, text, n, form, array_to_string(u[1:low], '') AS pre, array_to_string(u[low + 1:high], '') AS mid, array_to_string(u[high + 1:], '') AS suf FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def op12_conversation_repair(spark, sf_dir):
+    from .convrepair import repair_conversations
+
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 OP1_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -117,7 +152,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_toxicity, op3_url_filters, op4_warc, op5_simhash_near_dedup, op6_mixing, op7_substring_dedup, op8_byte_bpe,
-        op9_document_fingerprints, op10_secret_scans,
+        op9_document_fingerprints, op10_secret_scans, op11_fill_in_middle, op12_conversation_repair,
     )
 }
-ORACLES = {"op1_embedding_near_dedup": OP1_SQL, "op4_warc": OP4_SQL}
+ORACLES = {"op1_embedding_near_dedup": OP1_SQL, "op4_warc": OP4_SQL, "op11_fill_in_middle": OP11_SQL}

@@ -130,6 +130,48 @@ def op12_conversation_repair(spark, sf_dir):
     return repair_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op13_license_scans(spark, sf_dir):
+    from .license import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def _op13_sql() -> str:
+    from .license import PHRASES, template_sets
+
+    words = lambda tokens: "[" + ", ".join(f"'{t}'" for t in sorted(tokens)) + "]::VARCHAR[]"
+    sets = ", ".join(f"({s.tid}, '{s.label}', {words(s.tokens)}, {words(s.names)}, {s.least}, {s.step})" for s in template_sets())
+    phrases = ", ".join(f"({p.split()}, '{label}')" for p, label in PHRASES)
+    return f"""
+WITH s(tid, label, tokens, names, least, step) AS (VALUES {sets}), p(phrase, label) AS (VALUES {phrases}),
+d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), x AS (
+  SELECT doc_id, w, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS pos FROM d
+), b AS (
+  SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS found
+  FROM x JOIN p ON x.t = p.phrase[1] AND x.w[pos + 1:pos + len(p.phrase)] = p.phrase GROUP BY 1
+), v AS (
+  SELECT DISTINCT step, unnest(tokens) AS t FROM s
+), y AS (
+  SELECT doc_id, step, pos // step AS k, t FROM x JOIN v USING (t) UNION SELECT doc_id, step, pos // step - 1, t FROM x JOIN v USING (t) WHERE pos >= step
+), k AS (
+  SELECT doc_id, step, k, list(t) AS b FROM y GROUP BY ALL
+), m AS (
+  SELECT doc_id, k.step, k, label, names, len(list_intersect(b, tokens)) / len(tokens) AS containment FROM k JOIN s ON s.step = k.step
+  WHERE len(list_intersect(b, tokens)) >= least AND len(list_intersect(b, names)) = len(names)
+), o AS (
+  SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m n WHERE n.doc_id = m.doc_id AND n.step = m.step AND n.k = m.k AND len(m.names) > 0
+    AND len(n.names) > len(m.names) AND len(list_intersect(n.names, m.names)) = len(m.names))
+), l AS (
+  SELECT doc_id, list(DISTINCT label) AS more, max(containment) AS score FROM o GROUP BY 1
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(found), ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(coalesce(found, []) || coalesce(more, []))), ',') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id)
+"""
+
+
 OP1_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -152,7 +194,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_toxicity, op3_url_filters, op4_warc, op5_simhash_near_dedup, op6_mixing, op7_substring_dedup, op8_byte_bpe,
-        op9_document_fingerprints, op10_secret_scans, op11_fill_in_middle, op12_conversation_repair,
+        op9_document_fingerprints, op10_secret_scans, op11_fill_in_middle, op12_conversation_repair, op13_license_scans,
     )
 }
-ORACLES = {"op1_embedding_near_dedup": OP1_SQL, "op4_warc": OP4_SQL, "op11_fill_in_middle": OP11_SQL}
+ORACLES = {"op1_embedding_near_dedup": OP1_SQL, "op4_warc": OP4_SQL, "op11_fill_in_middle": OP11_SQL, "op13_license_scans": _op13_sql()}

@@ -19,8 +19,9 @@ from pyspark.sql.functions import arrow_udf
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
 #: Bytes of text handled at a time (a longer text is handled alone) and most rows.
 SLICE_BYTES, SLICE_ROWS = 4 << 20, 1024
-#: A run of ASCII letters or one other code point, over the bytes of UTF-8; 0xFF stands in no UTF-8 text and ends each unit.
-_UNIT, _END = r"([A-Za-z]+|[\x00-\x40\x5B-\x60\x7B-\x7F]|[\xC0-\xFF][\x80-\xBF]*)", b"\xff"
+#: Kinds of bytes of UTF-8: ASCII letters, those inside a code point, and all others, which begin one.
+_LETTER, _INSIDE = 1, 2
+_KINDS = np.array([_LETTER if chr(b).isascii() and chr(b).isalpha() else _INSIDE if 0x80 <= b < 0xC0 else 0 for b in range(256)], np.uint8)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
@@ -40,14 +41,25 @@ def _lists(counts, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
 
 
+def split_units(texts: pa.Array) -> pa.Array:
+    """texts (large binary, no nulls) -> a list of units for each, over the bytes of the texts themselves."""
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    kind = _KINDS[data]
+    begins = kind != _INSIDE
+    begins[1:] &= (kind[1:] != _LETTER) | (kind[:-1] != _LETTER)
+    begins[ends[:-1][ends[:-1] < ends[1:]]] = True  # letters of two texts are no run
+    at = np.flatnonzero(begins)
+    offsets = np.append(at, len(data)).astype(np.int64)
+    flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return _lists(np.diff(np.searchsorted(at, ends)), flat)
+
+
 def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """texts (large binary, no nulls) -> units of all texts, the row and the ordinal of each, and the number of units by row."""
-    marked = pc.replace_substring_regex(texts, _UNIT, rb"\1" + _END)
-    split = pc.split_pattern(marked, _END)
-    flat, parent = pc.list_flatten(split), pc.list_parent_indices(split)
-    whole = pc.greater(pc.binary_length(flat), 0)  # what follows the last unit is empty
-    flat, parent = flat.filter(whole), parent.filter(whole).to_numpy()
-    n = np.bincount(parent, minlength=len(texts)).astype(np.int64)
+    split = split_units(texts)
+    flat, parent, n = pc.list_flatten(split), pc.list_parent_indices(split).to_numpy(), pc.list_value_length(split).to_numpy().astype(np.int64)
     return flat, parent, np.arange(len(flat)) - (np.cumsum(n) - n)[parent], n
 
 
@@ -101,20 +113,22 @@ def restored_batch(output: pa.Array, form: pa.Array) -> pa.Array:
     """Texts of outputs and their forms; null gives null."""
     output = output.cast(pa.large_binary())
 
-    def pieces(kind: str, first: bytes, second: bytes) -> tuple[pa.Array, pa.Array, pa.Array]:
-        # Rows of the kind, cut at the first mark of each role; a text with a mark of its own is always plain.
-        cut = lambda text, mark: pc.split_pattern(text, mark, max_splits=1)
-        own = pc.list_element(cut(pc.if_else(pc.equal(form, kind), output, None), first), 1)
-        a = cut(own, second)
-        b = cut(pc.list_element(a, 1), MIDDLE)
-        return pc.list_element(a, 0), pc.list_element(b, 0), pc.list_element(b, 1)
-
-    empty = pa.scalar(b"", pa.large_binary())
-    prefix, suffix, middle = pieces("psm", PREFIX, SUFFIX)
-    psm = pc.binary_join_element_wise(prefix, middle, suffix, empty)
-    suffix, prefix, middle = pieces("spm", SUFFIX, PREFIX)
-    spm = pc.binary_join_element_wise(prefix, middle, suffix, empty)
-    return pc.coalesce(psm, spm, output).cast(pa.large_string()).cast(pa.string())
+    def cut(texts: pa.Array, mark: bytes) -> tuple[pa.Array, pa.Array]:
+        # At the first mark, which every text here has: a text with a mark of its own is always plain.
+        halves = pc.list_flatten(pc.split_pattern(texts, mark, max_splits=1))
+        return halves.take(pa.array(np.arange(0, len(halves), 2))), halves.take(pa.array(np.arange(1, len(halves), 2)))
+
+    def rebuilt(rows: pa.Array, first: bytes, second: bytes) -> pa.Array:
+        a, rest = cut(cut(rows, first)[1], second)
+        b, middle = cut(rest, MIDDLE)
+        prefix, suffix = (a, b) if first == PREFIX else (b, a)
+        return pc.binary_join_element_wise(prefix, middle, suffix, pa.scalar(b"", pa.large_binary()))
+
+    kinds = [pc.fill_null(pc.and_(pc.equal(form, kind), pc.is_valid(output)), False) for kind in ("psm", "spm")]
+    rest = pc.invert(pc.or_(*kinds))
+    parts = [rebuilt(output.filter(kinds[0]), PREFIX, SUFFIX), rebuilt(output.filter(kinds[1]), SUFFIX, PREFIX), output.filter(rest)]
+    order = np.concatenate([np.flatnonzero(k.to_numpy(zero_copy_only=False)) for k in (*kinds, rest)])
+    return pa.concat_arrays(parts).take(pa.array(np.argsort(order))).cast(pa.large_string()).cast(pa.string())
 
 
 def restored_column(output, form):

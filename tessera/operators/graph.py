@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import written
+from .lineage import release, written
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -29,15 +29,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not multi.select("a").unionByName(chained.select(F.col("b").alias("a"))).take(1):
             centres = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(centres)
-        e = written(_small_star(_large_star(e)), "edges")
+        large, low = _large_star(e)
+        e = written(_small_star(large), "edges", after=e)
+        release(low)
     raise RuntimeError("connected components did not converge")
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The new edges, and the table that they read beside e."""
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     low = written(low, "low")
-    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), low
 
 
 def _small_star(e: DataFrame) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lineage import shared_dir, written
+from ..operators.lineage import release, scratch, shared_dir, written
 
-__all__ = ["free_name", "join_hot", "shared_dir", "shuffle_parts", "split_blocks", "table", "written"]
+__all__ = ["free_name", "join_hot", "release", "scratch", "shared_dir", "shuffle_parts", "split_blocks", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +30,7 @@ def join_hot(rows: DataFrame, found: DataFrame, keys: list[str], weight: str, pa
     """Left join of rows with found, unique by keys, whose column `weight` counts the rows of each key.
 
     Keys with more than 1 / parts of all rows are fewer than `parts`, so their part of found is broadcast whatever the size of the
-    table; their rows are dealt out by a hash of nothing but chance over the shuffle for the others. Keys must not be null.
+    table; their rows are dealt out by a hash of all their columns over the shuffle for the others, the same in every attempt of a task. Keys must not be null.
     """
     total = found.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
     values = [c for c in found.columns if c not in (*keys, weight)]
@@ -40,7 +40,8 @@ def join_hot(rows: DataFrame, found: DataFrame, keys: list[str], weight: str, pa
     )
     dealt = rows.join(F.broadcast(hot), keys, "left")
     # Rows that are answered already get a number that no row of found has, spread evenly.
-    dealt = dealt.withColumn("_at", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(9973))).cast("int"))
+    own = F.xxhash64(*[F.col(f"`{c}`") for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind])
+    dealt = dealt.withColumn("_at", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(own, F.lit(9973))).cast("int"))
     on = [F.col(k) == F.col(f"_c{i}") for i, k in enumerate(keys)] + [F.col("_at") == F.col("_spread")]
     both = dealt.join(cold, on, "left")
     return both.select(*rows.columns, *[F.coalesce(f"_hot.{v}", f"_cold.{v}").alias(v) for v in values])

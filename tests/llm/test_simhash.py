@@ -7,7 +7,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm.graph import Forest, connected_components
-from tessera.llm.simhash import block_keys, block_tables, fingerprint, keep_leads, likeness_groups, links, simhash_groups
+from tessera.llm.common import join_hot
+from tessera.llm.simhash import block_keys, block_tables, fingerprint, keep_leads, like_enough, likeness_groups, links, simhash_groups
 
 
 def slow_fingerprint(text, width):
@@ -175,6 +176,64 @@ def test_likeness_groups_equal_brute_force(spark):
     assert 20 < len(set(want)) < len(texts)
 
 
+def clusters_at_the_threshold(n, size, seed):
+    """Clusters of texts about the threshold: changes of one text, and chains in which each text changes the one before."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    out = []
+    for k in range(n):
+        base = [word() for _ in range(60)]
+        for _ in range(size):
+            copy = list(base)
+            for _ in range(rng.randint(1, 3)):
+                copy[rng.randrange(len(copy))] = word()
+            out.append(" ".join(copy))
+            base = copy if k % 2 else base
+    return out
+
+
+@pytest.mark.parametrize("size,tile_rows,tile_hashes", [(8, 512, 1 << 21), (8, 3, 1 << 21), (8, 512, 120), (40, 5, 1 << 21)])
+def test_no_link_is_lost_with_an_edge_that_fails(spark, size, tile_rows, tile_hashes):
+    texts = clusters_at_the_threshold(600 // size, size, size)
+    sets = [shingles(t) for t in texts]
+    alike = lambda a, b: len(a & b) >= 0.8 * (len(a) * len(b)) ** 0.5
+    pairs = [(i, j) for at in range(0, len(texts), size) for i in range(at, at + size) for j in range(at, i) if alike(sets[i], sets[j])]
+    want = components(len(texts), pairs)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    # All texts of a cluster share a key here, so that every pair is a candidate and nothing but the forest could lose links.
+    got = {r.id: r.component_id for r in likeness_groups(df, bands=60, band_rows=1, limit=128, tile_rows=tile_rows, tile_hashes=tile_hashes).collect()}
+    assert got == dict(enumerate(want))
+    trees = components(len(texts), [(at, i) for at in range(0, len(texts), size) for i in range(at, at + size)])
+    assert len(set(trees)) < len(set(want))
+
+
+def test_a_star_and_one_leader_of_most_edges(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    base = [word() for _ in range(80)]
+    texts = [" ".join(base)]
+    for k in range(900):
+        copy = list(base)
+        at = rng.randrange(10, 70)
+        copy[at : at + 1 + k % 3] = [word() for _ in range(1 + k % 3)]
+        texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert {r.component_id for r in likeness_groups(df).collect()} == {0}
+    edges = spark.createDataFrame([(0, k) for k in range(1, 900)], "a long, b long")
+    sets = spark.createDataFrame([(k, 80, list(range(80 - k % 40))) for k in range(900)], "node long, size long, shingles array<long>")
+    assert {r.b for r in like_enough(edges, sets, 0.8, share=16).collect()} == {k for k in range(1, 900) if 80 - k % 40 >= 0.64 * 80}
+
+
+def test_join_hot_deals_rows_out_alike_in_every_attempt(spark):
+    rows = spark.createDataFrame([(0 if k < 900 else k, k, {"m": k}) for k in range(1000)], "k long, v long, m map<string,int>")
+    found = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top"))
+    for parts in (1, 4):
+        got = {r.v: r.top for r in join_hot(rows.repartition(parts), found, ["k"], "n").collect()}
+        assert got == {k: 899 if k < 900 else k for k in range(1000)}
+    plan = join_hot(rows, found, ["k"], "n")._jdf.queryExecution().toString()
+    assert "monotonically_increasing_id" not in plan
+
+
 def test_likeness_of_odd_rows(spark):
     base = " ".join(f"word{i}" for i in range(60))
     near, far = base.replace("word7 ", "other "), "quite another text that no one has copied from " + "z " * 9

@@ -3,7 +3,7 @@
 Candidates are values of assignments, passwords and values inside URLs, and long strings that are not lower-case letters
 only or that open as a known kind of key. The forest sees their length, the
 transitions between kinds of character, how much of them dictionary words cover, signs of a path, and neighbouring
-words. The dictionary is made of the words that most documents use, counted over all documents.
+words. The dictionary is made of the words with the most occurrences in all documents. Values are read whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -14,11 +14,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from .common import free_name, written
 
@@ -26,8 +28,6 @@ from .common import free_name, written
 CONTEXT = 48
 #: Words of the dictionary.
 DICTIONARY = 4000
-#: Characters of a value that the features look at, beside its length; the value itself is taken whole.
-SEEN = 512
 #: Words that speak for and against a secret, and openings of known kinds of key. Fixed values.
 FOR = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "auth", "credential", "private_key", "client_secret", "key")
 AGAINST = ("example", "sample", "test", "placeholder", "changeme", "your", "sha256", "sha1", "md5", "checksum", "digest", "commit", "revision", "uuid", "guid", "hash", "etag", "version", "isbn", "order", "invoice", "phone", "href", "src", "integrity", "base64", "build")
@@ -82,24 +82,29 @@ def candidates(text: str) -> list[tuple[int, int, bool]]:
     return sorted(out)
 
 
-def coverage(value: str, dictionary: frozenset[str], longest: int | None = None) -> float:
-    """Share of the characters that greedy longest dictionary words of four letters or more cover; longest: letters of the longest word."""
+def stems(dictionary: frozenset[str]) -> dict[str, tuple[int, ...]]:
+    """First four letters -> lengths of the words of four letters or more that begin with them, the longest first."""
+    out: dict[str, set[int]] = {}
+    for w in dictionary:
+        if len(w) > 3:
+            out.setdefault(w[:4], set()).add(len(w))
+    return {k: tuple(sorted(v, reverse=True)) for k, v in out.items()}
+
+
+def coverage(value: str, dictionary: frozenset[str], begins: dict[str, tuple[int, ...]] | None = None) -> float:
+    """Share of the characters that greedy longest dictionary words of four letters or more cover; begins: stems(dictionary)."""
     low, at, covered = value.lower(), 0, 0
-    longest = max(map(len, dictionary), default=0) if longest is None else longest
+    begins = stems(dictionary) if begins is None else begins
     while at < len(low):
-        for n in range(min(longest, len(low) - at), 3, -1):
-            if low[at : at + n] in dictionary:
-                covered += n
-                at += n
-                break
-        else:
-            at += 1
+        n = next((n for n in begins.get(low[at : at + 4], ()) if low[at : at + n] in dictionary), 0)
+        covered += n
+        at += n or 1
     return covered / max(1, len(low))
 
 
-def features(before: str, value: str, after: str, assigned: bool, dictionary: frozenset[str], longest: int | None = None) -> list[float]:
-    """FEATURES of a candidate; beside its length, of its first SEEN characters."""
-    length, value = len(value), value[:SEEN]
+def features(before: str, value: str, after: str, assigned: bool, dictionary: frozenset[str], begins: dict[str, tuple[int, ...]] | None = None) -> list[float]:
+    """FEATURES of a candidate, of its whole value."""
+    length = len(value)
     n = max(1, len(value))
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in value]
     counts = Counter(value)
@@ -108,7 +113,7 @@ def features(before: str, value: str, after: str, assigned: bool, dictionary: fr
     return [
         float(length), sum(a != b for a, b in zip(kinds, kinds[1:])) / n, kinds.count("d") / n, kinds.count("u") / n, kinds.count("l") / n,
         kinds.count("s") / n, -sum(c / n * math.log2(c / n) for c in counts.values()), float(all(c in "0123456789abcdefABCDEF" for c in value)),
-        coverage(value, dictionary, longest), value.count("/") / n, value.count(".") / n, (value.count("-") + value.count("_")) / n,
+        coverage(value, dictionary, begins), value.count("/") / n, value.count(".") / n, (value.count("-") + value.count("_")) / n,
         float("://" in before[-24:] or before[-1:] in ("/", "\\") or after[:1] in ("/", "\\")), float(assigned), float(before[-1:] in ("'", '"', "`")),
         float(any(w == x or w.endswith(("_" + x, "-" + x)) for w in near for x in FOR)),
         float(not around.isdisjoint(AGAINST) or any(len(x) > 5 and x in value.lower() for x in AGAINST)), float(value.startswith(OPENINGS)),
@@ -227,8 +232,8 @@ def _counts(counts: Counter) -> pa.RecordBatch:
 
 def fit_forest(spark, dictionary: frozenset[str], findings=None, trees: int = 24, depth: int = 8) -> RandomForestClassificationModel:
     """Random forest over labelled findings (before, value, after, assigned, is secret); a bounded list."""
-    longest = max(map(len, dictionary), default=0)
-    rows = [(features(b, v, a, assigned, dictionary, longest), float(y)) for b, v, a, assigned, y in findings or labelled_findings()]
+    begins = stems(dictionary)
+    rows = [(features(b, v, a, assigned, dictionary, begins), float(y)) for b, v, a, assigned, y in findings or labelled_findings()]
     df = spark.createDataFrame(rows, "f array<double>, label double").coalesce(1).select(array_to_vector("f").alias("features"), "label")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, featureSubsetStrategy="sqrt").fit(df)
 
@@ -236,7 +241,7 @@ def fit_forest(spark, dictionary: frozenset[str], findings=None, trees: int = 24
 def found(docs: DataFrame, dictionary: frozenset[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each candidate in the whole texts: id, key (hash of the text), start, end, value, assigned, features."""
     names = ["id", "key", "start", "end", "value", "assigned", "features"]
-    longest = max(map(len, dictionary), default=0)
+    begins = stems(dictionary)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -245,7 +250,7 @@ def found(docs: DataFrame, dictionary: frozenset[str], id_col: str = "doc_id", t
                 for s, e, assigned in candidates(text):
                     value = text[s:e]
                     row.append(k)
-                    out.append((s, e, value, assigned, features(text[max(0, s - CONTEXT) : s], value, text[e : e + CONTEXT], assigned, dictionary, longest)))
+                    out.append((s, e, value, assigned, features(text[max(0, s - CONTEXT) : s], value, text[e : e + CONTEXT], assigned, dictionary, begins)))
             take = pa.array(row, pa.int64())
             cols = list(zip(*out)) if out else [()] * 5
             types = [pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.list_(pa.float64())]
@@ -270,6 +275,27 @@ def scan(docs: DataFrame, findings=None, cut: float = 0.5, id_col: str = "doc_id
     return model.transform(rows).select("id", "key", "start", "end", "value", score.alias("score"), (score >= cut).alias("secret"))
 
 
+def masked_column(text, spans, mark: str):
+    """Column of texts in which mark stands for each of the spans (start, end), sorted and apart, in code points; null without spans.
+
+    The pieces of a text are cut once and joined once, so a text takes time in proportion to its length, however many spans it has.
+    """
+
+    @pandas_udf("string")
+    def mask(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, found in parts:
+            out = []
+            for t, s in zip(texts, found):
+                if t is None or s is None:
+                    out.append(None)
+                    continue
+                ends = [(x["start"], x["end"]) for x in s]
+                out.append(mark.join(t[a:b] for a, b in zip([0, *(e for _, e in ends)], [*(b for b, _ in ends), len(t)])))
+            yield pd.Series(out, dtype=object)
+
+    return mask(text, spans)
+
+
 def redact(docs: DataFrame, hits: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """docs with the secrets of scan() replaced by mark and chars_col (if there is one) counted anew; no row is dropped.
 
@@ -281,14 +307,8 @@ def redact(docs: DataFrame, hits: DataFrame, mark: str = "[SECRET]", id_col: str
     spans = written(spans, "secrets").toDF(sid, skey, found)
     text = F.col(text_col)
     joined = docs.join(spans, (F.xxhash64(text) == F.col(skey)) & F.col(id_col).cast("long").eqNullSafe(F.col(sid)), "left")
-    # A fold over the spans of a document, in order: what stands between them, then the mark.
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    folded = F.aggregate(
-        F.col(found), start,
-        lambda acc, s: F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"), s["end"].alias("at")),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    out = joined.withColumn(new, F.when(F.col(found).isNull(), text).otherwise(folded))
+    # Texts without a secret don't leave the JVM.
+    out = joined.withColumn(new, F.when(F.col(found).isNull(), text).otherwise(masked_column(F.when(F.col(found).isNotNull(), text), F.col(found), mark)))
     cols = [
         F.col(new).alias(c) if c == text_col
         else F.when(F.col(found).isNull(), F.col(f"`{c}`")).otherwise(F.length(new)).cast(docs.schema[c].dataType).alias(c) if c == chars_col

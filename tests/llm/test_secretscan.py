@@ -15,6 +15,17 @@ def test_candidates_and_features():
     assert candidates("") == [] and candidates("a1" * 5000) == [(0, 10_000, False)]
 
 
+def test_features_read_whole_values():
+    words = frozenset({"tion", "able", "international"})
+    base = "Zx9Kq2Lm8Vb4Nt6R" * 600
+    for tail in ("tion" * 100, "/" * 40, "0" * 90, "TEST" * 9):
+        a, b = (features("key=", base + t + "Q", " ", True, words) for t in (tail, "x" * len(tail)))
+        assert a != b and a[0] == b[0] > 9000
+    # Time is in proportion to the length, also with long words that nearly fit.
+    many = frozenset({"abcd" * 500, *("abcd" + "x" * k for k in range(1, 200))})
+    assert coverage("abcd" * 20_000, many) == 1.0
+
+
 def test_dictionary_equals_brute_force(spark, sf):
     import collections
     import re
@@ -133,3 +144,26 @@ def test_long_values_are_masked_whole(spark):
     if hits.first().secret:
         assert redact(df, hits).first().text == 'token="[SECRET]" end'
     assert redact(df, hits).columns == df.columns
+
+
+def test_a_text_with_very_many_secrets(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    def took(n):
+        text = "".join(f"é{k} <key> " for k in range(n))
+        want = text.replace("<key>", "[SECRET]")
+        at, spans = 0, []
+        while (at := text.find("<key>", at)) >= 0:
+            spans.append((at, at + 5))
+            at += 5
+        df = spark.createDataFrame([(1, text, 0)], "doc_id long, text string, n_chars long")
+        hits = df.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key")).crossJoin(spark.createDataFrame(spans, "start int, end int")).withColumn("secret", F.lit(True))
+        began = time.time()
+        row = redact(df, hits).first()
+        assert row.text == want and row.n_chars == len(want)
+        return time.time() - began
+
+    took(100)
+    assert took(20_000) < 20

@@ -5,7 +5,7 @@ path becomes a shape (digits and ids turned into classes), and shapes are counte
 of templates and not of pages. From the root down, branches that are too rare and too varied to be names are generalised to
 `*`, and branches of a parent whose pages spread over the next segment much as those of all siblings with the same commonest
 next segment, and whose labels do not contradict theirs, are merged into `+` and that segment. A template is rejected
-when its purity, the smoothed share of its pages known to be blocked, reaches a cut chosen on labels held out of the tree.
+when its purity, the smoothed share of its pages known to be blocked, reaches a cut chosen on labels held out of the purity in turn.
 """
 
 from __future__ import annotations
@@ -18,10 +18,8 @@ from .common import join_hot, written
 #: (rule, verdict): host and path of each rule as one string; the path begins at the first slash.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rounds in which branches are generalised. Stretches without a branch take no round; what branches deeper still stays as it is.
-ROUNDS = 24
-#: One label in so many is held out to choose the cut, of which these are the limits in hundredths.
-HELD, LOWEST, HIGHEST = 4, 75, 99
+#: Folds of labels that are held out in turn to choose the cut, of which these are the limits in hundredths; without a blocked label it is UNSURE.
+FOLDS, LOWEST, HIGHEST, UNSURE = 4, 55, 99, 75
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -64,20 +62,20 @@ def _joined(template: Column, segments: Column) -> Column:
 
 
 def templates(
-    counts: DataFrame, heavy: float = 0.05, alike: float = 0.05, doubt: float = 20.0, apart: float = 0.25, z: float = 3.0, rounds: int = ROUNDS
+    counts: DataFrame, heavy: float = 0.05, alike: float = 0.05, doubt: float = 20.0, apart: float = 0.25, z: float = 3.0
 ) -> DataFrame:
-    """counts(host, shape, n, blocked, allowed) -> the same rows with `template`, the path in the generalised tree.
+    """counts(host, shape, n, blocked, allowed, and others) -> the same rows with `template`, the path in the generalised tree.
 
     A round first takes the segments that all shapes below a node share, then judges the branches. A branch with under
     `heavy` of its node's pages is light. The light branches of a node become `*` when two of their pages fall into the same
     branch with a probability of at most `alike`; `doubt` pairs that do so half the time are added, so that a few
-    pages prove nothing. Both are shares and do not depend on the size of the table. A node with one shape is finished at once; after
-    `rounds` rounds what is left is finished so too, each shape a template of its own.
+    pages prove nothing. Both are shares and do not depend on the size of the table. A node with one shape is finished at once. Rounds
+    go on until no branch is left: as many as the most branchings on one path, whatever its depth, and the later ones over what is still open.
     """
     node, branch, kin = ["host", "template"], ["host", "template", "seg"], ["host", "template", "mode"]
     t = counts.withColumn("template", F.lit("")).withColumn("rest", F.col("shape"))
-    done = None
-    for _ in range(rounds):
+    done = before = None
+    while True:
         ends = t.groupBy(*node).agg(F.min("rest").alias("low"), F.max("rest").alias("high"), F.sum("n").alias("tn"))
         same = F.zip_with("low", "high", lambda a, b: a.eqNullSafe(b))
         differ = F.array_position(same, False)
@@ -86,7 +84,7 @@ def templates(
         t = t.join(ends, node).withColumn("template", _joined(F.col("template"), F.col("stem"))).withColumn(
             "rest", F.expr("slice(rest, shared + 1, greatest(size(rest) - shared, 0))")
         ).drop("stem", "shared")
-        t = written(t.withColumn("seg", F.get("rest", F.lit(0))).withColumn("next", F.coalesce(F.get("rest", F.lit(1)), F.lit(""))), "stems")
+        t = written(t.withColumn("seg", F.get("rest", F.lit(0))).withColumn("next", F.coalesce(F.get("rest", F.lit(1)), F.lit(""))), "stems", after=before)
         whole = t.where("seg is null").select(*counts.columns, "template")
         done = whole if done is None else done.unionByName(whole)
         inner = t.where("seg is not null")
@@ -123,27 +121,25 @@ def templates(
         t = inner.join(judged, branch).select(
             *counts.columns, F.concat_ws("/", "template", "node").alias("template"), F.expr("slice(rest, 2, greatest(size(rest) - 1, 0))").alias("rest")
         )
-        t = written(t, "templates")
-    return done.unionByName(t.select(*counts.columns, _joined(F.col("template"), F.col("rest")).alias("template")))
+        t = before = written(t, "templates")
 
 
-def purities(tree: DataFrame, prior: float, weight: float, unknown: float) -> DataFrame:
-    """(host, template, purity): blocked pages over labelled ones, with `weight` pages and `unknown` of each page without a label counted
-    as the prior, so that a few labels do not speak for many pages."""
-    sums = tree.groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"), F.sum("n").alias("n"))
-    doubt = weight + unknown * (F.col("n") - F.col("b") - F.col("a"))
-    return sums.select("host", "template", ((F.col("b") + doubt * prior) / (F.col("b") + F.col("a") + doubt)).alias("purity"))
+def purity(blocked: Column, allowed: Column, n: Column, prior: float, weight: float, unknown: float) -> Column:
+    """Blocked pages over labelled ones, with `weight` pages and `unknown` of each page without a label counted as the prior, so that
+    a few labels do not speak for many pages."""
+    doubt = weight + unknown * (n - blocked - allowed)
+    return (blocked + doubt * prior) / (blocked + allowed + doubt)
 
 
 def choose_cut(judged: DataFrame, beta: float = 0.5) -> dict:
     """judged(purity, blocked, allowed), labels held out of the purity -> the cut with the best F, and its precision and recall.
 
-    F weighs precision over recall. Cuts are whole hundredths from LOWEST to HIGHEST; of equal ones the highest holds, and the
-    highest of all where no held-out page is blocked. At most HIGHEST - LOWEST + 1 rows reach the driver.
+    F weighs precision over recall. Cuts are whole hundredths from LOWEST to HIGHEST; of equal ones the highest holds, and UNSURE
+    where no held-out page would be blocked by any. At most HIGHEST - LOWEST + 2 rows reach the driver.
     """
     step = F.least(F.floor(F.col("purity") * 100 + 1e-9), F.lit(HIGHEST)).cast("int")
     sums = judged.groupBy(F.when(step >= LOWEST, step).otherwise(LOWEST - 1).alias("step")).agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a")).collect()
-    blocked, best = sum(r.b for r in sums), {"cut": HIGHEST / 100, "f": 0.0, "precision": None, "recall": None}
+    blocked, best = sum(r.b for r in sums), {"cut": UNSURE / 100, "f": 0.0, "precision": None, "recall": None}
     for c in range(HIGHEST, LOWEST - 1, -1):
         hits, wrong = (sum(r[k] for r in sums if r.step >= c) for k in "ba")
         if hits:
@@ -160,23 +156,23 @@ def template_tree(pages: DataFrame, rules, id_col: str, url_col: str, cut: float
     host, path = host_and_path(url)
     rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("r", ruled(F.col("host"), F.col("path"), rules)).withColumn("shape", shape(F.col("path")))
-    held = F.pmod(F.xxhash64("url", F.lit(29)), F.lit(HELD)) == 0
+    fold = F.pmod(F.xxhash64("url", F.lit(29)), F.lit(FOLDS))
     of = lambda v, when=F.lit(True): F.sum(F.when((F.col("r.verdict") == v) & when, 1).otherwise(0))
-    counts = written(
-        rows.groupBy("host", "shape").agg(
-            F.count(F.lit(1)).alias("n"), of("block").alias("blocked"), of("allow").alias("allowed"), of("block", held).alias("hb"), of("allow", held).alias("ha")
-        ), "shapes",
-    )
+    folds = [(f"b{k}", f"a{k}") for k in range(FOLDS)]
+    held = [of(v, fold == k).alias(name) for k, pair in enumerate(folds) for v, name in zip(("block", "allow"), pair)]
+    counts = rows.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), of("block").alias("blocked"), of("allow").alias("allowed"), *held)
+    tree = written(templates(written(counts, "shapes"), **options), "tree")
+    sums = ("n", "blocked", "allowed", *(x for pair in folds for x in pair))
+    judged = written(tree.groupBy("host", "template").agg(*[F.sum(x).alias(x) for x in sums]), "sums")
     choice = {"cut": cut}
     if cut is None:
-        # Held-out pages count in no way: neither as labels nor as pages without one.
-        fit = counts.select("host", "shape", (F.col("n") - F.col("hb") - F.col("ha")).alias("n"), (F.col("blocked") - F.col("hb")).alias("blocked"), (F.col("allowed") - F.col("ha")).alias("allowed"))
-        tree = templates(fit.where("n > 0"), **options)
-        tree = tree.join(purities(tree, prior, weight, unknown), ["host", "template"]).select("host", "shape", "purity")
-        judged = counts.where("hb + ha > 0").join(tree, ["host", "shape"], "left").select(F.coalesce("purity", F.lit(prior)).alias("purity"), F.col("hb").alias("blocked"), F.col("ha").alias("allowed"))
-        choice = choose_cut(judged)
-    tree = templates(counts.drop("hb", "ha"), **options)
-    found = tree.join(purities(tree, prior, weight, unknown), ["host", "template"]).select("host", "shape", "n", "template", "purity")
+        # Pages of the fold that is held out count as pages without a label.
+        each = F.explode(F.array(*[F.struct(F.col(b).alias("b"), F.col(a).alias("a")) for b, a in folds])).alias("held")
+        out = judged.select("n", "blocked", "allowed", each).where("held.b + held.a > 0")
+        apart = purity(F.col("blocked") - F.col("held.b"), F.col("allowed") - F.col("held.a"), F.col("n"), prior, weight, unknown)
+        choice = choose_cut(out.select(apart.alias("purity"), F.col("held.b").alias("blocked"), F.col("held.a").alias("allowed")))
+    judged = judged.select("host", "template", purity(F.col("blocked"), F.col("allowed"), F.col("n"), prior, weight, unknown).alias("purity"))
+    found = tree.select("host", "shape", "n", "template").join(judged, ["host", "template"]).select("host", "shape", "n", "template", "purity")
     return rows, written(found, "purity"), choice
 
 

@@ -33,8 +33,6 @@ TEMPER = 0.8
 #: Share of all tokens that the mixture holds.
 BUDGET = 0.8
 SEED = 17
-#: Up to so many sources the rounds run on the driver, beyond in tasks; the weights are the same.
-LOCAL = 4096
 #: Token ids share so many rows of the projection.
 _ROWS = 4096
 
@@ -176,14 +174,12 @@ def probabilities(tokens: np.ndarray, weights: np.ndarray, budget: float) -> np.
     return np.minimum(1, ratio * high)
 
 
-def _sums(table: DataFrame | pd.DataFrame, n: int, part) -> np.ndarray:
+def _sums(table: DataFrame, n: int, part) -> np.ndarray:
     """Sum over the table of part(tokens, goal), a vector of n numbers for each batch of sources; n numbers reach the driver."""
 
     def of(b: pd.DataFrame) -> np.ndarray:
         return part(np.stack(b["tokens"].to_numpy()), b["goal"].to_numpy()) if len(b) else np.zeros(n)
 
-    if isinstance(table, pd.DataFrame):
-        return of(table)
     names = [f"v{k}" for k in range(n)]
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,7 +198,7 @@ def _ratios(tokens: np.ndarray, goal: np.ndarray, logs: np.ndarray) -> np.ndarra
     return e * np.divide(goal, have, out=np.zeros_like(have), where=have > 0)[:, None]
 
 
-def rake_sources(table: DataFrame | pd.DataFrame, targets: list[np.ndarray], rounds: int = 200, tolerance: float = 1e-10):
+def rake_sources(table: DataFrame, targets: list[np.ndarray], rounds: int = 200, tolerance: float = 1e-10):
     """rake() for a table(goal, tokens): the goals of all sources and the tokens of each by topic and language.
 
     Gives a function (tokens, goal) -> weight over tokens of the cells. Sources are the first dimension, languages the last. Rounds end
@@ -237,7 +233,7 @@ def rake_sources(table: DataFrame | pd.DataFrame, targets: list[np.ndarray], rou
     return lambda t, g: _ratios(t, g, logs) * last
 
 
-def scale_of(table: DataFrame | pd.DataFrame, ratios, budget: float) -> float:
+def scale_of(table: DataFrame, ratios, budget: float) -> float:
     """The scale at which min(1, scale * weight over tokens) of all cells keeps budget tokens; see probabilities().
 
     Kept tokens are a concave function of the scale, linear between cells that fill: Newton's steps from below reach it.
@@ -260,7 +256,7 @@ def scale_of(table: DataFrame | pd.DataFrame, ratios, budget: float) -> float:
 
 def mix(
     docs: DataFrame, rank_file: str, pattern: str, languages: Mapping[str, float] = LANGUAGES, topics: int = TOPICS,
-    sources: Mapping[str, float] | None = None, temper: float = TEMPER, budget: float = BUDGET, seed: int = SEED, local: int = LOCAL,
+    sources: Mapping[str, float] | None = None, temper: float = TEMPER, budget: float = BUDGET, seed: int = SEED,
 ) -> DataFrame:
     """(doc, tokens, topic, probability, sampled) of every row of docs, doc a struct of its columns.
 
@@ -295,10 +291,9 @@ def mix(
     total = float(sums.t)
     even = F.lit(total) / F.lit(float(max(1, table.count()))) if not sums.share else F.col("share") / F.lit(sums.share) * F.lit(total)
     table = written(table.select("s", "tokens", even.alias("goal")), "goals")
-    few = table if table.limit(local + 1).count() > local else table.toPandas()
-    ratios = rake_sources(few, targets)
+    ratios = rake_sources(table, targets)
     whole = budget >= 1
-    scale = 0.0 if whole else scale_of(few, ratios, budget * total)
+    scale = 0.0 if whole else scale_of(table, ratios, budget * total)
 
     def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

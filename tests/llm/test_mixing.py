@@ -70,13 +70,12 @@ def test_odd_rows(spark):
     assert OTHER == "other"
 
 
-@pytest.mark.parametrize("local", [4096, 10])
-def test_every_source_has_a_target_of_its_own(spark, local):
+def test_every_source_has_a_target_of_its_own(spark):
     rng = np.random.default_rng(4)
     langs, n = ["en", "de", "fr", "es"], 90
     rows = [(k, "x" * int(rng.integers(4, 2000)), langs[int(rng.integers(4))], f"s{k % n}" if k % 97 else None) for k in range(9 * n)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = mix(df, budget=0.3, local=local).collect()
+    got = mix(df, budget=0.3).collect()
     axes = [sorted({r.source or OTHER for r in got}), [f"t{k}" for k in range(TOPICS)], [*LANGUAGES, OTHER]]
     tokens = np.zeros([len(a) for a in axes])
     at = lambda r: (axes[0].index(r.source or OTHER), axes[1].index(r.topic), axes[2].index(r.lang))

@@ -187,6 +187,12 @@ def patch_edges(grid: DataFrame, id_col: str, cls: str) -> DataFrame:
     return grid.join(ahead, ["r", "c"]).where(F.col(cls) == F.col("_cls")).select(F.col(id_col).alias("a"), "b")
 
 
+def touching(grid: DataFrame, id_col: str, cls: str) -> DataFrame:
+    """(id) of cells that have a neighbour of another class along a side."""
+    near = neighbours(grid, [cls], FOUR).select("r", "c", F.col(cls).alias("_cls"))
+    return grid.join(near, ["r", "c"]).where(F.col(cls) != F.col("_cls")).select(id_col).distinct()
+
+
 def idw(points: DataFrame, sources: Sequence[tuple[float, float, float]], x: Column, y: Column, out: str) -> DataFrame:
     """points with the inverse-square-distance mean of a short list of sources (x, y, value), as one expression.
 
@@ -242,33 +248,75 @@ def compare(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -> Data
     return both.agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean"), F.max(F.abs(d)).alias("worst"), F.avg((d != 0).cast("double")).alias("changed"))
 
 
-def shore(grid: DataFrame, value: str, level: float) -> DataFrame:
-    """(r, c, x0, y0, x1, y1): shore segments at a level in each square of four neighbouring cells, by linear interpolation.
+def _squares(grid: DataFrame, value: str, level: float, open_: Column | None) -> tuple[DataFrame, list[Column], list[Column | None], Column, Column]:
+    """(squares, up, crossings, saddle, joined): squares of four neighbouring cells, by their corners in turn from (r, c).
 
-    x and y count cells from the centre of cell (0, 0). Two segments in a saddle, joined by the mean of its corners. Squares that
-    miss a corner have none.
+    Squares that miss a corner have none; with open_, a condition on a cell, neither have those with a corner that fulfils it.
     """
-    corner = grid.select(F.explode(F.array(*[F.struct((F.col("r") - i).alias("r"), (F.col("c") - j).alias("c"), F.lit(f"v{i}{j}").alias("k")) for i in (0, 1) for j in (0, 1)])).alias("s"), value)
-    sq = corner.groupBy(F.col("s.r").alias("r"), F.col("s.c").alias("c")).agg(*[F.max(F.when(F.col("s.k") == k, F.col(value))).alias(k) for k in ("v00", "v01", "v11", "v10")])
-    sq = sq.where("v00 is not null and v01 is not null and v10 is not null and v11 is not null")
+    cells = grid.select("r", "c", F.col(value).alias("_v"), F.coalesce(open_, F.lit(False)).alias("_o") if open_ is not None else F.lit(False).alias("_o"))
+    corner = cells.select(F.explode(F.array(*[F.struct((F.col("r") - i).alias("r"), (F.col("c") - j).alias("c"), F.lit(f"v{i}{j}").alias("k")) for i in (0, 1) for j in (0, 1)])).alias("s"), "_v", "_o")
+    sq = corner.groupBy(F.col("s.r").alias("r"), F.col("s.c").alias("c")).agg(*[F.max(F.when(F.col("s.k") == k, F.col("_v"))).alias(k) for k in ("v00", "v01", "v11", "v10")], F.max("_o").alias("_o"))
+    sq = sq.where("v00 is not null and v01 is not null and v10 is not null and v11 is not null and not _o")
     v = [F.col(k) for k in ("v00", "v01", "v11", "v10")]
     up = [x > level for x in v]
-    x, y = [F.col("c"), F.col("c") + 1, F.col("c") + 1, F.col("c")], [F.col("r"), F.col("r"), F.col("r") + 1, F.col("r") + 1]
+    x, y = _corners()
 
     def cross(i: int) -> Column:
-        """Where the side from corner i to the next is crossed; null if it isn't."""
+        """Where the side from corner i to the next is crossed; null if it isn't. The same from both squares beside it."""
         j = (i + 1) % 4
-        t = (F.lit(float(level)) - v[i]) / F.nullif(v[j] - v[i], F.lit(0))
-        return F.when(up[i] != up[j], F.struct((x[i] + (x[j] - x[i]) * t).alias("x"), (y[i] + (y[j] - y[i]) * t).alias("y")))
+        a, b = (i, j) if i < 2 else (j, i)
+        t = (F.lit(float(level)) - v[a]) / F.nullif(v[b] - v[a], F.lit(0))
+        return F.when(up[i] != up[j], F.struct((x[a] + (x[b] - x[a]) * t).alias("x"), (y[a] + (y[b] - y[a]) * t).alias("y")))
 
-    side = [cross(i) for i in range(4)]
-    seg = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
     saddle = (up[0] == up[2]) & (up[1] == up[3]) & (up[0] != up[1])
-    high = (v[0] + v[1] + v[2] + v[3]) / 4 > level
+    return sq, up, [cross(i) for i in range(4)], saddle, (v[0] + v[1] + v[2] + v[3]) / 4 > level
+
+
+def _corners() -> tuple[list[Column], list[Column]]:
+    return [F.col("c"), F.col("c") + 1, F.col("c") + 1, F.col("c")], [F.col("r"), F.col("r"), F.col("r") + 1, F.col("r") + 1]
+
+
+def shore(grid: DataFrame, value: str, level: float, open_: Column | None = None) -> DataFrame:
+    """(r, c, part, side0, side1, x0, y0, x1, y1): shore segments at a level in each square of four neighbouring cells, by linear interpolation.
+
+    x and y count cells from the centre of cell (0, 0). Two segments (part 0 and 1) in a saddle, joined by the mean of its corners. side0 and side1
+    number the sides of squares that a segment runs between, so that two segments which meet have one in common. open_ leaves squares out.
+    """
+    sq, up, at, saddle, high = _squares(grid, value, level, open_)
+    r, c = F.col("r").cast("long"), F.col("c").cast("long")
+    number = lambda r, c, upright: F.shiftleft(r, 32) + 2 * c + upright
+    sides = [number(r, c, 0), number(r, c + 1, 1), number(r + 1, c, 0), number(r, c, 1)]
+    side = [F.when(p.isNotNull(), F.struct(p.alias("p"), n.alias("n"))) for p, n in zip(at, sides)]
+    seg = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
     cut_odd = F.array(seg(side[0], side[1]), seg(side[2], side[3]))
     cut_even = F.array(seg(side[3], side[0]), seg(side[1], side[2]))
     ends = F.array_compact(F.array(*side))
     plain = F.when(F.size(ends) == 2, F.array(seg(F.get(ends, F.lit(0)), F.get(ends, F.lit(1)))))
     segments = F.when(saddle, F.when(high == up[0], cut_odd).otherwise(cut_even)).otherwise(plain)
-    out = sq.select("r", "c", F.explode(segments).alias("s"))
-    return out.select("r", "c", F.col("s.a.x").alias("x0"), F.col("s.a.y").alias("y0"), F.col("s.b.x").alias("x1"), F.col("s.b.y").alias("y1"))
+    out = sq.select("r", "c", F.posexplode(segments).alias("part", "s"))
+    return out.select(
+        "r", "c", "part", F.col("s.a.n").alias("side0"), F.col("s.b.n").alias("side1"),
+        F.col("s.a.p.x").alias("x0"), F.col("s.a.p.y").alias("y0"), F.col("s.b.p.x").alias("x1"), F.col("s.b.p.y").alias("y1"),
+    )
+
+
+def shore_fill(grid: DataFrame, value: str, level: float, open_: Column | None = None) -> DataFrame:
+    """(r, c, part, squares, ring): counter-clockwise rings that cover what lies above the level, square by square.
+
+    Whole squares that follow each other in a row are one ring, at the first one's r and c; squares counts them. A saddle whose corners are not joined
+    has two rings. Points count cells, as in shore().
+    """
+    sq, up, at, saddle, high = _squares(grid, value, level, open_)
+    x, y = _corners()
+    point = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    own = [F.when(u, point(a, b)) for u, a, b in zip(up, x, y)]
+    walk = F.array_compact(F.array(*[p for k in range(4) for p in (own[k], at[k])]))
+    apart = F.array_compact(F.array(*[F.when(up[k], F.array(at[k - 1], own[k], at[k])) for k in range(4)]))
+    whole = up[0] & up[1] & up[2] & up[3]
+    mixed = sq.where((up[0] | up[1] | up[2] | up[3]) & ~whole).select("r", "c", F.posexplode(F.when(saddle & ~high, apart).otherwise(F.array(walk))).alias("part", "ring"))
+    w = Window.partitionBy("r").orderBy("c")
+    runs = sq.where(whole).select("r", "c", (F.col("c") - F.row_number().over(w)).alias("_run")).groupBy("r", "_run").agg(F.min("c").alias("c"), F.count(F.lit(1)).alias("squares"))
+    a, b, s, n = F.col("c"), F.col("c") + F.col("squares"), F.col("r"), F.col("r") + 1
+    box = F.array(point(a, s), point(b, s), point(b, n), point(a, n))
+    merged = runs.select("r", "c", F.lit(0).alias("part"), "squares", box.alias("ring"))
+    return mixed.select("r", "c", "part", F.lit(1).cast("long").alias("squares"), "ring").unionByName(merged)

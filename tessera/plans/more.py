@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import graph as gr
 from ..operators import grid as gd
 from ..operators import temporal as tm
-from .registry import ORACLES, QUERIES, query, table
-from .spatial import C, CELLS, CLASS_SQL, GRID_SQL, HOLED, TRACK_SQL, _classes, _grid, _tracks
+from .registry import query, table
+from .spatial import CLASS_SQL, FOUR_SQL, GRID_SQL, TRACK_SQL, WIDE, _classes, _grid, _tracks
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, 'https?://[^\\s\"''<>]+'))::INT AS addresses, contains(lower(html), '</script') AS breaks FROM pages")
@@ -32,12 +32,12 @@ def line_pieces(spark, sf):
 
 
 @query(f"""
-WITH g AS ({GRID_SQL}), p AS (SELECT r * 100 + c AS id, r, c FROM g WHERE r % 5 = 0 AND c % 5 = 0)
-SELECT id, round(avg(q), 6) AS mean, count(q) AS n FROM p JOIN g ON (p.r - g.r) ** 2 + (p.c - g.c) ** 2 <= 9 GROUP BY 1
+WITH g AS ({GRID_SQL}), o AS (SELECT i, j FROM range(-3, 4) a(i), range(-3, 4) b(j) WHERE i * i + j * j <= 9), p AS (SELECT r * {WIDE} + c AS id, r, c FROM g)
+SELECT id, round(avg(q), 6) AS mean, count(q) AS n FROM p, o JOIN g ON g.r = p.r + i AND g.c = p.c + j GROUP BY 1
 """)
 def disc_mean(spark, sf):
     g = _grid(spark, sf)
-    p = g.where("r % 5 = 0 and c % 5 = 0").select((F.col("r") * 100 + F.col("c")).alias("id"), "r", "c")
+    p = g.select((F.col("r") * WIDE + F.col("c")).alias("id"), "r", "c")
     return gd.disc_mean(g, p, "id", "q", 3.0, "mean").select("id", F.round("mean", 6).alias("mean"), "n")
 
 
@@ -49,7 +49,7 @@ def seam_test(spark, sf):
 
 
 @query(f"""
-WITH g AS (SELECT *, {CLASS_SQL} AS cls FROM ({GRID_SQL})) SELECT r, c FROM g a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE abs(a.r - b.r) + abs(a.c - b.c) = 1 AND a.cls = b.cls)
+WITH g AS (SELECT *, r * {WIDE} + c AS id, {CLASS_SQL} AS cls FROM ({GRID_SQL})), {FOUR_SQL} SELECT r, c FROM g WHERE id NOT IN (SELECT a FROM n WHERE acls = bcls)
 """)
 def speckle_test(spark, sf):
     return gd.lone_cells(_classes(spark, sf), "cls").select("r", "c")
@@ -103,20 +103,20 @@ def shore_squares(spark, sf):
 
 
 @query(f"""
-WITH RECURSIVE g AS (SELECT r, c, q, r * {C} + c AS id FROM ({GRID_SQL}) WHERE q % 5 <> 0), t(id, r, c, d) AS (SELECT id, r, c, 0 FROM g WHERE c = 0
-  UNION SELECT g.id, g.r, g.c, t.d + 1 FROM t JOIN g ON abs(g.r - t.r) + abs(g.c - t.c) = 1 WHERE t.d < 60)
-SELECT id, min(d)::INT AS hops FROM t GROUP BY 1
+WITH RECURSIVE g AS MATERIALIZED (SELECT r, c, q, r * {WIDE} + c AS id, 0 AS cls FROM ({GRID_SQL}) WHERE q % 5 <> 0), {FOUR_SQL}, t(id, d) USING KEY (id) AS (SELECT id, 0 FROM g WHERE c = 0
+  UNION SELECT n.b, min(t.d) + 1 FROM t JOIN n ON n.a = t.id LEFT JOIN recurring.t o ON o.id = n.b WHERE o.id IS NULL GROUP BY n.b)
+SELECT id, d::INT AS hops FROM t
 """)
 def shortest_hops(spark, sf):
     """Least steps over open cells from the first column."""
-    g = _grid(spark, sf).where("q % 5 <> 0").select("r", "c", (F.col("r") * C + F.col("c")).alias("id"), F.lit(1).alias("open"))
+    g = _grid(spark, sf).where("q % 5 <> 0").select("r", "c", (F.col("r") * WIDE + F.col("c")).alias("id"), F.lit(1).alias("open"))
     return gr.shortest_hops(g, gd.patch_edges(g, "id", "open"), "id", g.where("c = 0")).select("id", "hops")
 
 
 @query()
 def absorbed_patches(spark, sf):
     """A yes/no grid without patches of under four cells, after four rounds at most; rows only."""
-    g = _grid(spark, sf).select("r", "c", (F.col("r") * C + F.col("c")).alias("id"), (F.col("q") % 2 == 0).alias("chosen"))
+    g = _grid(spark, sf).select("r", "c", (F.col("r") * WIDE + F.col("c")).alias("id"), (F.col("q") % 2 == 0).alias("chosen"))
     return gr.absorb_small(g, "id", "chosen", 4, lambda x: gd.patch_edges(x, "id", "chosen")).select("r", "c", "chosen")
 
 
@@ -141,25 +141,3 @@ def simplified_tracks(spark, sf):
     from ..functions.kernels import simplified
 
     return _tracks(spark, sf).select("user_id", F.size("line").alias("points"), F.size(simplified(F.col("line"), 40.0)).alias("left"))
-
-
-def _over_all(name):
-    """Registers the grid query `name` a second time, as `<name>_all`, over the grid without holes; its SQL likewise."""
-
-    def f(spark, sf, inner=QUERIES[name]):
-        over = CELLS.set("TRUE")
-        try:
-            return inner(spark, sf)
-        finally:
-            CELLS.reset(over)
-
-    f.__name__, f.__doc__ = f"{name}_all", f"{name} over the grid without holes."
-    sql = ORACLES.get(name)
-    query(sql and sql.replace(GRID_SQL, GRID_SQL.replace(HOLED, "TRUE")))(f)
-
-
-for _name in (
-    "grid_residual", "square_min", "masked_blur", "roughness3", "bilinear_blend", "area_average", "coarsen_max", "majority_disc", "patches", "widest_path", "distance_field",
-    "grid_hash", "noise_field", "disc_mean", "seam_test", "speckle_test", "compare_grids", "shore_squares", "shortest_hops", "absorbed_patches",
-):
-    _over_all(_name)

@@ -240,7 +240,6 @@ def name_split(spark, sf):
     return table(spark, sf, "documents").select("doc_id", nm.split_names(text).alias("parts"), nm.is_two_names(text).alias("two"), start_year(text).alias("year"))
 
 
-query(ORACLES["name_split"])(named("name_split_all", name_split))
 
 
 NAMES = (

@@ -1,13 +1,11 @@
 """Geometry, grids and graphs on the driver's tables.
 
 Points are the first two components of embeddings, tracks the events of a user in time order, and the grid the
-quantities sold by supplier (rows) and part (columns).
+quantities sold by supplier (rows) and block of parts (columns), so that it grows with the tables; where nothing was sold it has holes.
 """
 
 from __future__ import annotations
 
-from contextvars import ContextVar
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -20,22 +18,27 @@ from ..operators import spatial as sp
 from .registry import query, table
 from .temporal import hash_sql
 
-R, C = 20, 24
-#: Cells that have a quantity: in the plain queries those that a condition on it leaves, so that the grid has holes; in the queries named `<name>_all` all.
-HOLED = "q % 9 <> 0"
-GRID_SQL = f"SELECT r, c, q FROM (SELECT (l_suppkey % {R})::BIGINT AS r, (l_partkey % {C})::BIGINT AS c, sum(l_quantity)::BIGINT AS q FROM lineitem GROUP BY ALL) WHERE {HOLED}"
+#: Parts of a column, and the number by which a row's id is ahead of the one before.
+BLOCK, WIDE = 20, 1 << 20
+GRID_SQL = f"SELECT l_suppkey::BIGINT AS r, (l_partkey // {BLOCK})::BIGINT AS c, sum(l_quantity)::BIGINT AS q FROM lineitem GROUP BY ALL"
 POINTS_SQL = "SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings"
 TRACK_SQL = "SELECT user_id, value::DOUBLE AS x, hour(ts)::DOUBLE AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_id FROM events"
 RINGS = (("a", (((-0.3, -0.3), (0.3, -0.25), (0.25, 0.3), (-0.2, 0.25)), ((-0.05, -0.05), (0.05, -0.05), (0.05, 0.05), (-0.05, 0.05)))), ("b", (((0.013, 0.007), (0.5, 0.1), (0.1, 0.5)),)))
 
 
-CELLS = ContextVar("CELLS", default=HOLED)
-
-
 def _grid(spark, sf):
     """Quantities of all lines by cell."""
     l = table(spark, sf, "lineitem")
-    return l.groupBy((F.col("l_suppkey") % R).alias("r"), (F.col("l_partkey") % C).alias("c")).agg(F.sum("l_quantity").cast("long").alias("q")).where(CELLS.get())
+    return l.groupBy(F.col("l_suppkey").cast("long").alias("r"), F.floor(F.col("l_partkey") / BLOCK).alias("c")).agg(F.sum("l_quantity").cast("long").alias("q"))
+
+
+def _size(spark, sf):
+    """Rows and columns of the grid, counted from 0."""
+    l = table(spark, sf, "lineitem")
+    return tuple(l.agg(F.max("l_suppkey") + 1, F.floor(F.max("l_partkey") / BLOCK) + 1).first())
+
+
+SIZE_SQL = "(SELECT max(r) + 1 AS rows, max(c) + 1 AS cols FROM g)"
 
 
 def _points(spark, sf):
@@ -148,7 +151,8 @@ def square_min(spark, sf):
 
 
 def _whole(spark, sf):
-    cells = spark.range(R * C).select(F.floor(F.col("id") / C).alias("r"), (F.col("id") % C).alias("c"))
+    rows, cols = _size(spark, sf)
+    cells = spark.range(rows * cols).select(F.floor(F.col("id") / cols).alias("r"), (F.col("id") % cols).alias("c"))
     return cells.join(_grid(spark, sf), ["r", "c"], "left")
 
 
@@ -166,14 +170,14 @@ def roughness3(spark, sf):
 
 
 @query(f"""
-WITH g AS ({GRID_SQL}), p AS (SELECT vec_id, (x + 0.5) * {C - 2} AS x, (y + 0.5) * {R - 2} AS y FROM ({POINTS_SQL})),
+WITH g AS ({GRID_SQL}), p AS (SELECT vec_id, (x + 0.5) * (cols - 2) AS x, (y + 0.5) * (rows - 2) AS y FROM ({POINTS_SQL}), {SIZE_SQL}),
 k AS (SELECT vec_id, q, (CASE WHEN dc = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) * (CASE WHEN dr = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) AS w
   FROM p, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(dr, dc) LEFT JOIN g ON g.r = floor(y) + dr AND g.c = floor(x) + dc)
 SELECT vec_id, round(sum(q * w) FILTER (w > 0 AND q IS NOT NULL) / sum(w) FILTER (w > 0 AND q IS NOT NULL), 5) AS blend FROM k GROUP BY 1
 """)
 def bilinear_blend(spark, sf):
-    p = _points(spark, sf).select("vec_id", "x", "y")
-    out = gd.bilinear(p, _grid(spark, sf), (F.col("x") + 0.5) * (C - 2), (F.col("y") + 0.5) * (R - 2), "q", "blend")
+    p, (rows, cols) = _points(spark, sf).select("vec_id", "x", "y"), _size(spark, sf)
+    out = gd.bilinear(p, _grid(spark, sf), (F.col("x") + 0.5) * (cols - 2), (F.col("y") + 0.5) * (rows - 2), "q", "blend")
     return out.select("vec_id", F.round("blend", 5).alias("blend"))
 
 
@@ -198,6 +202,8 @@ def idw_field(spark, sf):
     return gd.idw(_points(spark, sf), SOURCES, F.col("x"), F.col("y"), "field").select("vec_id", F.round("field", 6).alias("field"))
 
 
+#: Pairs of neighbours along a side, after a table g of cells with an id and a class.
+FOUR_SQL = "n AS MATERIALIZED (SELECT a.id AS a, b.id AS b, b.q AS bq, a.cls AS acls, b.cls AS bcls FROM g a, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) o(dr, dc) JOIN g b ON b.r = a.r + dr AND b.c = a.c + dc)"
 CLASSES = ("low", "mid", "high")
 CLASS_SQL = "CASE WHEN q % 3 = 0 THEN 'low' WHEN q % 3 = 1 THEN 'mid' ELSE 'high' END"
 
@@ -216,20 +222,21 @@ def majority_disc(spark, sf):
 
 
 @query(f"""
-WITH RECURSIVE g AS (SELECT r, c, r * {C} + c AS id, {CLASS_SQL} AS cls FROM ({GRID_SQL})), e AS (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.cls = b.cls AND abs(a.r - b.r) + abs(a.c - b.c) = 1),
-t(id, root) AS (SELECT id, id FROM g UNION SELECT e.b, t.root FROM t JOIN e ON e.a = t.id)
-SELECT id, min(root) AS patch FROM t GROUP BY 1
+WITH RECURSIVE g AS MATERIALIZED (SELECT r, c, r * {WIDE} + c AS id, q, {CLASS_SQL} AS cls FROM ({GRID_SQL})), {FOUR_SQL}, e AS MATERIALIZED (SELECT a, b FROM n WHERE acls = bcls),
+t(id, root) USING KEY (id) AS (SELECT id, id FROM g UNION SELECT e.b, min(t.root) FROM t JOIN e ON e.a = t.id JOIN recurring.t o ON o.id = e.b GROUP BY e.b, o.root HAVING min(t.root) < o.root)
+SELECT id, root AS patch FROM t
 """)
 def patches(spark, sf):
     """Connected patches of one class, by side."""
-    g = _classes(spark, sf).withColumn("id", F.col("r") * C + F.col("c"))
+    g = _classes(spark, sf).withColumn("id", F.col("r") * WIDE + F.col("c"))
     return gr.labelled(g, gd.patch_edges(g, "id", "cls"), "id", "patch").select("id", "patch")
 
 
 @query(f"""
-WITH RECURSIVE g AS (SELECT r, c, q FROM ({GRID_SQL})), t(r, c, w) AS (SELECT r, c, q FROM g WHERE c = 0
-  UNION SELECT g.r, g.c, least(t.w, g.q) FROM t JOIN g ON abs(g.r - t.r) + abs(g.c - t.c) = 1)
-SELECT r, c, max(w) AS width FROM t GROUP BY 1, 2
+WITH RECURSIVE g AS MATERIALIZED (SELECT r, c, r * {WIDE} + c AS id, q, 0 AS cls FROM ({GRID_SQL})), {FOUR_SQL},
+t(id, w) USING KEY (id) AS (SELECT id, q FROM g WHERE c = 0
+  UNION SELECT n.b, max(least(t.w, n.bq)) FROM t JOIN n ON n.a = t.id LEFT JOIN recurring.t o ON o.id = n.b GROUP BY n.b, o.w HAVING o.w IS NULL OR max(least(t.w, n.bq)) > o.w)
+SELECT id // {WIDE} AS r, id % {WIDE} AS c, w AS width FROM t
 """)
 def widest_path(spark, sf):
     """The largest quantity below which a path from the first column never falls."""
@@ -237,9 +244,11 @@ def widest_path(spark, sf):
 
 
 @query(f"""
-WITH RECURSIVE g AS (SELECT r, c, q FROM ({GRID_SQL})), t(r, c, d) AS (SELECT r, c, 0 FROM g WHERE q % 11 = 0
-  UNION SELECT g.r, g.c, t.d + CASE WHEN g.r = t.r OR g.c = t.c THEN 3 ELSE 4 END FROM t JOIN g ON greatest(abs(g.r - t.r), abs(g.c - t.c)) = 1 WHERE t.d < {4 * (R + C)})
-SELECT r, c, round(min(d) / 3.0, 6) AS dist FROM t GROUP BY 1, 2
+WITH RECURSIVE g AS MATERIALIZED (SELECT r, c, q FROM ({GRID_SQL})), o(dr, dc) AS (SELECT i, j FROM range(-1, 2) a(i), range(-1, 2) b(j) WHERE i <> 0 OR j <> 0),
+n AS MATERIALIZED (SELECT a.r * {WIDE} + a.c AS a, b.r * {WIDE} + b.c AS b, CASE WHEN dr = 0 OR dc = 0 THEN 3 ELSE 4 END AS step FROM g a, o JOIN g b ON b.r = a.r + dr AND b.c = a.c + dc),
+t(id, d) USING KEY (id) AS (SELECT r * {WIDE} + c, 0 FROM g WHERE q % 11 = 0
+  UNION SELECT n.b, min(t.d + step) FROM t JOIN n ON n.a = t.id LEFT JOIN recurring.t o ON o.id = n.b GROUP BY n.b, o.d HAVING o.d IS NULL OR min(t.d + step) < o.d)
+SELECT id // {WIDE} AS r, id % {WIDE} AS c, round(d / 3.0, 6) AS dist FROM t
 """)
 def distance_field(spark, sf):
     """Chamfer 3-4 distance to the nearest source cell, in cells."""

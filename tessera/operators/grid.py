@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,45 +139,92 @@ def majority_disc(grid: DataFrame, cls: str, radius: float, order: Sequence, out
     return grid.join(best, ["r", "c"], "left")
 
 
-def relax(grid: DataFrame, state: str, step, offsets, max_rounds: int = 10_000) -> DataFrame:
-    """Applies step(own state, list of (neighbour state, offset number)) -> state to all cells until nothing changes.
+def _shifted(a: np.ndarray, dr: int, dc: int) -> np.ndarray:
+    """The inner part of a framed array, seen from the cell that lies (dr, dc) away."""
+    h, w = a.shape
+    return a[1 + dr : h - 1 + dr, 1 + dc : w - 1 + dc]
 
-    step gets the cell's state and an aggregate over neighbours through `best`. The frontier is written each round.
+
+def flooded(grid: DataFrame, own: Column, start: Column, out: str, step, worst: float, tile: int = 128, max_rounds: int = 100_000) -> DataFrame:
+    """grid with `out`: what spreads from the cells that have a start, to the fixpoint; null where nothing comes.
+
+    step(state, own) gives each cell of a framed tile what its neighbours' states offer, `worst` where they offer nothing; a state only ever moves
+    away from worst. Tiles are brought to rest by themselves, and only states that changed at a rim go to the tiles beside, so rounds follow the
+    tiles that a path crosses and not its cells. A task holds one tile of tile x tile cells. Cells are unique by r and c.
     """
-    grid = written(grid, "relax")
+    better = np.minimum if worst > 0 else np.maximum
+    cells = grid.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), own.cast("double").alias("own"), start.cast("double").alias("s"))
+    at = lambda k: F.floor(F.col(k) / tile)
+    state = written(cells.withColumn("ti", at("r")).withColumn("tj", at("c")).withColumn("fresh", F.col("s").isNotNull()), "flood")
+    schema = "r long, c long, own double, s double, ti long, tj long, fresh boolean"
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        mine = pdf[~pdf["halo"]]
+        if not len(mine):  # a tile without cells of its own
+            return mine.drop(columns="halo")
+        top, left = int(mine["ti"].iloc[0]) * tile - 1, int(mine["tj"].iloc[0]) * tile - 1
+        state, value, there = np.full((tile + 2, tile + 2), worst), np.zeros((tile + 2, tile + 2)), np.zeros((tile + 2, tile + 2), bool)
+        known = pdf[pdf["s"].notna()]
+        state[known["r"] - top, known["c"] - left] = known["s"]
+        r, c = mine["r"].to_numpy() - top, mine["c"].to_numpy() - left
+        value[r, c], there[r, c] = mine["own"], True
+        inner, inside = state[1:-1, 1:-1], there[1:-1, 1:-1]
+        while True:
+            offered = np.where(inside, step(state, value), worst)
+            new = better(inner, offered)
+            if np.array_equal(new, inner):
+                break
+            inner[:] = new
+        found = state[r, c]
+        before = mine["s"].fillna(worst).to_numpy()
+        moved = (found != before) | (mine["fresh"].to_numpy() & first)
+        return mine.drop(columns="halo").assign(s=np.where(found == worst, np.nan, found), fresh=moved)
+
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in EIGHT])
+    first = True
     for _ in range(max_rounds):
-        near = neighbours(grid, [state], offsets).withColumnRenamed(state, "_s")
-        best = near.groupBy("r", "c").agg(step["gather"](F.col("_s"), F.col("_k")).alias("_best"))
-        nxt = grid.join(best, ["r", "c"], "left").withColumn("_new", step["update"](F.struct("*")))
-        nxt = written(nxt, "relax")
-        moved = nxt.where(~F.col("_new").eqNullSafe(F.col(state))).limit(1).count()
-        grid = nxt.drop(state, "_best").withColumnRenamed("_new", state)
-        if not moved:
-            return grid
-    raise RuntimeError("the relaxation did not come to rest")
-
-
-def distance_field(grid: DataFrame, source: Column, straight: float, diagonal: float, out: str) -> DataFrame:
-    """Chamfer distance to the nearest source cell over cells that are present: straight and diagonal steps as given."""
-    start = grid.withColumn(out, F.when(source, 0.0))
-    step = {
-        "gather": lambda s, k: F.min(s + F.when(k < 4, F.lit(straight)).otherwise(F.lit(diagonal))),
-        "update": lambda row: F.least(row[out], row["_best"]),
-    }
-    return relax(start, out, step, EIGHT)
-
-
-def widest_path(grid: DataFrame, own: str, seed: Column, out: str) -> DataFrame:
-    """For each cell the largest width w such that a path of cells >= w leads to a seed; null where none does.
+        # Fresh cells at a rim go to the tiles of their neighbours.
+        sent = state.where("fresh").select("*", F.explode(around).alias("o"))
+        sent = sent.withColumn("_i", F.floor((F.col("r") + F.col("o.i")) / tile)).withColumn("_j", F.floor((F.col("c") + F.col("o.j")) / tile)).where("_i <> ti or _j <> tj")
+        halo = sent.select("r", "c", "own", "s", F.col("_i").alias("ti"), F.col("_j").alias("tj"), "fresh").distinct()
+        if first:
+            work, rest = state, None
+        else:
+            halo = written(halo, "halo")
+            if not halo.limit(1).count():
+                break
+            active = halo.select("ti", "tj").distinct()
+            work, rest = state.join(active, ["ti", "tj"], "left_semi"), state.join(active, ["ti", "tj"], "left_anti").withColumn("fresh", F.lit(False))
+        both = work.withColumn("halo", F.lit(False)).select("r", "c", "own", "s", "ti", "tj", "fresh", "halo").unionByName(halo.withColumn("halo", F.lit(True)).select("r", "c", "own", "s", "ti", "tj", "fresh", "halo"))
+        done = both.groupBy("ti", "tj").applyInPandas(kernel, schema)
+        state = written(done if rest is None else done.unionByName(rest.select(*done.columns)), "flood", after=state)
+        first = False
+    else:
+        raise RuntimeError("the flood did not come to rest")
+    # NaN stands for nothing in what pandas sent back.
+    return grid.join(state.select("r", "c", F.when(~F.isnan("s"), F.col("s")).alias(out)), ["r", "c"])
+
+
+def distance_field(grid: DataFrame, source: Column, straight: float, diagonal: float | None, out: str, tile: int = 128) -> DataFrame:
+    """Distance to the nearest source cell over cells that are present: straight and diagonal steps as given, no diagonal ones for None."""
+
+    def step(state: np.ndarray, own: np.ndarray) -> np.ndarray:
+        near = [_shifted(state, *o) + straight for o in FOUR]
+        if diagonal is not None:
+            near += [_shifted(state, *o) + diagonal for o in EIGHT[4:]]
+        return np.minimum.reduce(near)
+
+    return flooded(grid, F.lit(0.0), F.when(source, 0.0), out, step, np.inf, tile)
+
+
+def widest_path(grid: DataFrame, own: str, seed: Column, out: str, tile: int = 128) -> DataFrame:
+    """For each cell the largest width w such that a path of cells >= w leads to a seed; null where none does. Widths as doubles are compared.
 
     The maximum over neighbours of min(own, theirs), to the fixpoint; the answer does not depend on order.
     """
-    start = grid.withColumn(out, F.when(seed, F.col(own)))
-    step = {
-        "gather": lambda s, k: F.max(s),
-        "update": lambda row: F.greatest(row[out], F.when(row["_best"].isNotNull(), F.least(row[own], row["_best"]))),
-    }
-    return relax(start, out, step, FOUR)
+    step = lambda state, own: np.minimum(own[1:-1, 1:-1], np.maximum.reduce([_shifted(state, *o) for o in FOUR]))
+    found = flooded(grid, F.col(own), F.when(seed, F.col(own)), out, step, -np.inf, tile)
+    return found.withColumn(out, F.col(out).cast(grid.schema[own].dataType))
 
 
 def patch_edges(grid: DataFrame, id_col: str, cls: str) -> DataFrame:

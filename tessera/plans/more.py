@@ -109,8 +109,20 @@ SELECT id, d::INT AS hops FROM t
 """)
 def shortest_hops(spark, sf):
     """Least steps over open cells from the first column."""
-    g = _grid(spark, sf).where("q % 5 <> 0").select("r", "c", (F.col("r") * WIDE + F.col("c")).alias("id"), F.lit(1).alias("open"))
-    return gr.shortest_hops(g, gd.patch_edges(g, "id", "open"), "id", g.where("c = 0")).select("id", "hops")
+    g = _grid(spark, sf).where("q % 5 <> 0").select("r", "c", (F.col("r") * WIDE + F.col("c")).alias("id"))
+    return gd.distance_field(g, F.col("c") == 0, 1.0, None, "hops").where("hops is not null").select("id", F.col("hops").cast("int").alias("hops"))
+
+
+@query("""
+WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT l_suppkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem), f AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+t(id, hops) USING KEY (id) AS (SELECT min(a), 0 FROM e UNION SELECT f.b, min(t.hops) + 1 FROM t JOIN f ON f.a = t.id LEFT JOIN recurring.t o ON o.id = f.b WHERE o.id IS NULL GROUP BY f.b)
+SELECT t.id, t.hops::INT AS hops, (SELECT min(f.b) FROM f JOIN t u ON u.id = f.b WHERE f.a = t.id AND u.hops = t.hops - 1) AS via FROM t
+""")
+def trade_hops(spark, sf):
+    """Suppliers and parts by how many sales they are away from the first supplier, and the way back."""
+    e = table(spark, sf, "lineitem").select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")).distinct()
+    nodes = e.select(F.col("a").alias("id")).unionByName(e.select(F.col("b").alias("id"))).distinct()
+    return gr.shortest_hops(nodes, e, "id", e.agg(F.min("a").alias("id")))
 
 
 @query()

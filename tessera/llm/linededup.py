@@ -1,8 +1,9 @@
-"""Substring dedup by unit hashing: repeated lines and sentences go, but for their earliest occurrence.
+"""Substring dedup by unit hashing: repeated passages of lines and sentences go, but for their earliest occurrence.
 
 Units are lines of any length, also in scripts without spaces, and, within them, sentences. A short sentence is hashed together with what stands
 before it, so that it counts as repeated only inside a repeated passage. Units are counted by a 64-bit hash first; only
-those that occur twice or more travel on with their 128-bit digest.
+those that occur twice or more travel on with their 128-bit digest. A repeated unit goes if it and the repeated units that adjoin it
+are a passage of some words: a stock phrase that stands alone in many documents is no copied passage.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .common import written
 
 #: Words that a sentence needs to be hashed by itself. A line needs none: each that is not blank is a unit.
 SENTENCE_WORDS = 8
+#: Words of a passage of repeated units that goes; LETTERS characters count as a word at least, for scripts without spaces.
+PASSAGE_WORDS, LETTERS = 25, 6
 _PIECE = re.compile(r"\S[^\n]*?(?:[.!?]+(?=\s|\Z)|(?=\n|\Z))")
 
 
@@ -85,6 +88,26 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return written(later.groupBy("id", "key").agg(F.sort_array(F.collect_set(span)).alias("spans")), "spans")
 
 
+def passages(text: str, spans: list, least: int = PASSAGE_WORDS) -> list:
+    """The spans (start, end, ...) that lie in a passage: spans with nothing but white space between them, together of at least so many words."""
+    out, run, end = [], [], -1
+
+    def close() -> None:
+        if run:
+            inside = text[min(x["start"] for x in run) : end]
+            if max(len(inside.split()), sum(not c.isspace() for c in inside) // LETTERS) >= least:
+                out.extend(run)
+
+    for x in sorted(spans, key=lambda x: (x["start"], x["end"])):
+        if run and x["start"] > end and text[end : x["start"]].strip():
+            close()
+            run, end = [], -1
+        run.append(x)
+        end = max(end, x["end"])
+    close()
+    return out
+
+
 def cut(text: str, spans: list) -> tuple[str, list[tuple[int, int]]]:
     """text without the spans, and the offsets in the original of what is kept."""
     kept, at = [], 0
@@ -97,10 +120,10 @@ def cut(text: str, spans: list) -> tuple[str, list[tuple[int, int]]]:
     return "".join(text[s:e] for s, e in kept), kept
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, text without its repeated units, removed, kept, n_removed_chars.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = PASSAGE_WORDS) -> DataFrame:
+    """One row per row of docs: id, text without its repeated units in passages of `least` words, removed, kept, n_removed_chars.
 
-    removed holds (start, end, kept_id) of each repeated unit and kept the (start, end) of what stays, both as offsets in
+    removed holds (start, end, kept_id) of each such unit and kept the (start, end) of what stays, both as offsets in
     the original text. The earliest occurrence by id and offset is kept. Null and empty texts have no units and stay as they
     are. Null ids come last; rows that repeat an id and its text count as one document and come out alike. Other columns
     are ignored. No rows give no rows.
@@ -112,14 +135,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, kepts, gone = [], [], []
+            texts, removed, kepts, gone = [], [], [], []
             for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                new, kept = cut(text or "", spans or [])
+                removed.append(passages(text or "", spans or [], least))
+                new, kept = cut(text or "", removed[-1])
                 texts.append(new if text is not None else None)
                 kepts.append([{"start": s, "end": e} for s, e in kept])
                 gone.append(len(text or "") - len(new))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(texts, pa.string()), b.column(2), pa.array(kepts, kept_type), pa.array(gone, pa.int64())],
+                [b.column(0), pa.array(texts, pa.string()), pa.array(removed, b.column(2).type), pa.array(kepts, kept_type), pa.array(gone, pa.int64())],
                 names=["id", "text", "removed", "kept", "n_removed_chars"],
             )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,37 +106,93 @@ def change_plane(before: DataFrame, after: DataFrame, keys: list[str], value: st
     return a.join(b, keys, "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
 
 
+def streamed(rows: DataFrame, group: str, order: list[str], kernel, schema: str) -> DataFrame:
+    """Rows of each group in order through a kernel that keeps a little state, sorted by Spark and never gathered.
+
+    kernel() gives (feed, end): feed(group, *row) yields rows for what a row settles, end() for what is open at a group's end.
+    """
+
+    def apply(batches):
+        now, feed, end = None, None, None
+        names = [c.split()[0] for c in schema.split(", ")]
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                if feed is None or row[0] != now:
+                    if feed is not None:
+                        out += end()
+                    now, (feed, end) = row[0], kernel()
+                out += feed(*row)
+            yield pd.DataFrame(out, columns=names)
+        if feed is not None:
+            yield pd.DataFrame(end(), columns=names)
+
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.where(F.col(group).isNotNull()).repartition(parts, group).sortWithinPartitions(group, *order).mapInPandas(apply, schema)
+
+
 def capped_ranges(ranges: DataFrame, group: str, start: str, end: str, gap: int, cap: int) -> DataFrame:
-    """Like merge_ranges, but a merged range never grows over `cap`: each step depends on the last, so a group is one kernel."""
-    import pandas as pd
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for s, e in pdf.sort_values([start, end])[[start, end]].itertuples(index=False):
-            if out and s - out[-1][1] <= gap and max(e, out[-1][1]) - out[-1][0] <= cap:
-                out[-1][1] = max(out[-1][1], e)
-                out[-1][2] += 1
-            else:
-                out.append([s, e, 1])
-        done = pd.DataFrame(out, columns=[start, end, "n"])
-        done.insert(0, group, pdf[group].iloc[0])
-        return done
+    """(group, start, end, n) like merge_ranges, but a merged range never grows over `cap`: each step depends on the one before. Null groups are left out."""
+
+    def kernel():
+        open_: list = []
+
+        def feed(g, s, e):
+            if open_ and s - open_[2] <= gap and max(e, open_[2]) - open_[1] <= cap:
+                open_[2:] = [max(open_[2], e), open_[3] + 1]
+                return []
+            done = close()
+            open_[:] = [g, s, e, 1]
+            return done
+
+        def close():
+            return [tuple(open_)] if open_ else []
+
+        return feed, close
 
     types = dict(ranges.dtypes)
-    return ranges.groupBy(group).applyInPandas(kernel, f"{group} {types[group]}, {start} {types[start]}, {end} {types[end]}, n long")
+    schema = f"{group} {types[group]}, {start} {types[start]}, {end} {types[end]}, n bigint"
+    return streamed(ranges.select(group, start, end), group, [start, end], kernel, schema)
+
+
+def debounced(events: DataFrame, group: str, at: str, gap: int, tie: str | None = None) -> DataFrame:
+    """Events that fire when the last one that fired is at least `gap` ago; of events at one time the first by `tie`. Null groups are left out."""
+
+    def kernel():
+        last: list = []
+
+        def feed(*row):
+            if last and row[1] - last[0] < gap:
+                return []
+            last[:] = [row[1]]
+            return [row]
+
+        return feed, lambda: []
+
+    rest = [c for c in events.columns if c not in (group, at)]
+    types = dict(events.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in (group, at, *rest))
+    return streamed(events.select(group, at, *rest), group, [at, *([tie] if tie else [])], kernel, schema).select(*events.columns)
+
+
+def fixed_steps(frames: DataFrame, group: str, at: str, elapsed: str, step: float, most: int, longest: float, tie: str | None = None) -> DataFrame:
+    """(group, at, steps, carry): how many steps of a fixed length each frame makes, the rest carried on to the next.
+
+    A frame counts for `longest` at most, and makes `most` steps at most; what is beyond is dropped, so that a long pause is not made up for.
+    """
 
+    def kernel():
+        carry = [0.0]
 
-def debounced(events: DataFrame, group: str, at: str, gap: int) -> DataFrame:
-    """Events that fire when the last one that fired is at least `gap` ago."""
-    import pandas as pd
+        def feed(g, t, e, *_):
+            total = carry[0] + min(max(e, 0.0), longest)
+            n = int(total // step)
+            made = min(n, most)
+            carry[0] = total - n * step
+            return [(g, t, made, carry[0])]
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, keep = None, []
-        pdf = pdf.sort_values(at)
-        for t in pdf[at]:
-            fire = last is None or t - last >= gap
-            last = t if fire else last
-            keep.append(fire)
-        return pdf[keep]
+        return feed, lambda: []
 
-    return events.groupBy(group).applyInPandas(kernel, events.schema)
+    types = dict(frames.dtypes)
+    cols = [group, at, elapsed, *([tie] if tie else [])]
+    return streamed(frames.select(*cols), group, [at, *([tie] if tie else [])], kernel, f"{group} {types[group]}, {at} {types[at]}, steps bigint, carry double")

@@ -125,31 +125,77 @@ def trade_hops(spark, sf):
     return gr.shortest_hops(nodes, e, "id", e.agg(F.min("a").alias("id")))
 
 
-@query()
+def _absorb_sql(rounds: int) -> str:
+    """Rounds over tables g0, g1, ...: components of one value, their sizes, small ones flipped."""
+    out = [f"g0 AS MATERIALIZED (SELECT r, c, r * {WIDE} + c AS id, q % 2 = 0 AS v FROM ({GRID_SQL}))",
+           f"n AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM g0 a, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) o(dr, dc) JOIN g0 b ON b.r = a.r + dr AND b.c = a.c + dc)"]
+    for k in range(rounds):
+        out += [
+            f"e{k} AS MATERIALIZED (SELECT a, b FROM n JOIN g{k} x ON x.id = a JOIN g{k} y ON y.id = b WHERE x.v = y.v)",
+            f"t{k}(id, root) USING KEY (id) AS (SELECT id, id FROM g{k} UNION SELECT e.b, min(t.root) FROM t{k} t JOIN e{k} e ON e.a = t.id JOIN recurring.t{k} o ON o.id = e.b GROUP BY e.b, o.root HAVING min(t.root) < o.root)",
+            f"s{k} AS MATERIALIZED (SELECT root FROM t{k} GROUP BY root HAVING count(*) < 4)",
+            f"g{k + 1} AS MATERIALIZED (SELECT r, c, g.id, v <> (t.root IN (FROM s{k})) AS v FROM g{k} g JOIN t{k} t ON t.id = g.id)",
+        ]
+    return f"WITH RECURSIVE {', '.join(out)} SELECT r, c, v AS chosen FROM g{rounds}"
+
+
+@query(_absorb_sql(4))
 def absorbed_patches(spark, sf):
-    """A yes/no grid without patches of under four cells, after four rounds at most; rows only."""
+    """A yes/no grid without patches of under four cells, after four rounds at most."""
     g = _grid(spark, sf).select("r", "c", (F.col("r") * WIDE + F.col("c")).alias("id"), (F.col("q") % 2 == 0).alias("chosen"))
     return gr.absorb_small(g, "id", "chosen", 4, lambda x: gd.patch_edges(x, "id", "chosen")).select("r", "c", "chosen")
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, floor(epoch(ts))::BIGINT AS s, floor(epoch(ts))::BIGINT + 1800 AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+w(user_id, n, k, s, e) AS (SELECT user_id, n, 1, s, e FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.n, CASE WHEN e.s - w.e <= 3600 AND greatest(e.e, w.e) - w.s <= 10800 THEN k ELSE k + 1 END,
+  CASE WHEN e.s - w.e <= 3600 AND greatest(e.e, w.e) - w.s <= 10800 THEN w.s ELSE e.s END, CASE WHEN e.s - w.e <= 3600 AND greatest(e.e, w.e) - w.s <= 10800 THEN greatest(e.e, w.e) ELSE e.e END FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+SELECT user_id, min(s) AS s, max(e) AS e, count(*) AS n FROM w GROUP BY user_id, k
+""")
 def capped_ranges(spark, sf):
-    """Half-hour ranges of events merged up to a cap of three hours; rows only."""
+    """Half-hour ranges of events merged up to a cap of three hours."""
     t = F.unix_seconds(F.col("ts").cast("timestamp"))
     e = table(spark, sf, "events").select("user_id", t.alias("s"), (t + 1800).alias("e"))
     return tm.capped_ranges(e, "user_id", "s", "e", 3600, 3 * 3600)
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS t, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT, event_id) AS n FROM events),
+w(user_id, n, last, fired) AS (SELECT user_id, n, t, event_id FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.n, CASE WHEN e.t - last >= 7200 THEN e.t ELSE last END, CASE WHEN e.t - last >= 7200 THEN event_id END FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+SELECT user_id, fired AS event_id, last AS t FROM w WHERE fired IS NOT NULL
+""")
 def debounced_events(spark, sf):
-    """Events of a user at least two hours after the last one that counted; rows only."""
+    """Events of a user at least two hours after the last one that counted."""
     e = table(spark, sf, "events").select("user_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"))
-    return tm.debounced(e, "user_id", "t", 7200)
+    return tm.debounced(e, "user_id", "t", 7200, "event_id")
+
+
+@query("""
+WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, least(floor(value)::BIGINT, 120) AS d FROM events),
+w(user_id, n, event_id, steps, carry) AS (SELECT user_id, 0::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT FROM (SELECT DISTINCT user_id FROM events) UNION ALL
+  SELECT e.user_id, e.n, e.event_id, least((carry + d) // 16, 5), (carry + d) % 16 FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+SELECT user_id, event_id, steps, carry::DOUBLE AS carry FROM w WHERE n > 0
+""")
+def fixed_steps(spark, sf):
+    """Steps of a fixed length that each frame makes, the rest carried on, long frames cut."""
+    e = table(spark, sf, "events").select("user_id", "event_id", F.floor("value").cast("double").alias("d"))
+    return tm.fixed_steps(e, "user_id", "event_id", "d", 16.0, 5, 120.0)
+
 
+_LINE = f"t AS MATERIALIZED (SELECT user_id, n::BIGINT AS n, x, y FROM ({TRACK_SQL}))"
 
-@query()
+
+@query(f"""
+WITH RECURSIVE {_LINE}, m AS (SELECT user_id, count(*) AS points FROM t GROUP BY 1),
+w(user_id, a, b) AS (SELECT user_id, 1::BIGINT, points FROM m WHERE points > 2 UNION ALL SELECT user_id, unnest([a, k]), unnest([k, b]) FROM (
+  SELECT w.user_id, w.a, w.b, arg_max(t.n, row(d, -t.n)) AS k, max(d) AS d FROM w JOIN t p ON p.user_id = w.user_id AND p.n = w.a JOIN t q ON q.user_id = w.user_id AND q.n = w.b JOIN t ON t.user_id = w.user_id AND t.n > w.a AND t.n < w.b,
+  LATERAL (SELECT (q.x - p.x) ** 2 + (q.y - p.y) ** 2 AS l), LATERAL (SELECT CASE WHEN l > 0 THEN greatest(0, least(1, ((t.x - p.x) * (q.x - p.x) + (t.y - p.y) * (q.y - p.y)) / l)) ELSE 0 END AS u),
+  LATERAL (SELECT sqrt((t.x - p.x - u * (q.x - p.x)) ** 2 + (t.y - p.y - u * (q.y - p.y)) ** 2) AS d) GROUP BY ALL) WHERE d > 40),
+k AS (SELECT user_id, a AS n FROM w UNION SELECT user_id, b FROM w UNION SELECT user_id, 1 FROM m UNION SELECT user_id, points FROM m)
+SELECT user_id, points::INT AS points, (SELECT count(*) FROM k WHERE k.user_id = m.user_id)::INT AS "left" FROM m
+""")
 def simplified_tracks(spark, sf):
-    """Tracks without points that stray little; rows only."""
+    """Tracks without points that stray little."""
     from ..functions.kernels import simplified
 
     return _tracks(spark, sf).select("user_id", F.size("line").alias("points"), F.size(simplified(F.col("line"), 40.0)).alias("left"))

@@ -251,24 +251,27 @@ CHOSEN = (("1", "ru", "tag"), ("2", "uk", "letters"), ("3", "ru", "letters"), ("
           ("9", "be", "nearby"), ("10", "ru", "country"), ("11", "uk", "letters"), ("12", "ru", "letters"), ("13", "uk", "country"), ("14", "ru", "guess"))
 
 
-def _names(spark):
-    df = spark.createDataFrame(NAMES, "id string, text string, ru string, country string, nearby string")
+def _names(spark, sf):
+    """Every part under one of the names, in turn."""
+    df = spark.createDataFrame([(k, *row[1:]) for k, row in enumerate(NAMES)], "k long, text string, ru string, country string, nearby string")
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % len(NAMES)).alias("k"))
+    df = parts.join(F.broadcast(df), "k")
     tags = F.when(F.col("ru").isNotNull(), F.create_map(F.lit("ru"), F.col("ru"))).otherwise(F.create_map().cast("map<string,string>"))
     return df.select("id", "text", nm.chosen_language(F.col("text"), tags, F.col("country"), F.col("nearby")).alias("c")).select("id", "text", "c.lang", "c.rule")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(map(str, CHOSEN)) + ") t(id, lang, rule)")
+@query("SELECT p_partkey AS id, lang, rule FROM part JOIN (VALUES " + ", ".join(map(str, CHOSEN)) + f") t(k, lang, rule) ON k::INT - 1 = p_partkey % {len(NAMES)}")
 def lang_cascade(spark, sf):
-    return _names(spark).select("id", "lang", "rule")
+    return _names(spark, sf).select("id", "lang", "rule")
 
 
 LATIN = (("1", "Neva"), ("2", "Pliushchivka"), ("3", "Kozhanovskoye ozero"), ("4", "Myadzyel"), ("5", "Dnipro"), ("6", "Dnepr"), ("7", "Sluch"), ("8", "Wla"), ("9", "Sozh"), ("10", "DNEPR"), ("11", "Yizha"),
          ("12", "Obyezd"), ("13", "Zghraia-Yahoda"), ("14", "Shchuchye"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(map(str, LATIN)) + ") t(id, latin)")
+@query("SELECT p_partkey AS id, latin FROM part JOIN (VALUES " + ", ".join(map(str, LATIN)) + f") t(k, latin) ON k::INT - 1 = p_partkey % {len(NAMES)}")
 def romanize(spark, sf):
-    return _names(spark).select("id", nm.romanize("text", "lang").alias("latin"))
+    return _names(spark, sf).select("id", nm.romanize("text", "lang").alias("latin"))
 
 
 @query("""

@@ -261,9 +261,18 @@ def grid_hash(spark, sf):
     return _grid(spark, sf).select("r", "c", hash01(F.col("c"), F.col("r"), 5).alias("h"), F.round(F.col("q").cast("double"), 3).alias("q"))
 
 
-@query()
+def _noise_sql(spacing: int, seed: int) -> str:
+    """Value noise of a table g(r, c): hashes at the four lattice places around, blended by smoothstep."""
+    x, y = f"c / {spacing}.0", f"r / {spacing}.0"
+    at = f"(SELECT r, c, dx, dy, floor({x})::BIGINT + dx AS lx, floor({y})::BIGINT + dy AS ly, {x} - floor({x}) AS fx, {y} - floor({y}) AS fy FROM g, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) o(dx, dy))"
+    h = hash_sql("lx", "ly", seed, "h", table_=at)
+    w = "(CASE dx WHEN 1 THEN fx * fx * (3 - 2 * fx) ELSE 1 - fx * fx * (3 - 2 * fx) END) * (CASE dy WHEN 1 THEN fy * fy * (3 - 2 * fy) ELSE 1 - fy * fy * (3 - 2 * fy) END)"
+    return f"SELECT r, c, sum(h * {w}) AS noise FROM {h} GROUP BY r, c"
+
+
+@query(f"WITH g AS ({GRID_SQL}) SELECT r, c, round(noise, 9) AS noise FROM ({_noise_sql(5, 9)})")
 def noise_field(spark, sf):
-    """Smooth noise over the grid; rows only."""
+    """Smooth noise over the grid."""
     return _grid(spark, sf).select("r", "c", F.round(value_noise(F.col("c"), F.col("r"), 5.0, 9), 9).alias("noise"))
 
 
@@ -316,18 +325,33 @@ def projection_round_trip(spark, sf):
 
 
 @query(f"""
-WITH e AS ({EDGES_SQL}), cells AS (SELECT r, c, (c + 0.5) * 0.0213 AS x, (r + 0.5) * 0.0213 AS y FROM range(-30, 30) a(r), range(-30, 30) b(c)),
-h AS (SELECT r, c, pid, sum(((ay > y) <> (yb > y) AND x < (bx - ax) * (y - ay) / (CASE WHEN yb = ay THEN 1 ELSE yb - ay END) + ax)::INT) AS n FROM cells, e GROUP BY ALL)
-SELECT pid, r, c FROM h WHERE n % 2 = 1
+WITH s AS (SELECT c_custkey, 3 + c_nationkey % 7 + c_acctbal / 2500 AS w, (c_custkey * 37 % 211)::DOUBLE AS x, (c_custkey * 91 % 173)::DOUBLE AS y FROM customer),
+e AS (SELECT c_custkey, x + w * dx AS ax, y + w * dy AS ay, x + w * ex AS bx, y + w * ey AS yb, x, y, w FROM s, (VALUES (-1.0, -0.6, 1.3, -0.4), (1.3, -0.4, 0.2, 1.1), (0.2, 1.1, -1.0, -0.6)) o(dx, dy, ex, ey)),
+k AS (SELECT c_custkey, r, c, ax, ay, bx, yb FROM e, LATERAL unnest(range(floor((y - 2 * w) / 2.5)::BIGINT, ceil((y + 2 * w) / 2.5)::BIGINT + 1)) a(r), LATERAL unnest(range(floor((x - 2 * w) / 2.5)::BIGINT, ceil((x + 2 * w) / 2.5)::BIGINT + 1)) b(c) WHERE w > 0),
+h AS (SELECT c_custkey, r, c, sum(((ay > (r + 0.5) * 2.5) <> (yb > (r + 0.5) * 2.5) AND (c + 0.5) * 2.5 < (bx - ax) * ((r + 0.5) * 2.5 - ay) / nullif(yb - ay, 0) + ax)::INT) AS n FROM k GROUP BY ALL)
+SELECT c_custkey, r, c FROM h WHERE n % 2 = 1
 """)
 def rasterise(spark, sf):
-    """Cells whose centre lies in a polygon."""
-    return sp.rasterise(_polygons(spark), "pid", "rings", 0.0213)
+    """Cells whose centre lies in a polygon, one triangle a customer."""
+    w, x, y = 3 + F.col("c_nationkey") % 7 + F.col("c_acctbal") / 2500, (F.col("c_custkey") * 37 % 211).cast("double"), (F.col("c_custkey") * 91 % 173).cast("double")
+    p = lambda dx, dy: F.struct((x + w * dx).alias("x"), (y + w * dy).alias("y"))
+    rings = F.array(F.array(p(-1.0, -0.6), p(1.3, -0.4), p(0.2, 1.1)))
+    return sp.rasterise(table(spark, sf, "customer").where(w > 0).select("c_custkey", rings.alias("rings")), "c_custkey", "rings", 2.5)
 
 
-@query()
+@query(f"""
+WITH p AS ({EDGES_SQL}), t AS (SELECT user_id, n, x / 200 - 0.2 AS x, y / 40 - 0.2 AS y FROM ({TRACK_SQL})),
+s AS MATERIALIZED (SELECT user_id, n, x AS x0, y AS y0, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy FROM t WINDOW w AS (PARTITION BY user_id ORDER BY n)),
+c AS (SELECT user_id, n, pid, x0, y0, dx, dy, ((ax - x0) * (yb - ay) - (ay - y0) * (bx - ax)) / (dx * (yb - ay) - dy * (bx - ax)) AS t, ((ax - x0) * dy - (ay - y0) * dx) / (dx * (yb - ay) - dy * (bx - ax)) AS u FROM s, p WHERE dx IS NOT NULL AND dx * (yb - ay) - dy * (bx - ax) <> 0),
+k AS (SELECT user_id, n, pid, x0, y0, dx, dy, t FROM c WHERE t > 0 AND t < 1 AND u >= 0 AND u <= 1 UNION SELECT user_id, n, pid, x0, y0, dx, dy, v::DOUBLE FROM s, (SELECT DISTINCT pid FROM p), (VALUES (0), (1)) o(v) WHERE dx IS NOT NULL),
+g AS (SELECT *, lead(t) OVER (PARTITION BY user_id, n, pid ORDER BY t) AS t1 FROM k),
+i AS (SELECT g.user_id, g.n, g.pid, t, t1, dx, dy, sum(((ay > y0 + dy * (t + t1) / 2) <> (yb > y0 + dy * (t + t1) / 2) AND x0 + dx * (t + t1) / 2 < (bx - ax) * (y0 + dy * (t + t1) / 2 - ay) / (CASE WHEN yb = ay THEN 1 ELSE yb - ay END) + ax)::INT) AS h FROM g JOIN p ON p.pid = g.pid WHERE t1 IS NOT NULL GROUP BY ALL),
+b AS (SELECT pid, min(least(ax, bx)) AS xa, max(greatest(ax, bx)) AS xb, min(least(ay, yb)) AS ya, max(greatest(ay, yb)) AS yz FROM p GROUP BY 1)
+SELECT i.user_id, i.pid, round(sum(CASE WHEN h % 2 = 1 THEN (t1 - t) * sqrt(i.dx * i.dx + i.dy * i.dy) ELSE 0 END), 6) AS length FROM i JOIN b USING (pid) JOIN s USING (user_id, n)
+WHERE least(x0, x0 + s.dx) <= xb AND greatest(x0, x0 + s.dx) >= xa AND least(y0, y0 + s.dy) <= yz AND greatest(y0, y0 + s.dy) >= ya GROUP BY 1, 2
+""")
 def length_inside(spark, sf):
-    """Length of tracks inside polygons; rows only."""
+    """Length of tracks inside polygons, of those that come near."""
     line = F.transform("line", lambda p: F.struct((p["x"] / 200 - 0.2).alias("x"), (p["y"] / 40 - 0.2).alias("y")))
     out = sp.length_inside(_tracks(spark, sf).select("user_id", line.alias("line")), _polygons(spark), 0.2, "user_id", "pid")
     return out.select("user_id", "pid", F.round("length", 6).alias("length"))
@@ -356,11 +380,3 @@ def label_propagation(spark, sf):
     nodes = n.select(F.col("n_nationkey").cast("long").alias("id"), F.when(F.col("n_nationkey") % 6 == 0, F.col("n_name")).alias("lab"))
     edges = n.where("n_nationkey < 24 and n_nationkey <> 11").select(F.col("n_nationkey").cast("long").alias("a"), (F.col("n_nationkey") + 1).cast("long").alias("b"))
     return gr.propagate(nodes, edges, "id", "lab")
-
-
-@query()
-def soak_runs(spark, sf):
-    """Seeded runs with invariant checks; rows only."""
-    from ..operators.simulation import soak
-
-    return soak(spark, 1219, 100, 365)

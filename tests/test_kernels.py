@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.kernels import clip_ring, clipped, inside, label_point, labelled_at, levels, simplified, simplify, simplify_ring, stitch
 from tessera.operators.grid import shore
-from tessera.operators.temporal import capped_ranges, debounced
+from tessera.operators.temporal import capped_ranges, debounced, fixed_steps
 
 line = st.lists(st.tuples(st.integers(-50, 50), st.integers(-50, 50)), min_size=2, max_size=40).map(lambda p: np.array(p, float))
 
@@ -76,3 +76,13 @@ def test_sequential_rules(spark):
     assert sorted((r.g, r.s, r.e, r.n) for r in capped_ranges(df, "g", "s", "e", 5, 25).collect()) == [(1, 0, 20, 2), (1, 22, 30, 1), (2, 0, 1, 1)]
     ev = spark.createDataFrame([(1, t) for t in (0, 5, 10, 11, 25)], "g int, t int")
     assert sorted(r.t for r in debounced(ev, "g", "t", 10).collect()) == [0, 10, 25]
+
+
+def test_streamed_groups_keep_their_state_apart(spark):
+    rows = [(g, t, t * 10 + (g or 0)) for t in range(300) for g in (1, 2, None, 3)]
+    ev = spark.createDataFrame(rows, "g long, t long, id long").repartition(7)
+    got = sorted((r.g, r.t, r.id) for r in debounced(ev, "g", "t", 7, "id").collect())
+    assert got == sorted((g, t, t * 10 + g) for g in (1, 2, 3) for t in range(0, 300, 7))
+    frames = spark.createDataFrame([(1, 0, 10.0), (1, 1, 10.0), (1, 2, 500.0), (1, 3, -5.0), (2, 0, 16.0)], "g long, t long, ms double")
+    assert sorted(tuple(r) for r in fixed_steps(frames, "g", "t", "ms", 16.0, 3, 100.0).collect()) == [(1, 0, 0, 10.0), (1, 1, 1, 4.0), (1, 2, 3, 8.0), (1, 3, 0, 8.0), (2, 0, 1, 0.0)]
+    assert capped_ranges(spark.createDataFrame([], "g long, s long, e long"), "g", "s", "e", 5, 25).count() == 0

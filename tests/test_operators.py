@@ -1,6 +1,5 @@
 import random
 
-import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,7 +13,6 @@ from tessera.operators import graph, temporal
 from tessera.operators.aggregates import largest_remainder
 from tessera.operators.grid import residual, restored
 from tessera.operators.integrity import table_hash
-from tessera.operators.simulation import loaded, random_streams, seeded, stepped
 from tessera.operators.spatial import length_inside
 
 
@@ -109,34 +107,6 @@ def test_projections(spark):
     assert df.select(e, n).first() == (500000.0, 0.0)
 
 
-def test_generator_streams(spark):
-    def plain(seed, n):
-        m, x, s = 0xFFFFFFFF, seed, []
-        for _ in range(4):
-            x = (x + 0x9E3779B9) & m
-            z = (x ^ x >> 16) * 0x85EBCA6B & m
-            z = (z ^ z >> 13) * 0xC2B2AE35 & m
-            s.append(z ^ z >> 16)
-        out = []
-        for _ in range(12 + n):
-            a, b, c, d = s
-            t = (a + b + d) & m
-            s = [b ^ b >> 9, (c + (c << 3)) & m, (((c << 21 | c >> 11) & m) + t) & m, (d + 1) & m]
-            out.append(t / 2**32)
-        return out[12:]
-
-    rows = random_streams(spark.createDataFrame([(1219,), (0,), (2**32 - 1,)], "s long"), "s", 5).collect()
-    assert {r.seed: r["values"] for r in rows} == {s: plain(s, 5) for s in (1219, 0, 2**32 - 1)}
-    state = seeded(np.array([7]))
-    assert stepped(state).shape == (1,)
-
-
-def test_saves(spark):
-    texts = ['{"version":1,"seed":5,"rng":[1,2,3,4],"day":9}', '{"version":2,"seed":5,"rng":[1,2,3,4],"day":9}', "nonsense", None, '{"version":1,"seed":5,"rng":[1],"day":9}', '{"version":1,"seed":-1,"rng":[1,2,3,4],"day":9}']
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", loaded(F.col("t")).alias("s")).orderBy("i").collect()
-    assert [(r.s.ok, r.s.error) for r in rows] == [(True, None), (False, "from a newer version"), (False, "not a save"), (False, "not a save"), (False, "bad generator state"), (False, "bad seed")]
-
-
 def test_length_inside_a_square_with_a_hole(spark):
     ring = lambda a, b: [{"x": a, "y": a}, {"x": b, "y": a}, {"x": b, "y": b}, {"x": a, "y": b}]
     polygons = spark.createDataFrame([("p", [ring(0.0, 10.0), ring(4.0, 6.0)])], "pid string, rings array<array<struct<x:double,y:double>>>")

@@ -141,14 +141,14 @@ def shortest_hops(nodes: DataFrame, edges: DataFrame, id_col: str, seeds: DataFr
     raise RuntimeError("the search did not come to rest")
 
 
-def absorb_small(grid: DataFrame, id_col: str, chosen: str, least: int, edges_of, rounds: int = 4, touching=None) -> DataFrame:
+def absorb_small(grid: DataFrame, id_col: str, chosen: str, least: int, parts_of, rounds: int = 4, touching=None) -> DataFrame:
     """Patches of a yes/no grid with under `least` cells are flipped, all at once, for a few rounds or until none is left.
 
-    touching(grid) gives the ids of cells beside a cell of the other value: a patch without one has nothing to join, and stays.
+    parts_of(grid) adds the column `_part` that tells patches apart. touching(grid) gives the ids of cells beside a cell of the other value: a patch without one has nothing to join, and stays.
     """
     for _ in range(rounds):
         grid = written(grid, "grid")
-        parts = written(labelled(grid, edges_of(grid), id_col, "_part"), "parts")
+        parts = written(parts_of(grid), "parts")
         small = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < least).select("_part", F.lit(True).alias("_small"))
         if touching is not None:
             beside = parts.join(touching(grid).select(id_col), id_col, "left_semi").select("_part").distinct()

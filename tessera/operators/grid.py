@@ -235,6 +235,41 @@ def patch_edges(grid: DataFrame, id_col: str, cls: str) -> DataFrame:
     return grid.join(ahead, ["r", "c"]).where(F.col(cls) == F.col("_cls")).select(F.col(id_col).alias("a"), "b")
 
 
+def patches(grid: DataFrame, id_col: str, cls: str, out: str, tile: int = 128) -> DataFrame:
+    """grid with the smallest id of each cell's patch: cells of one class joined along their sides. Ids are unique longs; a null class is a class.
+
+    Each tile finds its own patches; only pairs of these that touch across a rim make the graph whose components join them.
+    """
+    from .chains import salted
+    from .graph import connected_components
+
+    at = lambda k: F.floor(F.col(k) / tile)
+    cells = grid.select(F.col(id_col).cast("long").alias("id"), F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.xxhash64(F.col(cls).cast("string")).alias("k"), at("r").alias("ti"), at("c").alias("tj"))
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        top, left = int(pdf["ti"].iloc[0]) * tile - 1, int(pdf["tj"].iloc[0]) * tile - 1
+        r, c = pdf["r"].to_numpy() - top, pdf["c"].to_numpy() - left
+        none = np.iinfo(np.int64).max
+        kind, label, there = np.zeros((tile + 2, tile + 2), np.int64), np.full((tile + 2, tile + 2), none), np.zeros((tile + 2, tile + 2), bool)
+        kind[r, c], label[r, c], there[r, c] = pdf["k"], pdf["id"], True
+        alike = [there[1:-1, 1:-1] & _shifted(there, *o) & (_shifted(kind, *o) == kind[1:-1, 1:-1]) for o in FOUR]
+        inner = label[1:-1, 1:-1]
+        while True:
+            new = np.minimum.reduce([inner, *[np.where(a, _shifted(label, *o), none) for a, o in zip(alike, FOUR)]])
+            if np.array_equal(new, inner):
+                break
+            inner[:] = new
+        return pdf.assign(part=label[r, c])
+
+    found = written(cells.groupBy("ti", "tj").applyInPandas(kernel, "id long, r long, c long, k long, ti long, tj long, part long"), "patches")
+    rim = found.where(F.pmod(F.col("r"), F.lit(tile)).isin(0, tile - 1) | F.pmod(F.col("c"), F.lit(tile)).isin(0, tile - 1))
+    ahead = neighbours(rim, ["k", "part"], ((0, 1), (1, 0))).withColumnRenamed("part", "b").withColumnRenamed("k", "_kb")
+    edges = rim.join(ahead, ["r", "c"]).where((F.col("k") == F.col("_kb")) & (F.col("part") != F.col("b"))).select(F.col("part").alias("a"), "b")
+    joined = connected_components(edges).select(F.col("node").alias("part"), F.col("component").alias("_whole"))
+    named = salted(found.select("id", "part"), joined, ["part"], "id").select(F.col("id").alias(id_col), F.coalesce("_whole", "part").alias(out))
+    return grid.join(named, id_col)
+
+
 def touching(grid: DataFrame, id_col: str, cls: str) -> DataFrame:
     """(id) of cells that have a neighbour of another class along a side."""
     near = neighbours(grid, [cls], FOUR).select("r", "c", F.col(cls).alias("_cls"))

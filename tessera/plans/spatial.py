@@ -229,7 +229,7 @@ SELECT id, root AS patch FROM t
 def patches(spark, sf):
     """Connected patches of one class, by side."""
     g = _classes(spark, sf).withColumn("id", F.col("r") * WIDE + F.col("c"))
-    return gr.labelled(g, gd.patch_edges(g, "id", "cls"), "id", "patch").select("id", "patch")
+    return gd.patches(g, "id", "cls", "patch").select("id", "patch")
 
 
 @query(f"""

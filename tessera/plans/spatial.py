@@ -122,7 +122,7 @@ def bbox_bucket_join(spark, sf):
 
 
 @query(f"""
-WITH p AS ({POINTS_SQL}), q AS (SELECT * FROM p WHERE vec_id % 10 = 0), k AS (SELECT * FROM p WHERE vec_id % 10 <> 0),
+WITH p AS ({POINTS_SQL}), q AS (SELECT * FROM p), k AS (SELECT * FROM p),
 d AS (SELECT q.vec_id, k.label, k.vec_id AS kid, (q.x - k.x) ** 2 + (q.y - k.y) ** 2 AS d FROM q JOIN k ON abs(q.x - k.x) <= 0.08 AND abs(q.y - k.y) <= 0.08),
 n AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, kid) AS n FROM d WHERE d <= 0.08 * 0.08),
 v AS (SELECT vec_id, label, count(*) AS v FROM n WHERE n <= 15 GROUP BY ALL), m AS (SELECT *, max(v) OVER (PARTITION BY vec_id) AS top FROM v),
@@ -131,7 +131,7 @@ SELECT q.vec_id, voted FROM q LEFT JOIN w ON w.vec_id = q.vec_id
 """)
 def knn_vote(spark, sf):
     p = _points(spark, sf)
-    voted = sp.knn_vote(p.where("vec_id % 10 = 0").select("vec_id", "x", "y"), p.where("vec_id % 10 <> 0").withColumnRenamed("vec_id", "kid"), 15, 0.08, "vec_id", "kid", "label", "voted")
+    voted = sp.knn_vote(p.select("vec_id", "x", "y"), p.withColumnRenamed("vec_id", "kid"), 15, 0.08, "vec_id", "kid", "label", "voted")
     return voted.select("vec_id", "voted")
 
 

@@ -181,10 +181,12 @@ def simhash_groups(
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), fingerprint_column(F.col(text_col), width).alias("fp"))
     rows = written(rows, "prints")
-    distinct = written(rows.where("id is not null").groupBy("fp").agg(F.min("id").alias("node")).withColumn("fp2", F.lit(0).cast("long")), "distinct")
+    distinct = rows.groupBy("fp").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")).withColumn("fp2", F.lit(0).cast("long"))
+    # A fingerprint that only rows without an id have is searched by none.
+    distinct = written(distinct.where("node is not null"), "distinct")
     groups = connected_components(links(distinct, block_keys(F.col("fp"), distance, blocks), distance, block_rows))
-    named = written(distinct.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "groups")
-    return rows.join(named, ["fp"], "left").select(
+    named = written(distinct.join(groups, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component_id")), "groups")
+    return join_hot(rows, named, ["fp"], "n").select(
         F.col("id").alias(id_col),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"),

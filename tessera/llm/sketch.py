@@ -126,7 +126,8 @@ def neighbour_fingerprints(
     The next document is the one that follows in descending id; after the last comes the first.
     Rows are dealt once, to ranges of ids; a range's first rows also go, as guests, to the range
     before, so each task walks its range in order with one document held at a time.
-    Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and by the same sketches shingles
+    (distinct ones, estimated), in_edited and in_next (share of them that the edited text and the next document have).
     Null text counts as empty. Null ids come last. Repeated ids follow in the order of their texts'
     hashes. A single row is its own next. Other columns are ignored. No rows give no rows.
     """
@@ -162,8 +163,8 @@ def neighbour_fingerprints(
         .repartitionById(n, F.col("part"))
         .sortWithinPartitions("part", "guest", F.desc("key"), "hash")
     )
-    schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, shingles double, in_edited double, in_next double"
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 5]
     names = [x.split()[0] for x in schema.split(", ")]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +180,8 @@ def neighbour_fingerprints(
                     new = edited(btext, text)
                     snew = sketch(new, k, width)
                     sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((bid, len(btext), sha, to_text(bown), to_text(snew), resemblance(bown, snew, k), resemblance(bown, own, k)))
+                    near = [resemblance(bown, x, k) for x in (snew, own)]
+                    out.append((bid, len(btext), sha, to_text(bown), to_text(snew), *near, distinct_count(bown, k), containment(bown, snew, k), containment(bown, own, k)))
                 before = None if is_guest else (part, id_, text, own)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)

@@ -32,6 +32,10 @@ def check(rows, got):
         for near, other in ((g.near_edited, b), (g.near_next, c)):
             union = sorted({*a, *other})[:K]
             assert near == pytest.approx(len({*union} & {*a} & {*other}) / len(union) if union else 1.0)
+        size = lambda x: len(x) if len(x) < K else (K - 1) / ((x[-1] + 1) / 2**64)
+        assert g.shingles == pytest.approx(size(a))
+        for held, near, other in ((g.in_edited, g.near_edited, b), (g.in_next, g.near_next, c)):
+            assert held == pytest.approx(min(1.0, near * size(sorted({*a, *other})[:K]) / size(a)) if a else 1.0)
 
 
 def test_query_equals_brute_force(spark, sf):

@@ -291,6 +291,39 @@ def idw(points: DataFrame, sources: Sequence[tuple[float, float, float]], x: Col
     return points.withColumn(out, F.when(here.isNotNull(), here).otherwise(total["n"] / total["w"]))
 
 
+def faded_pull(points: DataFrame, sources: DataFrame, point_id: str, source_id: str, value: str, reach: float, base: float, out: str) -> DataFrame:
+    """points with base plus the pull of the sources within reach: their values less base, weighed by fade / distance^2, times the largest fade.
+
+    The fade of a source is (1 - (d / reach)^2)^2, so a weight never jumps where a source comes into reach, and the field is a source's own value at its place (the
+    lowest id of several there) and base beyond all. Both have x and y. Sources are dealt to the nine buckets of side reach around them and meet points
+    by hash, however many there are. Sources without a place or value pull nothing, points without a place have base.
+    """
+    at = lambda i, j: F.struct((F.floor(F.col("x") / reach) + i).alias("bx"), (F.floor(F.col("y") / reach) + j).alias("by"))
+    s = sources.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col(value).isNotNull())
+    s = s.select(F.col("x").alias("_sx"), F.col("y").alias("_sy"), F.col(value).cast("double").alias("_v"), F.col(source_id).alias("_sid"), F.explode(F.array(*[at(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("_b"))
+    p = points.select(F.col(point_id).alias("_pid"), "x", "y", at(0, 0).alias("_b"))
+    near = p.join(s, "_b").withColumn("_d", (F.col("x") - F.col("_sx")) ** 2 + (F.col("y") - F.col("_sy")) ** 2).where(F.col("_d") < reach * reach)
+    fade = (1 - F.col("_d") / (reach * reach)) ** 2
+    w = fade / F.nullif(F.col("_d"), F.lit(0.0))
+    here = F.min(F.when(F.col("_d") == 0, F.struct("_sid", "_v")))["_v"]
+    sums = near.groupBy("_pid").agg(here.alias("_here"), F.sum(w * (F.col("_v") - base)).alias("_n"), F.sum(w).alias("_w"), F.max(fade).alias("_f"))
+    pulled = F.coalesce(F.col("_here"), base + F.col("_n") / F.nullif(F.col("_w"), F.lit(0.0)) * F.col("_f"), F.lit(base))
+    return points.join(sums.select(F.col("_pid").alias(point_id), "_here", "_n", "_w", "_f"), point_id, "left").withColumn(out, pulled).drop("_here", "_n", "_w", "_f")
+
+
+def hill_shade(grid: DataFrame, height: str, strength: float, limit: float, out: str) -> DataFrame:
+    """grid with its brightness under a light from the upper left: 1 plus strength times the rise to the right less the rise upwards, at most limit from 1.
+
+    Rows count upwards. Ground below 0 and unknown ground count as 0; where a neighbour is absent the cell itself stands for it, as at the rim.
+    """
+    ground = F.greatest(F.coalesce(F.col(height), F.lit(0)).cast("double"), F.lit(0.0))
+    seen = neighbours(grid.select("r", "c", ground.alias("_h")), ["_h"]).groupBy("r", "c").agg(*[F.max(F.when(F.col("_k") == k, F.col("_h"))).alias(n) for k, n in enumerate(("_west", "_east", "_south", "_north"))])
+    g = grid.withColumn("_own", ground).join(seen, ["r", "c"], "left")
+    rise = lambda a, b: F.coalesce(a, "_own") - F.coalesce(b, "_own")
+    lit = (rise("_east", "_west") - rise("_north", "_south")) * strength
+    return g.withColumn(out, 1 + F.greatest(F.lit(-limit), F.least(F.lit(limit), lit))).drop("_own", "_west", "_east", "_south", "_north")
+
+
 def disc_mean(grid: DataFrame, places: DataFrame, place_id: str, value: str, radius: float, out: str) -> DataFrame:
     """(place, mean, n) over the cells within a radius of each place (r, c); a place is sent to the cells it reaches."""
     reach = int(radius)

@@ -48,6 +48,13 @@ def or_join(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]],
     return out.distinct()
 
 
+def not_matched_once(pairs: DataFrame, left: DataFrame, left_id: str, right_id: str) -> DataFrame:
+    """(left_id, n) of the rows of left that the pairs of a join give no partner or several, for joins that must give exactly one. A null id has none."""
+    n = pairs.groupBy(left_id).agg(F.count_distinct(right_id).alias("n"))
+    counted = left.select(left_id).join(n, left_id, "left").select(left_id, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    return counted.where("n <> 1")
+
+
 def repaired(df: DataFrame, fixes: DataFrame, columns: Sequence[str], wrong: str = "wrong", right: str = "right") -> DataFrame:
     """df with the values of columns replaced by the list of fixes; one join per column, small lists are broadcast by size."""
     for c in columns:

@@ -83,6 +83,15 @@ def or_join(spark, sf):
     return jn.or_join(c, s, [("k1", "j1"), ("k2", "j2")], "c_custkey", "s_suppkey")
 
 
+@query("""
+WITH m AS (SELECT DISTINCT c_custkey, s_suppkey FROM customer JOIN supplier ON (c_nationkey * 100 + c_custkey % 50 = s_nationkey * 100 + s_suppkey % 50) OR (floor(c_acctbal) = floor(s_acctbal)))
+SELECT c.c_custkey, count(s_suppkey) AS n FROM customer c LEFT JOIN m USING (c_custkey) GROUP BY 1 HAVING count(s_suppkey) <> 1
+""")
+def or_join_misses(spark, sf):
+    """Customers that the join by any of several keys doesn't give exactly one supplier."""
+    return jn.not_matched_once(or_join(spark, sf), table(spark, sf, "customer"), "c_custkey", "s_suppkey")
+
+
 @query("SELECT n_nationkey, CASE n_name WHEN 'NATION_1' THEN 'First' WHEN 'NATION_2' THEN 'Second' ELSE n_name END AS n_name FROM nation")
 def repaired_names(spark, sf):
     fixes = spark.createDataFrame([("NATION_1", "First"), ("NATION_2", "Second"), ("NOWHERE", "x")], "wrong string, right string")

@@ -202,6 +202,30 @@ def idw_field(spark, sf):
     return gd.idw(_points(spark, sf), SOURCES, F.col("x"), F.col("y"), "field").select("vec_id", F.round("field", 6).alias("field"))
 
 
+@query(f"""
+WITH p AS MATERIALIZED ({POINTS_SQL}), s AS MATERIALIZED (SELECT row_number() OVER (ORDER BY label, k) AS sid, sx, sy, 1 + n % 7 / 10.0 AS v FROM (SELECT label, floor(x * 20) AS k, round(avg(x), 9) AS sx, round(avg(y), 9) AS sy, count(*) AS n FROM p GROUP BY ALL)),
+d AS (SELECT vec_id, v, (x - sx) ** 2 + (y - sy) ** 2 AS d FROM p JOIN s ON (x - sx) ** 2 + (y - sy) ** 2 < 0.0025), w AS (SELECT vec_id, sum((1 - d / 0.0025) ** 2 / d * (v - 1)) / sum((1 - d / 0.0025) ** 2 / d) * max((1 - d / 0.0025) ** 2) AS pull FROM d GROUP BY 1)
+SELECT vec_id, round(1 + coalesce(pull, 0), 6) AS field FROM p LEFT JOIN w USING (vec_id)
+""")
+def faded_field(spark, sf):
+    """The pull of the centres of strips of every label on all points, fading out with distance."""
+    p = _points(spark, sf)
+    s = p.groupBy("label", F.floor(F.col("x") * 20).alias("k")).agg(F.round(F.avg("x"), 9).alias("x"), F.round(F.avg("y"), 9).alias("y"), (1 + F.count(F.lit(1)) % 7 / 10).alias("v"))
+    s = s.withColumn("sid", F.struct("label", "k"))
+    return gd.faded_pull(p, s, "vec_id", "sid", "v", 0.05, 1.0, "field").select("vec_id", F.round("field", 6).alias("field"))
+
+
+@query(f"""
+WITH g AS (SELECT r, c, greatest(0, q % 60 - 20)::DOUBLE AS h FROM ({GRID_SQL}))
+SELECT g.r, g.c, round(1 + greatest(-0.3, least(0.3, 0.01 * (coalesce(e.h, g.h) - coalesce(w.h, g.h) - coalesce(n.h, g.h) + coalesce(s.h, g.h)))), 9) AS shade
+FROM g LEFT JOIN g e ON e.r = g.r AND e.c = g.c + 1 LEFT JOIN g w ON w.r = g.r AND w.c = g.c - 1 LEFT JOIN g n ON n.r = g.r + 1 AND n.c = g.c LEFT JOIN g s ON s.r = g.r - 1 AND s.c = g.c
+""")
+def hill_shade(spark, sf):
+    """Brightness of the grid as heights under a light from the upper left."""
+    g = _grid(spark, sf).select("r", "c", (F.col("q") % 60 - 20).alias("h"))
+    return gd.hill_shade(g, "h", 0.01, 0.3, "shade").select("r", "c", F.round("shade", 9).alias("shade"))
+
+
 #: Pairs of neighbours along a side, after a table g of cells with an id and a class.
 FOUR_SQL = "n AS MATERIALIZED (SELECT a.id AS a, b.id AS b, b.q AS bq, a.cls AS acls, b.cls AS bcls FROM g a, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) o(dr, dc) JOIN g b ON b.r = a.r + dr AND b.c = a.c + dc)"
 CLASSES = ("low", "mid", "high")

@@ -5,8 +5,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import grid as gd
 from tessera.operators import scoring as sg
 from tessera.operators import shapes as sh
+from tessera.operators.joins import not_matched_once
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -102,3 +104,28 @@ def test_missing_features_add_nothing(spark):
     assert f[0] == pytest.approx(3 * 0.5 - 1.5 * 0.2 - 0.2 + 0.4 * 0.5 + 0.4 * 0.2 + 0.6 * 0.5 + 0.1 + 0.5) and f[1] == pytest.approx(0.6)
     k = {x.c: x.s for x in sg.conifer_scores(df, F.lit(True), 250.0, 2.0, 10.0, 0, 0.0, 1, "s").collect()}
     assert k[0] == pytest.approx(0.5 * (2 / 3) * 0.5 + 0.16 + 0.15 + 0.5) and k[1] == 0.0
+
+
+def test_faded_pull(spark):
+    p = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.5, 0.0), (3, 0.999999, 0.0), (4, 5.0, 5.0), (5, None, 0.0), (6, 2.0, 0.0)], "id long, x double, y double").withColumn("_v", F.lit("clash"))
+    s = spark.createDataFrame([(1, 0.0, 0.0, 3.0), (2, 0.0, 0.0, 9.0), (3, 0.5, 0.5, 2.0), (4, None, 0.0, 99.0), (5, 0.5, 0.0, None), (6, -7.0, 0.0, 4.0)], "sid long, x double, y double, v double")
+    got = {r.id: r.f for r in gd.faded_pull(p, s, "id", "sid", "v", 1.0, 1.0, "f").collect()}
+    w = (0.75**2) / 0.25
+    assert got[1] == 3.0 and got[4] == got[5] == got[6] == 1.0
+    assert got[2] == pytest.approx(1 + (w * 2 + w * 8 + w * 1) / (3 * w) * 0.75**2)
+    d = 0.499999**2 + 0.25
+    assert got[3] == pytest.approx(1 + 1 * (1 - d) ** 2, abs=1e-4)
+    assert gd.faded_pull(p, s.limit(0), "id", "sid", "v", 1.0, 1.0, "f").where("f <> 1").count() == 0
+
+
+def test_hill_shade(spark):
+    g = spark.createDataFrame([(0, 0, 10.0), (0, 1, -50.0), (0, 2, None), (1, 0, 30.0), (9, 9, 7.0)], "r long, c long, h double").withColumn("_own", F.lit(1)).drop("_own")
+    got = {(r.r, r.c): r.s for r in gd.hill_shade(g, "h", 0.01, 0.25, "s").collect()}
+    assert got == {(0, 0): pytest.approx(1 - 0.25), (0, 1): pytest.approx(0.9), (0, 2): 1.0, (1, 0): pytest.approx(0.8), (9, 9): 1.0}
+    assert gd.hill_shade(g.limit(0), "h", 0.01, 0.25, "s").count() == 0
+
+
+def test_matched_once(spark):
+    left = spark.createDataFrame([(1,), (2,), (3,), (None,)], "a long")
+    pairs = spark.createDataFrame([(1, 7), (1, 7), (2, 7), (2, 8)], "a long, b long")
+    assert sorted((r.a or 0, r.n) for r in not_matched_once(pairs, left, "a", "b").collect()) == [(0, 0), (2, 2), (3, 0)]

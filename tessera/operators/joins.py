@@ -40,17 +40,34 @@ def mismatches(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def or_join(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], left_id: str, right_id: str) -> DataFrame:
-    """(left_id, right_id) of rows that match on any of several equalities: a union of hash joins, each pair once."""
+    """(left_id, right_id) of rows that match on any of several equalities: a union of hash joins, each pair once.
+
+    An id brings the sets of its values of all keys along, so that a join leaves out what an earlier one gives: pairs are never gathered to tell repeats apart.
+    """
+
+    def sides(df: DataFrame, id_col: str, keys: list[str], mark: str) -> DataFrame:
+        return df.groupBy(id_col).agg(*[F.collect_set(k).alias(f"{mark}{i}") for i, k in enumerate(keys)])
+
+    l, r = sides(left, left_id, [a for a, _ in pairs], "_l"), sides(right, right_id, [b for _, b in pairs], "_r")
     out = None
-    for a, b in pairs:
-        part = left.select(left_id, F.col(a).alias("_k")).join(right.select(right_id, F.col(b).alias("_k")), "_k").select(left_id, right_id)
+    for i in range(len(pairs)):
+        held = lambda m: [f"{m}{j}" for j in range(i + 1)]  # noqa: E731, B023
+        met = l.select(left_id, *held("_l"), F.explode(f"_l{i}").alias("_k")).join(r.select(right_id, *held("_r"), F.explode(f"_r{i}").alias("_k")), "_k")
+        for j in range(i):
+            met = met.where(~F.arrays_overlap(f"_l{j}", f"_r{j}"))
+        # Ids that share several values of one key meet by the smallest of them alone.
+        once = (F.size(f"_l{i}") == 1) | (F.size(f"_r{i}") == 1) | (F.array_min(F.array_intersect(f"_l{i}", f"_r{i}")) == F.col("_k"))
+        part = met.where(once).select(left_id, right_id)
         out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    return out
+
 
+def not_matched_once(pairs: DataFrame, left: DataFrame, left_id: str, right_id: str, unique: bool = False) -> DataFrame:
+    """(left_id, n) of the rows of left that the pairs of a join give no partner or several, for joins that must give exactly one. A null id has none.
 
-def not_matched_once(pairs: DataFrame, left: DataFrame, left_id: str, right_id: str) -> DataFrame:
-    """(left_id, n) of the rows of left that the pairs of a join give no partner or several, for joins that must give exactly one. A null id has none."""
-    n = pairs.groupBy(left_id).agg(F.count_distinct(right_id).alias("n"))
+    unique: no pair is there twice, as in those of or_join(), so that they are counted as they come.
+    """
+    n = pairs.groupBy(left_id).agg((F.count if unique else F.count_distinct)(right_id).alias("n"))
     counted = left.select(left_id).join(n, left_id, "left").select(left_id, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
     return counted.where("n <> 1")
 

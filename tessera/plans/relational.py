@@ -89,7 +89,7 @@ SELECT c.c_custkey, count(s_suppkey) AS n FROM customer c LEFT JOIN m USING (c_c
 """)
 def or_join_misses(spark, sf):
     """Customers that the join by any of several keys doesn't give exactly one supplier."""
-    return jn.not_matched_once(or_join(spark, sf), table(spark, sf, "customer"), "c_custkey", "s_suppkey")
+    return jn.not_matched_once(or_join(spark, sf), table(spark, sf, "customer"), "c_custkey", "s_suppkey", unique=True)
 
 
 @query("SELECT n_nationkey, CASE n_name WHEN 'NATION_1' THEN 'First' WHEN 'NATION_2' THEN 'Second' ELSE n_name END AS n_name FROM nation")

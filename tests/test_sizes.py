@@ -34,3 +34,25 @@ def test_scores_make_the_rest_of_the_rectangle_in_place(spark, tmp_path, monkeyp
     assert len(got) == len(want) > 10_000 and [g[:2] for g in got] == [w[:2] for w in want]
     assert all(g[2] == pytest.approx(w[2], abs=2e-6) for g, w in zip(got, want))
     assert flooded[0] < len(got)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_or_join_gives_each_pair_once_without_gathering_pairs(spark, sf):
+    from tessera.operators.joins import not_matched_once, or_join
+
+    rng = random.Random(6)
+    make = lambda n: [(rng.choice([None, *range(n)]), rng.choice([None, *range(4)]), rng.choice([None, *range(5)]), rng.randrange(9)) for _ in range(3 * n)]
+    a, b = make(12), make(10)
+    l, r = spark.createDataFrame(a, "x long, k long, m long, o long"), spark.createDataFrame(b, "y long, k long, m long, o long")
+    found = or_join(l, r, [("k", "k"), ("m", "m"), ("o", "o")], "x", "y")
+    want = {(p[0], q[0]) for p in a for q in b if any(p[i] == q[i] and p[i] is not None for i in (1, 2, 3))}
+    got = [tuple(x) for x in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    counts = {x: len({y for z, y in want if z == x and y is not None}) for x in {p[0] for p in a if p[0] is not None}}
+    misses = {x.x: x.n for x in not_matched_once(found, l.select("x").distinct(), "x", "y").collect() if x.x is not None}
+    assert misses == {x: n for x, n in counts.items() if n != 1}
+    # Nothing is gathered above the joins.
+    assert plan_of(QUERIES["or_join"](spark, sf)).split("Join")[0].count("Aggregate") == 0

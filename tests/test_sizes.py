@@ -13,7 +13,8 @@ def both(spark, path, name, tables=("lineitem",)):
     for t in tables:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet/*.parquet'")
     rel = con.sql(ORACLES[name])
-    return sorted(map(tuple, df.select(*rel.columns).collect())), sorted(rel.fetchall())
+    order = lambda r: tuple((v is None, v) for v in r if v is not None)
+    return sorted(map(tuple, df.select(*rel.columns).collect()), key=order), sorted(rel.fetchall(), key=order)
 
 
 def lines(spark, path, corners, side=20, n=250, seed=5):
@@ -99,3 +100,25 @@ def test_votes_are_counted_in_tiles(spark, tmp_path):
     for (r, c), _ in cells.items():
         votes = [k for (y, x), (k, v) in cells.items() if v and (y - r) ** 2 + (x - c) ** 2 <= 4]
         assert found[r, c] == (min(set(votes), key=lambda k: (-votes.count(k), rank.index(k))) if votes else None)
+
+
+def test_near_votes_ask_a_place_once(spark, tmp_path, monkeypatch):
+    from tessera.operators import spatial as sp
+
+    rng, rows, asked, real = random.Random(11), [], {}, sp.written
+
+    def counted(df, what="step", after=None):
+        table = real(df, what, after)
+        asked.setdefault(what, []).append(table.count())
+        return table
+
+    monkeypatch.setattr(sp, "written", counted)
+    # A crowd, copies of one place, loners, and points without a place.
+    for k in range(1500):
+        x, y = (rng.gauss(0, 0.01), rng.gauss(0, 0.01)) if k < 900 else (0.2, 0.2) if k < 1200 else (rng.uniform(-0.5, 0.5), rng.uniform(-0.5, 0.5))
+        rows.append((k, [x, y] if k % 97 else None, rng.randrange(4)))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got, want = both(spark, str(tmp_path), "knn_vote", ("embeddings",))
+    key = lambda r: (r[0], r[1] is None, r[1] or 0)
+    assert sorted(got, key=key) == sorted(want, key=key) and len(want) == 1500
+    assert asked["known"] < [1250] and asked["places"][0] < 1250 and len(asked["votes"]) > 2

@@ -6,9 +6,9 @@ Points are (n, 2) arrays of doubles. Each step looks at the result of the one be
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 POINTS = "array<struct<x:double,y:double>>"
 
@@ -124,25 +124,38 @@ def stitch(lines: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def _array(points) -> np.ndarray:
-    return np.array([(p["x"], p["y"]) for p in points], float).reshape(-1, 2)
+def _points(values: pa.StructArray) -> np.ndarray:
+    """Points of a batch as (n, 2) doubles, nulls as NaN: no object a point."""
+    x, y = values.flatten()
+    return np.column_stack([v.to_numpy(zero_copy_only=False).astype(float) for v in (x, y)]).reshape(-1, 2)
+
+
+def _bounds(lists: pa.ListArray) -> list[tuple[int, int] | None]:
+    """Where the values of each list lie in lists.values; None for a null list."""
+    ends, there = lists.offsets.to_numpy().tolist(), lists.is_valid().to_pylist()
+    return [(a, b) if ok else None for a, b, ok in zip(ends, ends[1:], there)]
 
 
 def simplified(line: Column, tolerance: float, ring: bool = False) -> Column:
     """A line, or open ring, without the points that stray less than the tolerance."""
 
-    @pandas_udf(POINTS)
-    def apply(s: pd.Series) -> pd.Series:
-        pick = simplify_ring if ring else simplify
-        return s.map(lambda l: [l[i] for i in pick(_array(l), tolerance)] if l is not None else None)
+    @arrow_udf(POINTS)
+    def apply(s: pa.Array) -> pa.Array:
+        pick, pts = simplify_ring if ring else simplify, _points(s.values)
+        kept = [np.zeros(0, np.int64) if at is None else at[0] + pick(pts[at[0] : at[1]], tolerance) for at in _bounds(s)]
+        ends = np.concatenate([[0], np.cumsum([len(k) for k in kept])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), s.values.take(pa.array(np.concatenate([*kept, np.zeros(0, np.int64)]).astype(np.int64))), mask=s.is_null())
 
     return apply(line)
 
 
 def clipped(ring: Column, width: float, height: float) -> Column:
-    @pandas_udf(POINTS)
-    def apply(s: pd.Series) -> pd.Series:
-        return s.map(lambda r: [{"x": x, "y": y} for x, y in clip_ring(_array(r), width, height)] if r is not None else None)
+    @arrow_udf(POINTS)
+    def apply(s: pa.Array) -> pa.Array:
+        pts = _points(s.values)
+        cut = [np.zeros((0, 2)) if at is None else clip_ring(pts[at[0] : at[1]], width, height) for at in _bounds(s)]
+        ends, xy = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int32), np.vstack([*cut, np.zeros((0, 2))])
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(xy[:, k]) for k in (0, 1)], ["x", "y"]), mask=s.is_null())
 
     return apply(ring)
 
@@ -150,9 +163,11 @@ def clipped(ring: Column, width: float, height: float) -> Column:
 def labelled_at(rings: Column) -> Column:
     """Struct (x, y) of the label point; nulls inside if there is none."""
 
-    @pandas_udf("x double, y double")
-    def apply(s: pd.Series) -> pd.DataFrame:
-        found = [None if r is None or not len(r) else label_point([_array(x) for x in r]) for r in s]
-        return pd.DataFrame([(None, None) if p is None else tuple(p) for p in found], columns=["x", "y"])
+    @arrow_udf("x double, y double")
+    def apply(s: pa.Array) -> pa.Array:
+        pts, inner = _points(s.values.values), _bounds(s.values)
+        shapes = [None if at is None else [pts[k[0] : k[1]] for k in inner[at[0] : at[1]]] for at in _bounds(s)]
+        found = [label_point(r) if r else None for r in shapes]
+        return pa.StructArray.from_arrays([pa.array([None if p is None else float(p[k]) for p in found], pa.float64()) for k in (0, 1)], ["x", "y"])
 
     return apply(rings)

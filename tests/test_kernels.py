@@ -86,3 +86,25 @@ def test_streamed_groups_keep_their_state_apart(spark):
     frames = spark.createDataFrame([(1, 0, 10.0), (1, 1, 10.0), (1, 2, 500.0), (1, 3, -5.0), (2, 0, 16.0)], "g long, t long, ms double")
     assert sorted(tuple(r) for r in fixed_steps(frames, "g", "t", "ms", 16.0, 3, 100.0).collect()) == [(1, 0, 0, 10.0), (1, 1, 1, 4.0), (1, 2, 3, 8.0), (1, 3, 0, 8.0), (2, 0, 1, 0.0)]
     assert capped_ranges(spark.createDataFrame([], "g long, s long, e long"), "g", "s", "e", 5, 25).count() == 0
+
+
+def test_long_lists_make_no_object_a_point(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tessera.functions import codecs
+
+    pt = lambda x, y: {"x": x, "y": y}
+    rows = [(k, None if k % 7 == 3 else [pt(3 * i % (k + 2), i) for i in range(k % 5)]) for k in range(30)]
+    df = spark.createDataFrame(rows, "k long, l array<struct<x:long,y:long>>").repartition(3)
+    some = df.where("l is not null")
+    one = some.select("l", codecs.packed_points(F.col("l")).alias("b")).withColumn("u", codecs.unpacked_points("b")).collect()
+    two = some.select("l", codecs.packed_shapes(F.array("l", "l")).alias("b")).withColumn("u", codecs.unpacked_shapes("b")).collect()
+    assert len(one) == len(two) == sum(l is not None for _, l in rows) and all(r.u == r.l for r in one) and all(r.u == [r.l, r.l] for r in two)
+    # The batches are Arrow arrays, whose points stay numbers.
+    for udf in (codecs.unpacked_uints, codecs.unpacked_points, codecs.unpacked_shapes):
+        assert udf.func.__annotations__["data"] in (pa.Array, "pa.Array")
+    doubles = df.select("k", F.transform("l", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))).alias("l"))
+    slim = {r.k: r.s for r in doubles.select("k", simplified(F.col("l"), 0.5).alias("s")).collect()}
+    for k, l in rows:
+        want = None if l is None else [(l[i]["x"], l[i]["y"]) for i in simplify(np.array([(p["x"], p["y"]) for p in l], float).reshape(-1, 2), 0.5)]
+        assert (slim[k] if slim[k] is None else [tuple(p) for p in slim[k]]) == want

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 POINTS = ArrayType(StructType([StructField("x", LongType()), StructField("y", LongType())]))
@@ -67,7 +67,8 @@ def uints_of(data: bytes) -> np.ndarray:
     return n[1:]
 
 
-def shapes_of(data: bytes) -> list[list[dict[str, int]]]:
+def shape_arrays(data: bytes) -> list[np.ndarray]:
+    """The shapes of a packed block, each as (n, 2) whole numbers."""
     n, at, out = numbers(data), 1, []
     for _ in range(int(n[0]) if len(n) else 0):
         count = int(n[at])
@@ -75,23 +76,43 @@ def shapes_of(data: bytes) -> list[list[dict[str, int]]]:
         if len(xy) != count:
             raise ValueError("the data ends inside a shape")
         xy[1:] = np.where(xy[1:] % 2 == 0, xy[1:] // 2, -(xy[1:] + 1) // 2)
-        out.append([{"x": x, "y": y} for x, y in np.cumsum(xy, axis=0).tolist()])
+        out.append(np.cumsum(xy, axis=0))
         at += 1 + 2 * count
     if not len(n) or at != len(n):
         raise ValueError("data is left over")
     return out
 
 
-@pandas_udf(ArrayType(LongType()))
-def unpacked_uints(data: pd.Series) -> pd.Series:
-    return data.map(uints_of, na_action="ignore")
+def shapes_of(data: bytes) -> list[list[dict[str, int]]]:
+    return [[{"x": x, "y": y} for x, y in xy.tolist()] for xy in shape_arrays(data)]
+
+
+def _lists(parts: list, values: pa.Array, mask: pa.Array | None = None) -> pa.ListArray:
+    """The values dealt to lists as long as the parts."""
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), values, mask=mask)
+
+
+def _structs(shapes: list[np.ndarray]) -> pa.StructArray:
+    xy = np.vstack([*shapes, np.zeros((0, 2), np.int64)])
+    return pa.StructArray.from_arrays([pa.array(xy[:, k], pa.int64()) for k in (0, 1)], ["x", "y"])
+
+
+# No object is made a number or a point: a batch of long lists stays as large as its numbers.
+@arrow_udf(ArrayType(LongType()))
+def unpacked_uints(data: pa.Array) -> pa.Array:
+    found = [np.zeros(0, np.int64) if d is None else uints_of(d) for d in data.to_pylist()]
+    return _lists(found, pa.array(np.concatenate([*found, np.zeros(0, np.int64)]), pa.int64()), data.is_null())
 
 
-@pandas_udf(ArrayType(POINTS))
-def unpacked_shapes(data: pd.Series) -> pd.Series:
-    return data.map(shapes_of, na_action="ignore")
+@arrow_udf(ArrayType(POINTS))
+def unpacked_shapes(data: pa.Array) -> pa.Array:
+    found = [[] if d is None else shape_arrays(d) for d in data.to_pylist()]
+    flat = [xy for shapes in found for xy in shapes]
+    return _lists(found, _lists(flat, _structs(flat)), data.is_null())
 
 
-@pandas_udf(POINTS)
-def unpacked_points(data: pd.Series) -> pd.Series:
-    return data.map(lambda d: (shapes_of(d) or [[]])[0], na_action="ignore")
+@arrow_udf(POINTS)
+def unpacked_points(data: pa.Array) -> pa.Array:
+    found = [np.zeros((0, 2), np.int64) if d is None else (shape_arrays(d) or [np.zeros((0, 2), np.int64)])[0] for d in data.to_pylist()]
+    return _lists(found, _structs(found), data.is_null())

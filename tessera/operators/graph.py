@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,35 +61,82 @@ def labelled(nodes: DataFrame, edges: DataFrame, id_col: str, out: str = "compon
 def constrained_groups(items: DataFrame, links: DataFrame, id_col: str, tags: tuple[str, str]) -> DataFrame:
     """(id, grp): links are joined in order of (priority, a, b) unless a group would mix two values of a tag.
 
-    The outcome depends on the order, so each plain component is one sequential kernel; components are spread over tasks.
+    The outcome depends on the order, so the links of a plain component pass one task in that order; components are spread over tasks.
+    Links are sorted by Spark and pass in batches: a task holds a few numbers for each member of one component, and no links.
     A null tag never conflicts. The group's id is its smallest member.
     """
-    nodes = labelled(items, links.select("a", "b"), id_col)
-    where = nodes.select(F.col(id_col).alias("a"), "component")
-    rows = links.join(where, "a").select("component", "priority", "a", "b").withColumn("kind", F.lit(1))
-    tagged = nodes.select("component", F.col(id_col).alias("a"), *[F.col(t).cast("string").alias(f"t{i}") for i, t in enumerate(tags)]).withColumn("kind", F.lit(0))
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf["kind"] == 0].drop_duplicates("a").sort_values("a")
-        root = {a: a for a in own["a"]}
-        tag = {a: [None if pd.isna(x) else x for x in t] for a, *t in own[["a", "t0", "t1"]].itertuples(index=False)}
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for a, b in pdf[pdf["kind"] == 1].sort_values(["priority", "a", "b"])[["a", "b"]].itertuples(index=False):
-            a, b = sorted((find(a), find(int(b))))
-            if a == b or any(x is not None and y is not None and x != y for x, y in zip(tag[a], tag[b])):
-                continue
-            root[b] = a
-            tag[a] = [y if x is None else x for x, y in zip(tag[a], tag[b])]
-        return pd.DataFrame({"id": list(root), "grp": [find(a) for a in root]})
-
-    both = tagged.unionByName(rows, allowMissingColumns=True)
-    return both.groupBy("component").applyInPandas(kernel, "id long, grp long").withColumnRenamed("id", id_col)
+    nodes = labelled(items.where(F.col(id_col).isNotNull()), links.select("a", "b"), id_col)
+    coded = written(nodes.select("component", F.col(id_col).cast("long").alias("a"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(tags)]), "members")
+    for i in (0, 1):
+        # A task holds a number for a tag and not its text.
+        codes = written(coded.select(f"t{i}").where(F.col(f"t{i}").isNotNull()).distinct().withColumn(f"k{i}", F.monotonically_increasing_id()), "codes")
+        coded = coded.join(codes, f"t{i}", "left").withColumn(f"k{i}", F.coalesce(f"k{i}", F.lit(-1).cast("long"))).drop(f"t{i}")
+    zero, last = F.lit(0).cast("long"), F.lit(None).cast(links.schema["priority"].dataType)
+    tagged = coded.groupBy("component", "a").agg(F.min(F.struct("k0", "k1")).alias("k")).select("component", F.lit(0).alias("kind"), last.alias("priority"), "a", zero.alias("b"), "k.*")
+    where = nodes.select(F.col(id_col).alias("a"), "component").distinct()
+    rows = links.where("b is not null").join(where, "a").select("component", F.lit(1).alias("kind"), "priority", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), zero.alias("k0"), zero.alias("k1"))
+    both = tagged.unionByName(rows)
+    ranked = both.repartition("component").sortWithinPartitions("component", "kind", F.asc_nulls_last("priority"), "a", "b")
+
+    def kernel(batches):
+        now, parts, held = None, [], None
+        for batch in batches:
+            component, kind = batch["component"].to_numpy(), batch["kind"].to_numpy()
+            cuts = [0, *(np.flatnonzero((component[1:] != component[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), len(batch)]
+            for low, high in zip(cuts, cuts[1:]):
+                if low == high:
+                    continue
+                part = batch.iloc[low:high]
+                if component[low] != now:
+                    if now is not None:
+                        yield from _grouped(held or _members(parts))
+                    now, parts, held = component[low], [], None
+                if kind[low] == 0:
+                    parts.append(part[["a", "k0", "k1"]])
+                    continue
+                if held is None:
+                    held, parts = _members(parts), []
+                _join(held, part["a"].to_numpy(np.int64), part["b"].to_numpy(np.int64))
+        if now is not None:
+            yield from _grouped(held or _members(parts))
+
+    found = ranked.select("component", "kind", "a", "b", "k0", "k1").mapInPandas(kernel, "id long, grp long")
+    return found.unionByName(items.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("grp"))).withColumnRenamed("id", id_col)
+
+
+def _members(parts: list[pd.DataFrame]) -> tuple[np.ndarray, array, array, array]:
+    """Ids of a component in order, and by their places the roots and the codes of the two tags, -1 where there is none."""
+    own = [np.concatenate([p[k].to_numpy(np.int64) for p in parts]) for k in ("a", "k0", "k1")]
+    return own[0], *[array("q", x.tobytes()) for x in (np.arange(len(own[0]), dtype=np.int64), *own[1:])]
+
+
+def _join(held: tuple[np.ndarray, array, array, array], a: np.ndarray, b: np.ndarray) -> None:
+    ids, root, s, t = held
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    places = [np.minimum(np.searchsorted(ids, x), len(ids) - 1) for x in (a, b)]
+    if any((ids[p] != x).any() for p, x in zip(places, (a, b))):
+        raise ValueError("a link has an end that is no item")
+    for x, y in zip(*[p.tolist() for p in places]):
+        x, y = find(x), find(y)
+        if x == y or (s[x] != s[y] and s[x] >= 0 and s[y] >= 0) or (t[x] != t[y] and t[x] >= 0 and t[y] >= 0):
+            continue
+        x, y = (x, y) if x < y else (y, x)
+        root[y] = x
+        s[x], t[x] = max(s[x], s[y]), max(t[x], t[y])
+
+
+def _grouped(held: tuple[np.ndarray, array, array, array], size: int = 100_000):
+    ids, root = held[0], np.frombuffer(held[1], np.int64)
+    while (root[root] != root).any():
+        root = root[root]
+    for k in range(0, len(ids), size):
+        yield pd.DataFrame({"id": ids[k : k + size], "grp": ids[root[k : k + size]]})
 
 
 def propagate(nodes: DataFrame, edges: DataFrame, id_col: str, label: str, max_rounds: int = 1000) -> DataFrame:

@@ -122,3 +122,29 @@ def test_near_votes_ask_a_place_once(spark, tmp_path, monkeypatch):
     key = lambda r: (r[0], r[1] is None, r[1] or 0)
     assert sorted(got, key=key) == sorted(want, key=key) and len(want) == 1500
     assert asked["known"] < [1250] and asked["places"][0] < 1250 and len(asked["votes"]) > 2
+
+
+def test_links_pass_in_order_and_are_not_held(spark, sf, monkeypatch):
+    from tessera.operators import graph as gr
+
+    rng, n, big = random.Random(12), 80, 1 << 60
+    items = [(big + i, rng.choice([None, None, "a", "b"]), rng.choice([None, None, 7, 8])) for i in range(n)]
+    links = [(rng.choice([None, 0, 1, 2]), big + rng.randrange(n - 4), big + rng.randrange(n - 4)) for _ in range(160)]
+    root, tag = {i: i for i, *_ in items}, {i: list(t) for i, *t in items}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for _, a, b in sorted(links, key=lambda k: (k[0] is None, k[0] or 0, k[1], k[2])):
+        a, b = sorted((find(a), find(b)))
+        if a != b and not any(x is not None and y is not None and x != y for x, y in zip(tag[a], tag[b])):
+            root[b], tag[a] = a, [y if x is None else x for x, y in zip(tag[a], tag[b])]
+    args = (spark.createDataFrame(items, "i long, t string, u int"), spark.createDataFrame(links, "priority int, a long, b long"), "i", ("t", "u"))
+    # Batches smaller than a component.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.i: r.grp for r in gr.constrained_groups(*args).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: find(i) for i, *_ in items} and 4 < len(set(got.values())) < n
+    assert "FlatMapGroups" not in plan_of(QUERIES["constrained_groups"](spark, sf))

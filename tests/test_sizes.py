@@ -148,3 +148,12 @@ def test_links_pass_in_order_and_are_not_held(spark, sf, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {i: find(i) for i, *_ in items} and 4 < len(set(got.values())) < n
     assert "FlatMapGroups" not in plan_of(QUERIES["constrained_groups"](spark, sf))
+
+
+def test_what_is_repeated_for_salt_is_not_broadcast(spark):
+    from tessera.operators.chains import SALT, salted
+
+    rows = spark.createDataFrame([(k, k % 3) for k in range(50)], "id long, chain long")
+    df = salted(rows, rows.groupBy("chain").count(), ["chain"], "id")
+    assert sorted(map(tuple, df.select("id", "count").collect())) == [(k, 17 if k % 3 < 2 else 16) for k in range(50)] and SALT > 1
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()

@@ -157,3 +157,15 @@ def test_what_is_repeated_for_salt_is_not_broadcast(spark):
     df = salted(rows, rows.groupBy("chain").count(), ["chain"], "id")
     assert sorted(map(tuple, df.select("id", "count").collect())) == [(k, 17 if k % 3 < 2 else 16) for k in range(50)] and SALT > 1
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_segment_ends_at_the_sum_of_its_start_and_step(spark, tmp_path):
+    import datetime
+
+    # 100 lies on the edge of a box, but 253.59 and the way from there to 100 add up to more than it; 27.68 lies inside.
+    at = datetime.datetime(2024, 1, 1, 8)
+    values = [(1, 253.59), (1, 100.0), (2, 27.68), (2, 100.0), (3, 100.0), (3, 253.59)]
+    rows = [(k, at, u, "view", v, "{}") for k, (u, v) in enumerate(values)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got, want = both(spark, str(tmp_path), "length_inside", ("events",))
+    assert got == want and want

@@ -169,3 +169,23 @@ def test_a_segment_ends_at_the_sum_of_its_start_and_step(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     got, want = both(spark, str(tmp_path), "length_inside", ("events",))
     assert got == want and want
+
+
+def test_quota_looks_only_at_nodes_with_cells(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import alloc
+
+    # 563 x 563 squares around the grid, far above MOST_NODES, and cells in some of them.
+    path = lines(spark, tmp_path, [(0, 0), (20, 16), (8990, 8990)], n=400)
+    for name in ("quota_shares", "tidy_quota_shares"):
+        got, want = both(spark, path, name)
+        assert got == want and len(want) > 8
+    df = spark.createDataFrame([(0, None, None), (0, 1.0, True), (1, 2.0, False)], "node int, score double, ok boolean").withColumn("corners", F.array(F.struct(F.col("node"), F.lit(1.0).alias("w"))))
+    q = alloc.solve_quota_by_node(df, "node", "corners", "score", F.col("ok"), F.lit(True), F.lit(0.5), (1, 2))
+    assert [(r.node, r.cells, r.eligible, r.want) for r in q.nodes.orderBy("node").collect()] == [(0, 2, 1, 1), (1, 1, 0, 0)]
+    assert q.cells.where("chosen").count() == 1
+    t = {r.node: r.threshold for r in q.nodes.collect()}
+    assert all(r.chosen == (bool(r.ok) and r.score > t[r.node]) for r in q.cells.where("score is not null").collect())
+    none = alloc.solve_quota_by_node(df.limit(0), "node", "corners", "score", F.col("ok"), F.lit(True), F.lit(0.5), (1, 2))
+    assert none.cells.count() == none.nodes.count() == 0

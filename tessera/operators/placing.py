@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import bounding_box, point_in_rings
+from ..functions.geometry import bounding_box, close_ring, point_in_rings, steps
 from .lineage import release, written
-from .spatial import box_join
+from .spatial import box_join, buckets_of_box
 
 
 def greedy_kept(items: DataFrame, beats: DataFrame, id_col: str) -> DataFrame:
@@ -73,8 +75,81 @@ def nested(shapes: DataFrame, id_col: str, rings: str, size: str, bucket: float,
     return both.where(later & box[0] & box[1]).where(fits).select("inner", "outer")
 
 
-def without_nested(shapes: DataFrame, id_col: str, rings: str, size: str, bucket: float, **options) -> DataFrame:
-    """(id, kept, outer): from the largest on, a shape is left out if it lies in one that is kept; outer is the largest such (null if kept)."""
+def _first_held(inner: pa.Table, outer: pa.Table, share: float, margin: float) -> pa.Table:
+    """(inner, outer): the first of the outer shapes, from the largest on, that holds each inner one, if any does."""
+    inner, outer = inner.combine_chunks(), outer.sort_by([("size", "descending"), ("id", "ascending")]).combine_chunks()
+    box, wide = ([t[k].to_numpy() for k in ("xmin", "ymin", "xmax", "ymax")] for t in (inner, outer))
+
+    def flat(column):
+        lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        ends = lists.offsets.to_numpy()
+        return ends, [v.to_numpy(zero_copy_only=False) for v in lists.values.flatten()]
+
+    if not len(inner) or not len(outer):
+        return pa.table({"inner": inner["id"].slice(0, 0), "outer": outer["id"].slice(0, 0)})
+    (ends, (px, py)), (edge, (ax, ay, bx, by)) = flat(inner["points"]), flat(outer["edges"])
+    open_, found = np.flatnonzero(np.diff(ends) > 0), np.full(len(inner), -1)
+    for k in range(len(outer)):
+        low = [w[k] - margin for w in wide[:2]]
+        high = [w[k] + margin for w in wide[2:]]
+        fits = open_[(box[0][open_] >= low[0]) & (box[1][open_] >= low[1]) & (box[2][open_] <= high[0]) & (box[3][open_] <= high[1])]
+        if not len(fits):
+            continue
+        n = ends[fits + 1] - ends[fits]
+        at = np.repeat(ends[fits] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        x, y, odd = px[at], py[at], np.zeros(len(at), bool)
+        for e in range(edge[k], edge[k + 1]):
+            if ay[e] != by[e]:
+                odd ^= ((ay[e] > y) != (by[e] > y)) & (x < (bx[e] - ax[e]) * (y - ay[e]) / (by[e] - ay[e]) + ax[e])
+        inside = np.bincount(np.repeat(np.arange(len(fits)), n), odd, len(fits))
+        held = fits[inside >= share * n - 1e-9]
+        found[held] = k
+        open_ = np.setdiff1d(open_, held, assume_unique=True)
+    got = np.flatnonzero(found >= 0)
+    return pa.table({"inner": inner["id"].take(pa.array(got)), "outer": outer["id"].take(pa.array(found[got]))})
+
+
+def without_nested(
+    shapes: DataFrame, id_col: str, rings: str, size: str, bucket: float, share: float = 0.9, margin: float = 1.0, n: int = 8, first: int = 2000,
+) -> DataFrame:
+    """(id, kept, outer): from the largest on, a shape is left out if it lies in one that is kept; outer is the largest such (null if kept).
+
+    Shapes are taken by size in batches of growing number, about `first` in the first one. Those that lie in a shape kept before are left out at once: they meet the
+    kept ones by buckets, largest first, and stop at the first that holds them. Pairs are only formed among the others of a batch.
+    """
+    there = shapes.where((F.size(rings) > 0) & F.col(size).isNotNull() & F.col(id_col).isNotNull())
+    corner = {k: F.flatten(rings)[k] for k in "xy"}
+    edges = F.transform(F.flatten(F.transform(rings, lambda r: steps(close_ring(r)))), lambda e: F.struct(e["a"]["x"].alias("ax"), e["a"]["y"].alias("ay"), e["b"]["x"].alias("bx"), e["b"]["y"].alias("by")))
+    box = [f(corner[k]).alias(f"{k}{m}") for f, m in ((F.array_min, "min"), (F.array_max, "max")) for k in "xy"]
+    s = there.select(F.col(id_col).alias("id"), F.col(rings).alias("rings"), F.col(size).alias("size"), edges.alias("edges"), *box)
+    s = written(s.withColumn("points", inside_points(F.col("rings"), F.struct("xmin", "ymin", "xmax", "ymax"), n)), "shapes")
+    total = s.count()
+    parts = [first * 2**k / total for k in range(64) if first * 2**k < total] if total else []
+    cuts = sorted(set(s.agg(F.percentile_approx("size", [1 - p for p in parts], 10_000)).first()[0] or []), reverse=True) if parts else []
+    held = f"inner {dict(s.dtypes)['id']}, outer {dict(s.dtypes)['id']}"
+    by = [F.floor(((F.col(f"{k}min") + F.col(f"{k}max")) / 2) / bucket).alias(f"_b{k}") for k in "xy"]
+    flat = s.select("id", "size", "xmin", "ymin", "xmax", "ymax", "points", *by)
+    touched = F.explode(buckets_of_box(F.col("xmin") - margin, F.col("ymin") - margin, F.col("xmax") + margin, F.col("ymax") + margin, bucket)).alias("_b")
+    dealt = written(s.select("id", "size", "xmin", "ymin", "xmax", "ymax", "edges", touched).select("*", F.col("_b.bx").alias("_bx"), F.col("_b.by").alias("_by")).drop("_b"), "dealt")
+    done: list[DataFrame] = []
+    for low, high in zip([*cuts, None], [None, *cuts]):
+        some = [F.lit(True) if low is None else F.col("size") >= F.lit(low), F.lit(True) if high is None else F.col("size") < F.lit(high)]
+        batch, out = s.where(some[0] & some[1]), None
+        if done:
+            kept = reduce(DataFrame.unionByName, done).where("kept").select(F.col(id_col).alias("id"))
+            inner, outer = flat.where(some[0] & some[1]).groupBy("_bx", "_by"), dealt.join(kept, "id", "left_semi").groupBy("_bx", "_by")
+            out = written(inner.cogroup(outer).applyInArrow(lambda a, b: _first_held(a, b, share, margin), held), "held")
+            done.append(out.select(F.col("inner").alias(id_col), F.lit(False).alias("kept"), "outer"))
+            batch = batch.join(out.select(F.col("inner").alias("id")), "id", "left_anti")
+        rest = _without_nested_at_once(written(batch.select(F.col("id").alias(id_col), "rings", "size"), "batch"), id_col, "rings", "size", bucket, share=share, margin=margin, n=n)
+        done.append(written(rest, "kept"))
+    found = reduce(DataFrame.unionByName, done)
+    # Shapes that can neither hold nor lie in one.
+    return found.unionByName(shapes.select(id_col).distinct().join(found.select(id_col), id_col, "left_anti").select(id_col, F.lit(True).alias("kept"), F.lit(None).cast(dict(s.dtypes)["id"]).alias("outer")))
+
+
+def _without_nested_at_once(shapes: DataFrame, id_col: str, rings: str, size: str, bucket: float, **options) -> DataFrame:
+    """without_nested() of few shapes, by all their pairs."""
     pairs = written(nested(shapes, id_col, rings, size, bucket, **options), "nested")
     found = written(greedy_kept(shapes, pairs.select(F.col("outer").alias("a"), F.col("inner").alias("b")), id_col), "kept")
     by = pairs.join(found.where("kept").select(F.col(id_col).alias("outer")), "outer").join(shapes.select(F.col(id_col).alias("outer"), F.col(size).alias("_size")), "outer")

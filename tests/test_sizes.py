@@ -189,3 +189,22 @@ def test_quota_looks_only_at_nodes_with_cells(spark, tmp_path):
     assert all(r.chosen == (bool(r.ok) and r.score > t[r.node]) for r in q.cells.where("score is not null").collect())
     none = alloc.solve_quota_by_node(df.limit(0), "node", "corners", "score", F.col("ok"), F.lit(True), F.lit(0.5), (1, 2))
     assert none.cells.count() == none.nodes.count() == 0
+
+
+def test_shapes_in_kept_ones_form_no_pairs(spark, sf, monkeypatch):
+    from tessera.operators import placing
+
+    seen, real, shapes = [], placing.nested, {}
+    monkeypatch.setattr(placing, "nested", lambda s, *a, **k: seen.append(s.count()) or real(s, *a, **k))
+    whole = placing.without_nested
+    monkeypatch.setattr(placing, "without_nested", lambda s, *a, **k: shapes.setdefault("n", s.count()) and whole(s, *a, first=6, **k))
+    got, want = both_of_one_file(spark, sf, "nested_shapes", "customer")
+    assert got == want and len(seen) > 3 and sum(seen) < shapes["n"]
+
+
+def both_of_one_file(spark, path, name, t):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet'")
+    rel = con.sql(ORACLES[name])
+    order = lambda r: tuple((v is None, v or 0) for v in r)
+    return sorted(map(tuple, QUERIES[name](spark, path).select(*rel.columns).collect()), key=order), sorted(rel.fetchall(), key=order)

@@ -208,3 +208,28 @@ def both_of_one_file(spark, path, name, t):
     rel = con.sql(ORACLES[name])
     order = lambda r: tuple((v is None, v or 0) for v in r)
     return sorted(map(tuple, QUERIES[name](spark, path).select(*rel.columns).collect()), key=order), sorted(rel.fetchall(), key=order)
+
+
+def test_shapes_and_land_never_meet_in_pairs(spark, sf, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import shapes as sh
+
+    # Every shape lies on every land; bands are far lower than either.
+    monkeypatch.setattr(sh, "RUNS_OF_BAND", 20)
+    rng, ring = random.Random(13), lambda x, y, w: [{"x": x + dx * w, "y": y + dy * w} for dx, dy in ((-1.0, -0.9), (1.1, -0.7), (0.8, 1.0), (-0.9, 0.6))]
+    make = lambda n: [(k, [ring(float(rng.randrange(-3, 4)), float(rng.randrange(-3, 4)), rng.choice([4.0, 5.0, rng.uniform(4, 9)]))]) for k in range(n)]
+    rings = "id long, rings array<array<struct<x:double,y:double>>>"
+    shapes, land = make(60), make(80)
+    inside = lambda x, y, of: sum((a["y"] > y) != (b["y"] > y) and x < (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"] for r in of for a, b in zip(r, r[1:] + r[:1])) % 2 == 1
+    want, ground = {}, [r for _, of in land for r in of]
+    for i, of in shapes:
+        xs, ys = [q["x"] for q in of[0]], [q["y"] for q in of[0]]
+        step = max(0.5, max(max(xs) - min(xs), max(ys) - min(ys)) / 16)
+        at = [(min(xs) + a * step, min(ys) + b * step) for a in range(18) for b in range(18)]
+        at = [(x, y) for x, y in at if x <= max(xs) and y <= max(ys) and inside(x, y, of)]
+        want[i] = (len(at), sum(inside(*q, ground) for q in at))
+    df = sh.shape_effect(spark.createDataFrame(shapes, rings), spark.createDataFrame(land, rings), "id", "id", F.lit(False), 20.0, 0.5, 16)
+    assert {r.id: (r.inside, r.changed) for r in df.collect()} == want
+    plan = plan_of(QUERIES["shape_effect"](spark, sf))
+    assert "FlatMapCoGroupsInPandas" in plan and plan.count("Join") == 1

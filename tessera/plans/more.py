@@ -143,7 +143,7 @@ def _absorb_sql(rounds: int) -> str:
 def absorbed_patches(spark, sf):
     """A yes/no grid without patches of under four cells, after four rounds at most."""
     g = _grid(spark, sf).select("r", "c", (F.col("r") * WIDE + F.col("c")).alias("id"), (F.col("q") % 2 == 0).alias("chosen"))
-    return gr.absorb_small(g, "id", "chosen", 4, lambda x: gd.patches(x, "id", "chosen", "_part")).select("r", "c", "chosen")
+    return gr.absorb_small(g, "id", "chosen", 4, lambda x: gd.patches(x, "id", "chosen", "_part", size="_size")).select("r", "c", "chosen")
 
 
 @query("""

@@ -233,3 +233,36 @@ def test_shapes_and_land_never_meet_in_pairs(spark, sf, monkeypatch):
     assert {r.id: (r.inside, r.changed) for r in df.collect()} == want
     plan = plan_of(QUERIES["shape_effect"](spark, sf))
     assert "FlatMapCoGroupsInPandas" in plan and plan.count("Join") == 1
+
+
+def test_only_patches_at_a_rim_are_joined(spark, sf, monkeypatch):
+    from tessera.operators import chains, graph
+    from tessera.operators.grid import patches
+
+    joined, real = [], chains.salted
+    monkeypatch.setattr(chains, "salted", lambda rows, *a: joined.append(rows.count()) or real(rows, *a))
+    rng = random.Random(14)
+    cells = {(r, c): rng.choice("aab") for r in range(24) for c in range(24) if rng.random() < 0.6}
+    # A column of another kind passes through as it is.
+    rows = [(r, c, r * 100 + c, k, None if c % 2 else [2**60 + 1]) for (r, c), k in cells.items()]
+    df = spark.createDataFrame(rows, "r long, c long, id long, k string, more array<long>")
+    got = patches(df, "id", "k", "p", 12, size="n").collect()
+    whole = {}
+    for at in sorted(cells):
+        if at not in whole:
+            todo, seen = [at], {at}
+            while todo:
+                r, c = todo.pop()
+                for q in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)):
+                    if q not in seen and cells.get(q) == cells[at]:
+                        seen.add(q)
+                        todo.append(q)
+            whole |= {q: (at[0] * 100 + at[1], len(seen)) for q in seen}
+    assert {(x.r, x.c): (x.p, x.n) for x in got} == whole and 0 < joined[0] < len(cells)
+    assert all(x.more == (None if x.c % 2 else [2**60 + 1]) for x in got)
+    # Sizes come with the patches, so absorbing counts and joins nothing more.
+    yes = df.selectExpr("r", "c", "id", "k = 'a' AS v")
+    asked, written = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda d, what="step", after=None: asked.append(what) or written(d, what, after))
+    by = lambda size: {(x.r, x.c): x.v for x in graph.absorb_small(yes, "id", "v", 4, lambda x: patches(x, "id", "v", "_part", 12, size=size)).collect()}
+    assert by("_size") == by(None) and "grid" not in asked

@@ -266,3 +266,23 @@ def test_only_patches_at_a_rim_are_joined(spark, sf, monkeypatch):
     monkeypatch.setattr(graph, "written", lambda d, what="step", after=None: asked.append(what) or written(d, what, after))
     by = lambda size: {(x.r, x.c): x.v for x in graph.absorb_small(yes, "id", "v", 4, lambda x: patches(x, "id", "v", "_part", 12, size=size)).collect()}
     assert by("_size") == by(None) and "grid" not in asked
+
+
+def test_squares_of_a_shore_are_made_in_tiles(spark, sf):
+    from pyspark.sql import functions as F
+
+    from tessera.operators.grid import shore_fill
+
+    rng = random.Random(15)
+    # Over the corner of four tiles, with nulls, holes and open cells.
+    cells = {(r, c): (rng.choice([None, 1, 5, 9, 9]), rng.random() < 0.05) for r in range(250, 262) for c in range(248, 262) if rng.random() < 0.95}
+    df = spark.createDataFrame([(*k, *v) for k, v in cells.items()], "r long, c long, v long, o boolean")
+    want = set()
+    for r, c in cells:
+        of = [cells.get(k, (None, False)) for k in ((r, c), (r, c + 1), (r + 1, c + 1), (r + 1, c))]
+        if all(v is not None and not o for v, o in of) and any(v > 4 for v, _ in of):
+            want.add((r, c))
+    got = [(x.r, x.c + k) for x in shore_fill(df, "v", 4.5, F.col("o")).where("part = 0").collect() for k in range(x.squares)]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    plan = plan_of(QUERIES["shore_squares"](spark, sf))
+    assert "FlatMapGroupsInPandas" in plan and "v00" in plan and plan.count("Aggregate") == 2

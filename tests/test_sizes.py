@@ -171,6 +171,17 @@ def test_a_segment_ends_at_the_sum_of_its_start_and_step(spark, tmp_path):
     assert got == want and want
 
 
+def test_sides_of_polygons_are_exact_differences(spark, tmp_path):
+    import datetime
+
+    # Tracks through corners of the polygons, where the last place of a side decides whether they are cut.
+    tracks = [[(23, 111.36), (15, 54.4)], [(18, 0.0), (19, 45.0)], [(18, 0.0), (23, 225.0)], [(4, 100.0)]]
+    rows = [(10 * u + k, datetime.datetime(2024, 1, 1 + k, h), u, "view", v, "{}") for u, track in enumerate(tracks) for k, (h, v) in enumerate(track)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got, want = both(spark, str(tmp_path), "length_inside", ("events",))
+    assert got == want and len(want) > 2
+
+
 def test_quota_looks_only_at_nodes_with_cells(spark, tmp_path):
     from pyspark.sql import functions as F
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions.hashing import cell_noise
 from ..operators import scoring as sg
 from ..operators.anchors import DIAGONAL, layered_distances
+from ..operators.grid import Near, carried_blurs
 from .dated import ROOT_SQL
 from .registry import query
 from .spatial import GRID_SQL, WIDE, _grid, _noise_sql, _size
@@ -30,41 +34,51 @@ m AS (SELECT avg(raw) AS m, stddev_pop(raw) AS d, avg(x) AS sm, stddev_pop(x) AS
 SELECT r, c, round(CASE WHEN x IS NULL THEN 0 ELSE m + (x - sm) * d / sd + 0.25 * noise END, 6) AS score FROM g LEFT JOIN two USING (r, c) JOIN f USING (r, c), m"""
 
 
-#: Side of the blocks by which the rectangle is told apart; no rule looks further than this, as all distances count up to 10 cells at most.
-REACH = 16
+#: All distances count up to 10 cells at most.
+REACH = 10
+#: Side of the tiles in which the rectangle is filled.
+TILE = 256
 
 
-def _blocks(spark, sf):
-    """(br, bc) of the blocks that hold a cell or lie beside one that does."""
-    at = lambda k, i: (F.floor(F.col(k) / REACH) + i).alias("b" + k)
-    held = _grid(spark, sf).select(at("r", 0), at("c", 0)).distinct()
-    around = F.explode(F.array(*[F.struct((F.col("br") + i).alias("br"), (F.col("bc") + j).alias("bc")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("b")
-    return held.select(around).select("b.br", "b.bc").where("br >= 0 and bc >= 0").distinct()
+def _over_all(spark, sf, scored):
+    """Scores of the rectangle, 0 where there is none: tiles with scores are filled one by one, the others' cells are made in place; only scores are shuffled."""
+    rows, cols = _size(spark, sf)
+    at = [F.floor(F.col(k) / TILE).alias(n) for k, n in (("r", "ti"), ("c", "tj"))]
 
+    def filled(pdf: pd.DataFrame) -> pd.DataFrame:
+        top, left = int(pdf["ti"].iloc[0]) * TILE, int(pdf["tj"].iloc[0]) * TILE
+        score = np.zeros((min(TILE, rows - top), min(TILE, cols - left)))
+        score[pdf["r"].to_numpy() - top, pdf["c"].to_numpy() - left] = pdf["score"].to_numpy()
+        r, c = np.indices(score.shape)
+        return pd.DataFrame({"r": r.ravel() + top, "c": c.ravel() + left, "score": score.ravel()})
 
-def _cells(blocks, rows, cols):
-    """(r, c) of the cells of blocks that lie in the rectangle."""
-    r = blocks.select("*", F.explode(F.sequence(F.col("br") * REACH, F.least(F.lit(rows), (F.col("br") + 1) * REACH) - 1)).alias("r"))
-    return r.select("r", F.explode(F.sequence(F.col("bc") * REACH, F.least(F.lit(cols), (F.col("bc") + 1) * REACH) - 1)).alias("c"))
+    scored = scored.select("r", "c", F.round("score", 6).alias("score"), *at)
+    some = scored.groupBy("ti", "tj").applyInPandas(filled, "r long, c long, score double")
+    wide = (cols - 1) // TILE + 1
+    every = spark.range(((rows - 1) // TILE + 1) * wide).select(F.floor(F.col("id") / wide).alias("ti"), (F.col("id") % wide).alias("tj"))
+    along = lambda k, n, most: F.explode(F.sequence(F.col(n) * TILE, F.least(F.lit(most), (F.col(n) + 1) * TILE) - 1)).alias(k)
+    none = every.join(scored.select("ti", "tj").distinct(), ["ti", "tj"], "left_anti").select("tj", along("r", "ti", rows)).select("r", along("c", "tj", cols))
+    return some.unionByName(none.withColumn("score", F.lit(0.0)))
 
 
-def _over_all(spark, sf, scored):
-    """Scores of the rectangle: those found, and 0 in the blocks where nothing near is land, whose cells are made in place and never shuffled."""
-    rows, cols = _size(spark, sf)
-    wide = (cols - 1) // REACH + 1
-    every = spark.range(((rows - 1) // REACH + 1) * wide).select(F.floor(F.col("id") / wide).alias("br"), (F.col("id") % wide).alias("bc"))
-    empty = _cells(every.join(_blocks(spark, sf), ["br", "bc"], "left_anti"), rows, cols)
-    return scored.select("r", "c", F.round("score", 6).alias("score")).unionByName(empty.withColumn("score", F.lit(0.0)))
+def _land(spark, sf):
+    """Cells that are land, with their quantity and their distances, exact up to REACH, from rivers and from what is no land, through all cells of the rectangle."""
+    q = F.col("q")
+    sources = {"river_km": q % 11 == 0, "sea_km": q % 13 == 1}
+    far = layered_distances(_grid(spark, sf), sources, 1.0, DIAGONAL, near=Near(REACH, *_size(spark, sf), ["sea_km"]))
+    return far.where(q % 13 != 1)
 
 
-def _land(spark, sf):
-    """Every cell of the rectangle that lies near one where something was sold, with its features and its distances, exact up to REACH, from rivers and from what is no land."""
-    q, (rows, cols) = F.col("q"), _size(spark, sf)
-    near = _blocks(spark, sf).where((F.col("br") * REACH < rows) & (F.col("bc") * REACH < cols))
-    g = _cells(near, rows, cols).join(_grid(spark, sf), ["r", "c"], "left").withColumn("land", q % 13 != 1)
-    far = layered_distances(g, {"river_km": q % 11 == 0, "sea_km": ~F.coalesce(F.col("land"), F.lit(False))}, 1.0, DIAGONAL)
+def _features(g):
+    q = F.col("q")
     named = {"tree": q % 101, "crop": q * 7 % 101, "built": q * 3 % 41, "height": q % 300, "rough": q % 31, "wet": q % 61, "pollen": q % 17 / 16}
-    return far.select("r", "c", "q", "land", "river_km", "sea_km", *[v.cast("double").alias(k) for k, v in named.items()])
+    return g.select("*", *[v.cast("double").alias(k) for k, v in named.items()])
+
+
+def _scores(spark, sf, raw, smooth, noise, seed):
+    """Scores over the rectangle from raw(r, c, raw), smoothed, with noise by cell."""
+    soft = sg.smoothed(raw, "raw", smooth, "score")
+    return _over_all(spark, sf, soft.withColumn("score", F.col("score") + noise * cell_noise(F.col("c"), F.col("r"), seed)))
 
 
 @query(f"""
@@ -74,8 +88,9 @@ v AS MATERIALIZED (SELECT g.r, g.c, 3 * (g.tree + near.tree) / 200 - 1.5 * (g.cr
 """)
 def forest_scores(spark, sf):
     """How likely each eligible cell was forest."""
-    g = sg.forest_scores(_land(spark, sf), F.col("land"), F.col("land") & (F.col("q") % 7 != 3), 2, 3, 0.25, 1219, "score")
-    return _over_all(spark, sf, g)
+    g = carried_blurs(_features(_land(spark, sf)), {"near_tree": "tree", "near_crop": "crop"}, 2, ["q", "river_km", "sea_km"])
+    g = _features(g.where(F.col("q") % 7 != 3)).select("r", "c", sg.forest_rule("near_tree", "near_crop").alias("raw"))
+    return _scores(spark, sf, g, 3, 0.25, 1219)
 
 
 @query(f"""
@@ -84,9 +99,8 @@ WITH RECURSIVE {LAND_SQL}, v AS MATERIALIZED (SELECT g.r, g.c, greatest(0, 1 - h
 """)
 def conifer_scores(spark, sf):
     """How likely each forest cell was conifer."""
-    g = _land(spark, sf).withColumn("lat", 50 + 0.1 * F.col("r"))
-    g = sg.conifer_scores(g, F.col("land") & (F.col("q") % 3 != 0), 120.0, 4.0, 5.0, 3, 0.25, 1220, "score")
-    return _over_all(spark, sf, g)
+    g = _features(_land(spark, sf).where(F.col("q") % 3 != 0)).withColumn("lat", 50 + 0.1 * F.col("r"))
+    return _scores(spark, sf, g.select("r", "c", sg.conifer_rule(120.0, 4.0, 5.0).alias("raw")), 3, 0.25, 1220)
 
 
 LIMITS = sg.Ground(marsh=50, dune_bare=20, dune_sea=5, heath=40, heath_height=300, heath_moss=10)

@@ -37,6 +37,19 @@ def test_scores_make_the_rest_of_the_rectangle_in_place(spark, tmp_path, monkeyp
     assert flooded[0] < len(got)
 
 
+@pytest.mark.parametrize("name", ["forest_scores", "conifer_scores"])
+def test_scores_flood_what_is_near_without_joins(spark, tmp_path, monkeypatch, name):
+    from tessera.operators import grid as gd
+
+    # Over a rim of tiles, at the edges of the rectangle, and alone.
+    path, flooded, real = lines(spark, tmp_path, [(0, 0), (246, 250), (255, 300)], side=14, n=120), [], gd.flooded_layers
+    monkeypatch.setattr(gd, "flooded_layers", lambda grid, *a: flooded.append(grid.count()) or real(grid, *a))
+    got, want = both(spark, path, name)
+    assert [g[:2] for g in got] == [w[:2] for w in want] and all(g[2] == pytest.approx(w[2], abs=2e-6) for g, w in zip(got, want))
+    # Only cells where something was sold are flooded, and cells are joined to nothing.
+    assert flooded[0] <= 3 * 120 and plan_of(QUERIES[name](spark, path)).count("Join") == 1
+
+
 def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 

@@ -215,6 +215,16 @@ def test_quota_looks_only_at_nodes_with_cells(spark, tmp_path):
     assert none.cells.count() == none.nodes.count() == 0
 
 
+def test_quota_leaves_nothing_of_its_rounds_on_the_driver(spark, tmp_path, monkeypatch):
+    made, real = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, v: made.append(real(self, v)) or made[-1])
+    path = lines(spark, tmp_path, [(0, 0), (20, 16)], n=400)
+    for name in ("quota_shares", "tidy_quota_shares"):
+        got, want = both(spark, path, name)
+        assert got == want and want
+    assert len(made) > 6 and not any(b._jbroadcast.isValid() for b in made)
+
+
 def test_shapes_in_kept_ones_form_no_pairs(spark, sf, monkeypatch):
     from tessera.operators import placing
 
